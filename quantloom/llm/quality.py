@@ -65,15 +65,16 @@ def _repeat_words() -> Column:
     )
     zero = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(0).alias("end"))
     step = lambda acc, at: F.struct((acc["covered"] + WINDOW - F.greatest(acc["end"] - at, F.lit(0))).alias("covered"), (at + WINDOW).alias("end"))
-    return F.aggregate(F.array_sort(places), zero, step, lambda acc: acc["covered"])
+    return F.aggregate(F.sort_array(places), zero, step, lambda acc: acc["covered"])
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words as long columns."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE, -1), lambda w: w != "")
-    windows = F.when(F.size("words") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - WINDOW + 1), lambda i: F.xxhash64(F.slice("word_hashes", i, WINDOW))))
+    # Size and lambda both name word_hashes: were it named once, Catalyst would put its expression into the lambda.
+    windows = F.when(F.size("word_hashes") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("word_hashes") - WINDOW + 1), lambda i: F.xxhash64(F.slice("word_hashes", i, WINDOW))))
     several = F.size(F.array_distinct("windows")) < F.size("windows")
-    placed = F.when(several, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("at")))))
+    placed = F.when(several, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("at")))))
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
         docs.withColumn("words", words)
