@@ -3,9 +3,9 @@
 1. Propose: every window of `width` words picks its least `gram`-word sequence by hash (its anchor), so equal windows
    pick equal anchors. Anchors that occur in two documents are counted by tally.recurring().
 2. Confirm: windows of recurring anchors are counted in the same way, with the smallest and largest document id.
-3. Locate: each block compiles its share of the confirmed phrases into automata over word codes, some thousands of
-   phrases each, and streams all its documents through them; an occurrence in a document after the phrase's first
-   is removed. Shards follow the blocks of documents, so no automaton has to hold the phrases of the whole corpus
+3. Locate: runs of confirmed windows that share their first document are passages. Each block compiles its share of
+   them into automata over word codes, a bounded number of words each, and streams all its documents through them;
+   an occurrence in a document after the passage's first is removed. Shards follow the blocks of documents, so no automaton has to hold the phrases of the whole corpus
    and no document has to pass through all automata.
 """
 
@@ -21,8 +21,8 @@ from quantloom.llm import tally
 from quantloom.llm.text import Words, chunks, split_words, text_bytes, window_minima
 
 WIDTH, GRAM = 13, 4
-#: Phrases of one automaton: about 1 KB of memory each.
-SHARD = 50_000
+#: Words of the passages of one automaton, at which it is closed: some tens of bytes of memory each.
+SHARD = 1_000_000
 
 
 def _anchors(w: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,31 +94,14 @@ def _locate(width: int):
         gone = [np.zeros(len(w.starts) + 1, np.int32) for _, w in parts]
         if len(known):
             codes = _codes([w for _, w in parts])
-            phrases, values = [], []
-            seen = np.zeros(len(known), bool)
-            for (_, w), c in zip(parts, codes, strict=True):
-                starts = np.flatnonzero(w.windows(width))
-                hit, at = tally.found(w.window_hashes(width)[starts], known)
-                starts, at = starts[hit], at[hit]
-                at, new = np.unique(at, return_index=True)
-                starts, at = starts[new][~seen[at]], at[~seen[at]]
-                seen[at] = True
-                phrases += [c[s : s + width] for s in starts.tolist()]
-                values += firsts[at].tolist()
-            for a in range(0, len(phrases), SHARD):
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-                for phrase, value in zip(phrases[a : a + SHARD], values[a : a + SHARD], strict=True):
-                    automaton.add_word(phrase, value)
-                automaton.make_automaton()
-                for (first, w), c, removed in zip(parts, codes, gone, strict=True):
-                    for d, (s, e) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-                        if e - s >= width:
-                            own = ids[first + d]
-                            ends = [end for end, value in automaton.iter(c[s:e]) if value < own]
-                            if ends:
-                                at = np.array(ends) + s - width + 1
-                                np.add.at(removed, at, 1)
-                                np.add.at(removed, at + width, -1)
+            passages, size = {}, 0
+            for k, ((first, w), c) in enumerate(zip(parts, codes, strict=True)):
+                for s, e, of in _passages(w, ids[first:], known, firsts, width):
+                    size += 0 if c[s:e] in passages else e - s
+                    passages[c[s:e]] = (of, e - s)
+                if size >= SHARD or k == len(parts) - 1:
+                    _locate_all(passages, parts, codes, ids, gone, width)
+                    passages, size = {}, 0
         for (_, w), removed in zip(parts, gone, strict=True):
             out = np.cumsum(removed[:-1]) > 0
             for s, e in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
@@ -131,6 +114,38 @@ def _locate(width: int):
     return cover
 
 
+def _passages(w: Words, ids: np.ndarray, known: np.ndarray, firsts: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Confirmed passages: maximal runs of windows that all have the same earlier document. First word, end, that document."""
+    starts = np.flatnonzero(w.windows(width))
+    hit, at = tally.found(w.window_hashes(width)[starts], known)
+    starts, of = starts[hit], firsts[at[hit]]
+    later = of < ids[np.searchsorted(w.first, starts, side="right") - 1]
+    starts, of = starts[later], of[later]
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(of) != 0), True])
+    return list(zip(starts[cut[:-1]].tolist(), (starts[cut[1:] - 1] + width).tolist(), of[cut[:-1]].tolist(), strict=True))
+
+
+def _locate_all(passages: dict[tuple, tuple[int, int]], parts: list, codes: list[tuple], ids: np.ndarray, gone: list[np.ndarray], width: int) -> None:
+    """Streams all documents through one automaton; marks its occurrences in later documents in `gone`."""
+    if not passages:
+        return
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for passage, value in passages.items():
+        automaton.add_word(passage, value)
+    automaton.make_automaton()
+    for (first, w), c, removed in zip(parts, codes, gone, strict=True):
+        for d, (s, e) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+            if e - s >= width:
+                own = ids[first + d]
+                ends = [(end + 1, size) for end, (of, size) in automaton.iter(c[s:e]) if of < own]
+                if ends:
+                    at, size = np.array(ends).T
+                    np.add.at(removed, at + s - size, 1)
+                    np.add.at(removed, at + s, -1)
+
+
 def _joined(w: Words, kept: np.ndarray) -> str:
     """Some words joined by one space."""
     starts, ends = w.starts[kept], w.ends[kept]
