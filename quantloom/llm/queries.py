@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+from quantloom.llm.packing import op2_best_fit_packing
+from quantloom.llm.pii import op10_personal_data
+from quantloom.llm.quality import OP3_SQL, op3_quality_rules
 from quantloom.llm.substring import op4_repeated_phrases
 from quantloom.llm.suffix_array import op9_repeated_bytes
+from quantloom.llm.url_filter import OP7_SQL, op7_url_filter
+from quantloom.llm.warc import op1_warc_dictionary
 
-QUERIES = {f.__name__: f for f in (op4_repeated_phrases, op9_repeated_bytes)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_dictionary,
+        op2_best_fit_packing,
+        op3_quality_rules,
+        op4_repeated_phrases,
+        op7_url_filter,
+        op9_repeated_bytes,
+        op10_personal_data,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_url_filter": OP7_SQL}
