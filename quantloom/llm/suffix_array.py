@@ -145,11 +145,17 @@ def _judge(table: pa.Table, answers: pa.Table, width: int, gram: int):
 _SENT = "bucket int, blk int, keys binary, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, left array<binary>, right array<binary>"
 
 
+def _ordered(table: pa.Table) -> pa.Table:
+    """A block's rows in an order that does not hang on how they were fetched; rows are named by their place in it."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _contexts(buckets: int, width: int, gram: int):
     """The stretches to compare: c0 document, c1 anchor's byte in it, c2 and c3 windows before it (from, to), c4 row in the block."""
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         got = [[] for _ in range(8)]
+        table = _ordered(table)
         for f, part, offs, s, _, compare, doc in _judge(table, answers, width, gram) if table.num_rows else []:
             raw, sel = part.tobytes(), np.flatnonzero(compare)
             for out, x in zip(got, (s.anchor[sel], doc[sel], (s.at - offs[s.doc])[sel], (s.at - s.low)[sel], (s.at - s.high)[sel], (f + s.doc)[sel]), strict=False):
@@ -219,6 +225,7 @@ def _equal_windows(width: int, gram: int):
 
 def _cut(width: int, gram: int):
     def cover(table: pa.Table, whole: pa.Table, runs: pa.Table) -> pa.Table:
+        table = _ordered(table)
         data, offsets = text_bytes(table["text"])
         gone = np.zeros(len(data) + 1, np.int32)
         for f, _, offs, s, removed, _, _ in _judge(table, whole, width, gram):
