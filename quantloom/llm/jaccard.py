@@ -224,5 +224,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     return found.unionByName(alone)
 
 
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` whose doc_id is the least of its component: one document of each group, and all that have no link.
+
+    Rows that repeat a kept id are that document and stay with it; rows of a null id stay.
+    """
+    found = near_duplicates(docs, width, percent)
+    linked = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(linked, "doc_id", "left_anti").select(docs.columns)
+
+
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

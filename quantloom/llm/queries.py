@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from quantloom.llm.decontaminate import OP6_SQL, op6_decontamination
+from quantloom.llm.jaccard import op5_ngram_jaccard
+from quantloom.llm.lines import op8_line_templates
 from quantloom.llm.packing import op2_best_fit_packing
 from quantloom.llm.pii import op10_personal_data
 from quantloom.llm.quality import OP3_SQL, op3_quality_rules
@@ -17,10 +20,13 @@ QUERIES = {
         op2_best_fit_packing,
         op3_quality_rules,
         op4_repeated_phrases,
+        op5_ngram_jaccard,
+        op6_decontamination,
         op7_url_filter,
+        op8_line_templates,
         op9_repeated_bytes,
         op10_personal_data,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_url_filter": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_url_filter": OP7_SQL}
