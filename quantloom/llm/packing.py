@@ -8,7 +8,9 @@ says for each length which ranks go to which sequences; each piece finds its own
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +24,8 @@ from quantloom.llm import shared
 from quantloom.llm.text import chunks, fold_case, is_space, text_bytes
 
 CAPACITY = 2048
-#: Words whose ids a worker keeps; when full, it starts anew.
-KEPT_WORDS = 400_000
+#: Words whose ids a worker keeps; when full, it starts anew. Words tokenized at once.
+KEPT_WORDS, BATCH_WORDS = 400_000, 4_000
 
 
 def tokenizer_file() -> str:
@@ -41,6 +43,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,8 +52,7 @@ class WordTokenizer:
 
     def _clear(self) -> None:
         self.slots: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.ids, self.ends = array("I"), array("q", [0])
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,17 +84,17 @@ class WordTokenizer:
         if len(self.slots) + len(words) > KEPT_WORDS:
             self._clear()
         new = [w for w in words if w not in self.slots]
-        for word, ids in zip(new, self._encode([w.decode() for w in new]), strict=True):
-            self.slots[word] = len(self.ids)
-            self.ids.append(np.array(ids, np.uint32))
-            self.sizes.append(len(ids))
-        slots = [self.slots[w] for w in words]
-        flat = np.concatenate([self.ids[i] for i in slots] or [np.zeros(0, np.uint32)])
-        sizes = np.array([self.sizes[i] for i in slots], np.int64)
-        first = np.r_[0, np.cumsum(sizes)][:-1]
-        each = sizes[codes]
+        for at in range(0, len(new), BATCH_WORDS):
+            some = new[at : at + BATCH_WORDS]
+            for word, ids in zip(some, self._encode([w.decode() for w in some]), strict=True):
+                self.slots[word] = len(self.slots)
+                self.ids.extend(ids)
+                self.ends.append(len(self.ids))
+        slots = np.array([self.slots[w] for w in words], np.int64)[codes]
+        ends = np.array(self.ends)
+        each = ends[slots + 1] - ends[slots]
         to = np.r_[0, np.cumsum(each)]
-        ids = flat[np.repeat(first[codes] - to[:-1], each) + np.arange(to[-1])]
+        ids = np.array(self.ids, np.uint32)[np.repeat(ends[slots] - to[:-1], each) + np.arange(to[-1])]
         bounds = to[np.searchsorted(starts, offsets)]
         raw = data.tobytes()
         if any(s in raw for s in self.special):
@@ -118,7 +120,7 @@ def _cut(path: str, capacity: int):
         for batch in batches:
             doc_ids = batch["doc_id"].to_pylist()
             data, offsets = text_bytes(batch["text"])
-            for first, here, offs in chunks(data, offsets, 4 << 20):
+            for first, here, offs in chunks(data, offsets, 1 << 20):
                 ids, bounds = tokens(here, offs)
                 out: list[tuple] = []
                 for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
