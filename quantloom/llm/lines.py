@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm import shared
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: Leading tokens of the tree; share of the further tokens that an instance has from its template.
 DEPTH, SIMILARITY = 3, 0.6
@@ -26,21 +28,26 @@ def _size(array: str) -> Column:
 
 
 def _parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(doc_id, text_hash, at, size, tokens, line, leaf) of the lines that are long enough."""
+    """(doc_id, text_hash, at, size, masked, line, leaf) of the lines that are long enough."""
     lines = docs.select("doc_id", "text_hash", F.posexplode(_lines(F.col("text"))).alias("at", "raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(F.col("raw"))
     rows = lines.select("doc_id", "text_hash", "at", F.length("raw").alias("size"), F.trim(F.translate(masked, "\t\x0b\x0c\r", "    ")).alias("masked"))
-    rows = rows.withColumn("tokens", F.split("masked", SPACE, -1)).filter(F.size("tokens") >= min_tokens)
-    return rows.select("doc_id", "text_hash", "at", "size", "tokens", F.xxhash64("masked").alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"))
+    tokens = _tokens("masked")
+    return rows.filter(F.size(tokens) >= min_tokens).withColumns({"line": F.xxhash64("masked"), "leaf": F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))})
+
+
+def _tokens(masked: str) -> Column:
+    return F.split(masked, SPACE, -1)
 
 
 def _templates(lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
-    """`lines` of leaves with enough lines, with their template."""
+    """The lines of leaves with enough lines, with their template. Texts of lines meet their leaves once; what recurs is stored."""
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("lo"), F.max("line").alias("hi")).filter(F.col("n") >= min_docs)
     own = ["doc_id", "text_hash", "at", "size", "leaf", "line"]
-    met = lines.join(leaves.select("leaf", (F.col("lo") != F.col("hi")).alias("several")), "leaf")
-    plain = met.filter(~F.col("several")).select(*own, F.col("line").alias("template"))
-    varied = met.filter("several").select(*own, F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    hashed = F.when(F.col("lo") != F.col("hi"), F.transform(_tokens("masked"), lambda t: F.xxhash64(t)))
+    met = shared.stored(lines.join(leaves.select("leaf", "lo", "hi"), "leaf").select(*own, hashed.alias("tokens")), "lines")
+    plain = met.filter(F.col("tokens").isNull()).select(*own, F.col("line").alias("template"))
+    varied = met.filter(F.col("tokens").isNotNull())
     votes = varied.groupBy("leaf", "line").agg(F.min("tokens").alias("tokens")).select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
     won = votes.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("n"))
     elected = F.when(F.col("best")["n"] * 2 > F.col("n"), F.col("best")["token"])
@@ -62,11 +69,12 @@ def drop_recurring_lines(
     Columns named n_lines or n_dropped are replaced.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    taken = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
-    lines = _templates(_parsed(taken.select("doc_id", "text_hash", "text"), depth, min_tokens), depth, similarity, min_docs)
+    ids = [F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
+    lines = _templates(_parsed(docs.select(*ids, F.col(text).alias("text")), depth, min_tokens), depth, similarity, min_docs)
     recurring = lines.groupBy("template", "doc_id", "text_hash").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
     gone = lines.join(recurring, "template", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("at", "size")).alias("gone"))
-    out = taken.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *ids)
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").withColumn("text", F.col("row")[text])
     size = F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["size"])
     out = out.withColumn("drop", F.when(size <= F.length("text") * max_share, F.transform("gone", lambda x: x["at"])))
     out = out.withColumn("lines", F.when(F.col("text").isNotNull(), _lines(F.col("text"))))
