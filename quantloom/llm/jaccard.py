@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import shared, tally
@@ -29,6 +29,8 @@ from quantloom.llm.components import components
 from quantloom.llm.text import chunks, mix, multipliers, split_words, text_bytes
 
 WIDTH, PERCENT = 5, 80
+#: Comparisons left in all columns from which on every row leads its own part, so that one more round is enough.
+ALL_PAIRS = 4_000_000
 #: Bits of a column within its bucket; buckets hold a bounded number of columns, so collisions do not grow.
 _LOW = np.uint64(40)
 _LOW_MASK = np.uint64((1 << 40) - 1)
@@ -101,7 +103,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return pa.table({"blk": table["blk"], "bucket": table["bucket"], "classes": pa.array([classes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
-_ROWS = "doc_id long, n long, set_id binary, ngrams binary, rare array<long>"
+_ROWS = "doc_id long, n long, shared long, set_id binary, ngrams binary, rare array<long>, rest array<long>"
 
 
 def _rows(buckets: int, width: int, percent: int):
@@ -113,19 +115,23 @@ def _rows(buckets: int, width: int, percent: int):
         known = np.unique(columns)
         answers = answers.sort_by("bucket")
         classes = np.frombuffer(b"".join(answers["classes"].to_pylist()), np.uint8)[np.searchsorted(known, columns)] if len(known) else np.zeros(0, np.uint8)
-        ids, grams, rare = [], [], []
+        ids, grams, rare, rest, shared_ = [], [], [], [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             n, cls = b - a, classes[a:b]
+            shared_.append(int(np.count_nonzero(cls)))
             if not n or 100 * np.count_nonzero(cls) < percent * n:
-                ids.append(None), grams.append(None), rare.append(None)
+                ids.append(None), grams.append(None), rare.append(None), rest.append(None)
                 continue
             own, col = keys[a:b], columns[a:b]
             order = np.lexsort((own, col, cls))[: n + (-percent * n // 100) + 1]
             ids.append(np.array([mix(own).sum(dtype=np.uint64), mix(own ^ np.uint64(n + 1)).sum(dtype=np.uint64)]).tobytes())
             grams.append(own.tobytes())
-            rare.append(np.unique(col[order[cls[order] > 0]]).astype(np.int64))
+            at = np.flatnonzero(cls[order] > 0)
+            some, first = np.unique(col[order[at]], return_index=True)
+            rare.append(some.astype(np.int64))
+            rest.append(n - at[first])
         return pa.table(
-            {"doc_id": table["doc_id"], "n": pa.array(np.diff(offsets), pa.int64()), "set_id": pa.array(ids, pa.binary()), "ngrams": pa.array(grams, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64()))}
+            {"doc_id": table["doc_id"], "n": pa.array(np.diff(offsets), pa.int64()), "shared": pa.array(shared_, pa.int64()), "set_id": pa.array(ids, pa.binary()), "ngrams": pa.array(grams, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64())), "rest": pa.array(rest, pa.list_(pa.int64()))}
         )
 
     return judge
@@ -155,40 +161,47 @@ def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _distinct_columns(entries: DataFrame) -> DataFrame:
-    """Without columns of one row, and with one column of those that have the very same rows."""
+    """Without columns of one row, and with one column of those that have the very same rows, with the largest caps of them."""
     marks = entries.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x")).filter("n > 1")
-    kept = marks.groupBy("n", "s", "x").agg(F.min("col").alias("col")).select("col")
-    return entries.join(kept, "col", "left_semi")
+    kept = marks.withColumn("kept", F.min("col").over(Window.partitionBy("n", "s", "x"))).select("col", "kept")
+    return entries.join(kept, "col").groupBy(F.col("kept").alias("col"), "node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.max("cap").alias("cap"))
 
 
 def _components(nodes: DataFrame, percent: int) -> DataFrame | None:
     """(node, comp) of the nodes that have a link."""
-    entries = shared.stored(_distinct_columns(nodes.select(F.explode("rare").alias("col"), "node", "n")), "columns")
+    # What two rows have in common is at most what either shares with any, and what is left of either from their first
+    # common column on, in the order of columns. From this cap follows how large a partner may be.
+    placed = nodes.select(F.explode(F.arrays_zip("rare", "rest")).alias("x"), "node", "n", "shared")
+    entries = _distinct_columns(placed.select(F.col("x.rare").alias("col"), "node", "n", "shared", F.least("shared", "x.rest").alias("cap")))
+    most = F.floor(F.col("cap") * (100 + percent) / percent) - F.col("n")
     links = judged = comps = None
     leaders, turn = 1, 0
     while True:
-        marked = entries.withColumn("comp", F.col("node")) if comps is None else entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = marked.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("col")
-        entries = shared.stored(marked.join(open_, "col", "left_semi"), "columns")
-        rank = F.xxhash64("node", F.lit(turn))
-        lead = entries.groupBy("col", F.pmod(F.shiftright(rank, 20), F.lit(leaders)).alias("part")).agg(F.min(F.struct(rank.alias("rank"), F.col("node").alias("of"), F.col("n").alias("n_of"), F.col("comp").alias("comp_of"))).alias("x"))
-        lead = shared.stored(lead.select("col", "x.of", "x.n_of", "x.comp_of"), "leaders")
-        fits = (F.col("comp") != F.col("comp_of")) & (F.least("n", "n_of") * 100 >= F.greatest("n", "n_of") * percent)
+        entries = shared.stored(entries.withColumn("comp", F.col("node")) if comps is None else entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "columns")
+        open_ = entries.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("col", "least")
+        entries = shared.stored(entries.join(open_, "col").filter(most >= F.col("least")).drop("least"), "columns")
+        work = entries.groupBy("col").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+        if not work:
+            return comps
+        if work <= ALL_PAIRS:
+            leaders = 1 << 20
+        # The rows that share most of their n-grams lead: copies with few changes, to which most others are linked.
+        rank = F.struct((-F.col("shared") / F.col("n")).alias("rank"), F.xxhash64("node").alias("tie"), F.col("node").alias("of"), F.col("n").alias("n_of"), F.col("cap").alias("cap_of"), F.col("comp").alias("comp_of"))
+        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
+        lead = shared.stored(entries.groupBy("col", part.alias("part")).agg(F.min(rank).alias("x")).select("col", "x.of", "x.n_of", "x.cap_of", "x.comp_of"), "leaders")
+        fits = (F.col("comp") != F.col("comp_of")) & (F.least("n", "n_of") * 100 >= F.greatest("n", "n_of") * percent) & (F.least("cap", "cap_of") * (100 + percent) >= (F.col("n") + F.col("n_of")) * percent)
         pairs = entries.join(lead, "col").filter(fits).select(F.least("node", "of").alias("a"), F.greatest("node", "of").alias("b")).distinct()
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
         pairs = shared.stored(pairs, "pairs")
-        entries = entries.join(lead.select("col", F.col("of").alias("node")), ["col", "node"], "left_anti").select("col", "node", "n")
+        entries = entries.join(lead.select("col", F.col("of").alias("node")), ["col", "node"], "left_anti").drop("comp")
         if not pairs.isEmpty():
             judged = pairs if judged is None else judged.union(pairs)
             found = shared.stored(_linked(pairs, nodes, percent), "links")
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
                 comps = components(links)
-        entries = shared.stored(entries, "columns")
-        if entries.isEmpty():
-            return comps
-        leaders, turn = leaders * 4, turn + 1
+        leaders, turn = leaders * 8, turn + 1
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +219,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     classes = sent.groupBy("bucket").applyInArrow(_frequencies, "blk int, bucket int, classes binary")
     rows = shared.stored(tally.per_block_with(blocks, classes, _rows(buckets, width, percent), _ROWS), "rows")
     members = rows.filter(F.col("set_id").isNotNull())
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(int(tally.NO_ID))).alias("doc_id"), "n", "ngrams", "rare")).alias("x")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(int(tally.NO_ID))).alias("doc_id"), "n", "shared", "ngrams", "rare", "rest")).alias("x")
     nodes = members.groupBy("set_id").agg(first).select("set_id", "x.*").withColumn("node", F.monotonically_increasing_id())
     nodes = shared.stored(nodes, "nodes")
     comps = _components(nodes, percent)
