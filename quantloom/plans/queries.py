@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import rounded
-from quantloom.operators import aggregates, attention, backtest, indicators, joins, relative, risk, screener, signals, similarity
+from quantloom.operators import aggregates, attention, backtest, cases, indicators, joins, portfolio, relative, risk, screener, signals, similarity
 from quantloom.sources import market
 from quantloom.streaming import quotes
 
@@ -719,3 +719,134 @@ def entry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = both.withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).filter("_n = 1")
     near = last.filter((F.col("close") > F.col("sma_20")) & (F.col("close") <= F.col("sma_20") * 1.5))
     return screener.top(near, "rs_pct").select("code", "date", "close", "sma_20", "vol_ratio", "rs_pct")
+
+
+@query("composite_signals")
+def composite_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.composite_signals(market.bars(spark, sf_dir))
+
+
+@query(
+    "portfolio_returns",
+    _RET
+    + """, w AS (SELECT code, weight / sum(weight) OVER () AS weight, count(*) OVER () AS codes FROM (SELECT code, sum(cost) AS weight FROM trades WHERE code <= 3 GROUP BY code))
+SELECT date, round(sum(weight * ret), 6) AS ret FROM ret JOIN w USING (code) WHERE ret IS NOT NULL GROUP BY date HAVING count(*) = any_value(codes)""",
+    dates=("date",),
+)
+def portfolio_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portfolio of three codes, weighted by what was paid."""
+    weights = market.trades(spark, sf_dir).filter("code <= 3").groupBy("code").agg(F.sum("cost").alias("weight"))
+    return portfolio.portfolio_returns(market.bars(spark, sf_dir), weights)
+
+
+@query(
+    "stress_test",
+    _RET
+    + """, m AS (SELECT date, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS mkt FROM idx),
+b AS (SELECT code, round(regr_slope(ret, mkt), 6) AS beta FROM ret JOIN m USING (date) WHERE ret IS NOT NULL AND mkt IS NOT NULL GROUP BY code),
+h AS (SELECT code, sum(cost) AS value FROM trades GROUP BY code),
+x AS (SELECT h.code, value / sum(value) OVER () AS share, value = max(value) OVER () AS top, coalesce(beta, 1) AS beta FROM h LEFT JOIN b ON h.code = b.code),
+s(scenario, market, largest) AS (VALUES ('COVID_2020', -0.285::DOUBLE, NULL::DOUBLE), ('RATE_HIKE_2022', -0.22, NULL), ('TAIWAN_STRAIT_2022', -0.05, NULL), ('TECH_BUBBLE_2000', -0.30, NULL),
+  ('MARKET_CRASH_10', -0.10, NULL), ('SINGLE_LIMIT_DOWN', 0.0, -0.10), ('RATE_SHOCK', -0.05, NULL), ('BLACK_SWAN', -0.20, NULL)),
+l AS (SELECT scenario, code, round(share * CASE WHEN top AND largest IS NOT NULL THEN largest ELSE beta * market END, 6) AS loss FROM x, s)
+SELECT scenario, round(sum(loss), 4) AS portfolio_pnl, first(code ORDER BY loss, code) AS worst_code, min(loss) AS worst_pnl FROM l GROUP BY scenario""",
+)
+def stress_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = market.bars(spark, sf_dir)
+    betas = risk.alpha_beta(frame, market.index_bars(frame)).select("code", F.round("beta", 6).alias("beta"))
+    return portfolio.stress_test(spark, market.trades(spark, sf_dir).groupBy("code").agg(F.sum("cost").alias("value")), betas)
+
+
+@query(
+    "portfolio_heat",
+    _RET
+    + """, c AS (SELECT a.code AS code_a, b.code AS code_b, corr(a.ret, b.ret) AS corr FROM ret a JOIN ret b ON a.date = b.date AND a.code < b.code WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL AND b.code <= 10 GROUP BY ALL HAVING count(*) >= 60),
+t AS (SELECT avg(corr) AS top3 FROM (SELECT corr FROM c ORDER BY corr DESC LIMIT 3)),
+p AS (SELECT sector, sum(0.004 + code * 0.0001) AS raw FROM sectors WHERE code <= 10 GROUP BY sector),
+h AS (SELECT sector, raw, raw * CASE WHEN top3 >= 0.7 THEN 1.5 WHEN top3 >= 0.5 THEN 1.25 ELSE 1 END AS heat FROM p, t), s AS (SELECT *, sum(heat) OVER () AS total FROM h)
+SELECT sector, round(raw, 6) AS raw, round(heat, 6) AS heat, round(heat / total, 6) AS share, CASE WHEN total < 0.03 THEN 'cool' WHEN total < 0.06 THEN 'warm' WHEN total < 0.10 THEN 'hot' ELSE 'over' END AS zone FROM s""",
+)
+def portfolio_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A portfolio of ten codes with made-up risks."""
+    held = market.sectors(spark, sf_dir).filter("code <= 10")
+    return portfolio.heat(held.select("code", "sector", (0.004 + F.col("code") * 0.0001).alias("risk")), relative.correlations(market.bars(spark, sf_dir), held))
+
+
+@query(
+    "sector_correlations",
+    f"""r AS (SELECT code, date, close / nullif(lag(close) {_W}, 0) - 1 AS ret, lag(volume) {_W} AS weight FROM bars),
+d AS (SELECT sector, date, sum(ret * weight) / nullif(sum(weight), 0) AS ret FROM r JOIN sectors USING (code) WHERE ret IS NOT NULL GROUP BY ALL),
+p AS (SELECT a.sector AS sector_a, b.sector AS sector_b, a.date, a.ret AS x, b.ret AS y FROM d a JOIN d b ON a.date = b.date AND a.sector < b.sector)
+SELECT sector_a, sector_b, date, round(CASE WHEN count(*) OVER w >= 90 THEN corr(x, y) OVER w END, 6) AS corr FROM p WINDOW w AS (PARTITION BY sector_a, sector_b ORDER BY date ROWS 89 PRECEDING)""",
+    dates=("date",),
+)
+def sector_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.sector_correlations(market.bars(spark, sf_dir), market.sectors(spark, sf_dir))
+
+
+@query(
+    "factor_exposure",
+    _RET
+    + """, f0 AS (SELECT date, close / nullif(lag(close) OVER w, 0) - 1 AS mkt, close / nullif(lag(close, 20) OVER w, 0) - 1 AS m20 FROM idx WINDOW w AS (ORDER BY date)),
+f AS (SELECT date, mkt, lag(m20) OVER (ORDER BY date) AS mom FROM f0),
+o AS (SELECT code, ret, mkt, mom FROM ret JOIN f USING (date) WHERE ret IS NOT NULL AND mkt IS NOT NULL AND mom IS NOT NULL),
+s AS (SELECT code, covar_pop(mkt, mkt) AS aa, covar_pop(mkt, mom) AS ab, covar_pop(mom, mom) AS bb, covar_pop(mkt, ret) AS ar, covar_pop(mom, ret) AS br, avg(mkt) AS ma, avg(mom) AS mb, avg(ret) AS mr FROM o GROUP BY code),
+l AS (SELECT *, (ar * bb - br * ab) / (aa * bb - ab * ab) AS market, (br * aa - ar * ab) / (aa * bb - ab * ab) AS momentum FROM s)
+SELECT code, round(market, 6) AS market, round(momentum, 6) AS momentum, round(mr - market * ma - momentum * mb, 6) AS alpha FROM l""",
+)
+def factor_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = market.bars(spark, sf_dir)
+    return portfolio.factor_exposure(frame, market.index_bars(frame))
+
+
+@query("kelly_shares", _PNL + " , k AS (SELECT code, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS p, avg(CASE WHEN ret > 0 THEN ret END) / nullif(abs(avg(CASE WHEN ret <= 0 THEN ret END)), 0) AS payoff FROM p GROUP BY code) SELECT code, round(p, 6) AS p, round(payoff, 6) AS payoff, round(greatest(0, (p - (1 - p) / nullif(payoff, 0)) / 2), 6) AS share FROM k")
+def kelly_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = market.trades(spark, sf_dir).withColumn("ret", F.try_divide(F.col("proceeds") - F.col("cost"), "cost"))
+    return portfolio.kelly(closed)
+
+
+@query(
+    "case_search",
+    """c AS (SELECT vec_id % 40 AS code, DATE '2020-01-01' + (vec_id * 3)::INTEGER AS date, embedding::DOUBLE[] AS v FROM embeddings),
+q AS (SELECT * FROM c ORDER BY date DESC, code LIMIT 1),
+s AS (SELECT c.code, c.date, greatest(0, least(list_cosine_similarity(c.v, q.v), 1)) AS similarity, date_diff('day', c.date, q.date) AS age FROM c, q WHERE c.code <> q.code AND c.date < q.date),
+b AS (SELECT code, date, similarity, similarity * pow(2.0, -age / 730.0) AS score FROM s WHERE similarity >= 0.05 ORDER BY score DESC, code, date LIMIT 30),
+o AS (SELECT *, row_number() OVER (PARTITION BY code, date_trunc('month', date) ORDER BY score DESC, date) AS n FROM b)
+SELECT code, date, round(similarity, 6) AS similarity, round(score, 6) AS score FROM o WHERE n = 1 ORDER BY score DESC, code, date LIMIT 10""",
+    dates=("date",),
+)
+def case_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = market.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 40).alias("code"), F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("vec_id") * 3).cast("int")).alias("date"), F.col("embedding").alias("vector"))
+    return cases.search(rows, rows.orderBy(F.desc("date"), "code"), least=0.05)
+
+
+@query(
+    "label_profile",
+    """l AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings), m AS (SELECT label, place, avg(x) AS mean, count(*) AS n FROM l GROUP BY ALL)
+SELECT label, max(n) AS n, array_to_string((list(place ORDER BY abs(round(mean, 9)) DESC, place DESC))[1:3], ',') AS top_places, max(n) >= 30 AS confident FROM m GROUP BY label""",
+)
+def label_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.profile(market.table(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
+@query("vector_clusters")
+def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.clusters(market.table(spark, sf_dir, "embeddings"), 8)
+
+
+@query(
+    "trailing_stops",
+    _MOVING
+    + """, e AS (SELECT code, min(date) AS entry_date, first(close ORDER BY date) AS entry FROM mv WHERE atr_14 IS NOT NULL GROUP BY code),
+h AS (SELECT mv.code, entry_date, date, close, entry, atr_14, max(high) OVER (PARTITION BY mv.code ORDER BY date) AS top FROM mv JOIN e ON mv.code = e.code AND date >= entry_date),
+p AS (SELECT *, CASE WHEN (top - entry) / (entry * 0.07) >= 2 THEN 3 WHEN (top - entry) / (entry * 0.07) >= 1.5 THEN 2 WHEN (top - entry) / (entry * 0.07) >= 1 THEN 1 ELSE 0 END AS phase FROM h),
+l AS (SELECT *, greatest(CASE phase WHEN 3 THEN top - 1.5 * atr_14 WHEN 2 THEN top - 2 * atr_14 WHEN 1 THEN entry ELSE entry * 0.93 END, entry * 0.93) AS level FROM p)
+SELECT code, entry_date, date, round(top, 2) AS top, phase::INTEGER AS phase, round(max(level) OVER (PARTITION BY code ORDER BY date), 2) AS stop FROM l""",
+    digits=2,
+    dates=("date", "entry_date"),
+)
+def trailing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = market.bars(spark, sf_dir)
+    ready = indicators.moving(frame).filter("atr_14 is not null")
+    entries = ready.groupBy("code").agg(F.min("date").alias("entry_date"), F.min_by("close", "date").alias("entry"))
+    return signals.trailing_stop(frame, entries).select("code", "entry_date", "date", "top", "phase", "stop")
