@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import rounded
-from quantloom.operators import aggregates, attention, backtest, cases, indicators, joins, portfolio, relative, risk, screener, signals, similarity
+from quantloom.operators import aggregates, attention, backtest, cases, fundamental, indicators, joins, portfolio, relative, risk, screener, signals, similarity
 from quantloom.sources import market
 from quantloom.streaming import quotes
 
@@ -841,8 +841,8 @@ def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT mv.code, entry_date, date, close, entry, atr_14, max(high) OVER (PARTITION BY mv.code ORDER BY date) AS top FROM mv JOIN e ON mv.code = e.code AND date >= entry_date),
 p AS (SELECT *, CASE WHEN (top - entry) / (entry * 0.07) >= 2 THEN 3 WHEN (top - entry) / (entry * 0.07) >= 1.5 THEN 2 WHEN (top - entry) / (entry * 0.07) >= 1 THEN 1 ELSE 0 END AS phase FROM h),
 l AS (SELECT *, greatest(CASE phase WHEN 3 THEN top - 1.5 * atr_14 WHEN 2 THEN top - 2 * atr_14 WHEN 1 THEN entry ELSE entry * 0.93 END, entry * 0.93) AS level FROM p)
-SELECT code, entry_date, date, round(top, 2) AS top, phase::INTEGER AS phase, round(max(level) OVER (PARTITION BY code ORDER BY date), 2) AS stop FROM l""",
-    digits=2,
+SELECT code, entry_date, date, round(top, 6) AS top, phase::INTEGER AS phase, round(max(level) OVER (PARTITION BY code ORDER BY date), 6) AS stop FROM l""",
+    digits=6,
     dates=("date", "entry_date"),
 )
 def trailing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -850,3 +850,55 @@ def trailing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = indicators.moving(frame).filter("atr_14 is not null")
     entries = ready.groupBy("code").agg(F.min("date").alias("entry_date"), F.min_by("close", "date").alias("entry"))
     return signals.trailing_stop(frame, entries).select("code", "entry_date", "date", "top", "phase", "stop")
+
+
+_GROWTH = "g0 AS (SELECT *, lag(revenue, 4) OVER (PARTITION BY industry ORDER BY quarter_end) AS before FROM fundamentals), g AS (SELECT *, CASE WHEN before < 0 AND revenue > 0 THEN NULL WHEN before < 0 AND revenue < 0 THEN -(revenue / before - 1) ELSE revenue / nullif(before, 0) - 1 END AS growth FROM g0)"
+
+
+@query("revenue_growth", _GROWTH + " SELECT industry, quarter_end, available_date, round(growth, 6) AS growth FROM g", dates=("quarter_end", "available_date"))
+def revenue_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fundamental.revenue_growth(market.fundamentals(spark, sf_dir), "industry", "quarter_end").select("industry", "quarter_end", "available_date", "growth")
+
+
+@query(
+    "revenue_streaks",
+    _GROWTH
+    + """, k AS (SELECT industry, sign(growth) AS s, row_number() OVER w AS i, first_value(sign(growth)) OVER w AS last FROM g WHERE growth IS NOT NULL WINDOW w AS (PARTITION BY industry ORDER BY quarter_end DESC)),
+r AS (SELECT industry, any_value(last) AS last, coalesce(min(CASE WHEN s <> last OR s = 0 THEN i END) - 1, max(i)) AS n FROM k GROUP BY industry)
+SELECT industry, CASE WHEN last > 0 THEN n ELSE 0 END::BIGINT AS up, CASE WHEN last < 0 THEN n ELSE 0 END::BIGINT AS down FROM r""",
+)
+def revenue_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fundamental.streaks(fundamental.revenue_growth(market.fundamentals(spark, sf_dir), "industry", "quarter_end"), "industry", "quarter_end")
+
+
+@query(
+    "attention_features",
+    """d AS (SELECT doc_id % 20 AS code, DATE '2000-01-01' + (doc_id % 60)::INTEGER AS day, source FROM documents),
+a AS (SELECT code, CASE dayofweek(day) WHEN 6 THEN day + 2 WHEN 0 THEN day + 1 ELSE day END AS date, count(*) AS articles, count(DISTINCT source) AS sources FROM d GROUP BY ALL),
+b AS (SELECT bars.code, bars.date, coalesce(articles, 0) AS n, articles, sources FROM bars LEFT JOIN a ON a.code = bars.code AND a.date = bars.date)
+SELECT code, date, sum(n) OVER (PARTITION BY code ORDER BY date ROWS 6 PRECEDING)::BIGINT AS articles_7, round(n / nullif(avg(n) OVER (PARTITION BY code ORDER BY date ROWS 29 PRECEDING), 0), 6) AS spike,
+       coalesce(max(sources) OVER (PARTITION BY code ORDER BY date ROWS 6 PRECEDING), 0)::BIGINT AS sources_7,
+       least(coalesce(date_diff('day', max(CASE WHEN articles IS NOT NULL THEN date END) OVER (PARTITION BY code ORDER BY date), date), 30), 30)::INTEGER AS recency FROM b""",
+    dates=("date",),
+)
+def attention_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = market.table(spark, sf_dir, "documents")
+    news = docs.select((F.col("doc_id") % 20).alias("code"), F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("doc_id") % 60).cast("int")).alias("date"), "source", F.lit(1).alias("mentions"), F.lit(0).alias("polarity"))
+    return attention.attention_features(market.bars(spark, sf_dir), attention.daily_attention(news))
+
+
+@query(
+    "healed_last_day",
+    f"""r AS (SELECT *, lag(close) {_W} AS before, max(date) OVER (PARTITION BY code) AS newest FROM bars),
+h AS (SELECT *, coalesce(date = newest AND abs(close / nullif(before, 0) - 1) > 0.15 AND code % 7 <> 0, false) AS healed FROM r)
+SELECT code, date, round(CASE WHEN healed THEN before ELSE close END, 6) AS close, healed FROM h WHERE date = newest""",
+    dates=("date",),
+)
+def healed_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh code has a known action on its last day."""
+    from pyspark.sql import Window
+
+    frame = market.bars(spark, sf_dir)
+    actions = frame.groupBy("code").agg(F.max("date").alias("date")).filter("code % 7 = 0")
+    newest = F.max("date").over(Window.partitionBy("code"))
+    return screener.heal_last_day(frame, actions).withColumn("newest", newest).filter("date = newest").select("code", "date", "close", "healed")
