@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import rounded
-from quantloom.operators import aggregates, attention, backtest, cases, fundamental, indicators, joins, portfolio, relative, risk, screener, signals, similarity
+from quantloom.operators import aggregates, attention, backtest, cases, fundamental, indicators, joins, levels, monitoring, portfolio, relative, risk, screener, signals, similarity
 from quantloom.sources import market
 from quantloom.streaming import quotes
 
@@ -902,3 +902,86 @@ def healed_last_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions = frame.groupBy("code").agg(F.max("date").alias("date")).filter("code % 7 = 0")
     newest = F.max("date").over(Window.partitionBy("code"))
     return screener.heal_last_day(frame, actions).withColumn("newest", newest).filter("date = newest").select("code", "date", "close", "healed")
+
+
+@query(
+    "price_performance",
+    """r AS (SELECT *, row_number() OVER w AS n, lead(close, 5) OVER w AS p5, lead(close, 63) OVER w AS p63, lead(close, 252) OVER w AS p252 FROM bars WINDOW w AS (PARTITION BY code ORDER BY date DESC)),
+e AS (SELECT code, max(high) AS high, min(low) AS low, first(date ORDER BY high DESC, date) AS high_date, first(date ORDER BY low, date) AS low_date FROM r WHERE n <= 252 GROUP BY code)
+SELECT code, date, round(coalesce(close / p5 - 1, 0), 6) AS change_1w, round(coalesce(close / p63 - 1, 0), 6) AS change_3m, round(coalesce(close / p252 - 1, 0), 6) AS change_1y, high_date, low_date,
+       round(close / e.high - 1, 6) AS from_high, round(close / e.low - 1, 6) AS from_low FROM r JOIN e USING (code) WHERE n = 1""",
+    dates=("date", "high_date", "low_date"),
+)
+def price_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels.performance(market.bars(spark, sf_dir)).select("code", "date", "change_1w", "change_3m", "change_1y", "high_date", "low_date", "from_high", "from_low")
+
+
+@query(
+    "swing_points",
+    """r AS (
+  SELECT code, date, high, low, row_number() OVER (PARTITION BY code ORDER BY date) AS pos, count(*) OVER w AS n, max(high) OVER w AS top, min(low) OVER w AS bottom FROM bars
+  WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
+c AS (SELECT code, 'high' AS side, date, high AS price, high AS rank, pos FROM r WHERE n = 31 AND high = top UNION ALL SELECT code, 'low', date, low, -low, pos FROM r WHERE n = 31 AND low = bottom),
+f AS (SELECT code, side, list_reduce(list_prepend([], list_transform(list({'date': date, 'price': price, 'rank': rank, 'pos': pos} ORDER BY pos), lambda x: [x])),
+        lambda k, x: CASE WHEN len(k) = 0 OR x[1].pos - k[-1].pos >= 10 THEN k || x WHEN x[1].rank > k[-1].rank THEN k[:-2] || x ELSE k END) AS kept FROM c GROUP BY code, side),
+u AS (SELECT code, side, unnest(kept) AS x FROM f)
+SELECT code, side, x.date AS date, round(x.price, 6) AS price FROM u""",
+    dates=("date",),
+)
+def swing_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels.swings(market.bars(spark, sf_dir)).select("code", "side", "date", "price")
+
+
+@query("retracement_levels")
+def retracement_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = market.bars(spark, sf_dir)
+    return levels.retracements(frame, levels.swings(frame))
+
+
+@query(
+    "walk_forward",
+    _PNL
+    + """, w AS (SELECT date_trunc('quarter', close_date)::DATE AS start, count(*) AS trades, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(ret) AS mean_ret FROM p GROUP BY ALL)
+SELECT start, trades, round(win_rate, 6) AS win_rate, round(mean_ret, 6) AS mean_ret, round(mean_ret / nullif(lag(mean_ret) OVER (ORDER BY start), 0), 6) AS efficiency FROM w""",
+    dates=("start",),
+)
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitoring.walk_forward(market.trades(spark, sf_dir).withColumn("ret", F.try_divide(F.col("proceeds") - F.col("cost"), "cost")))
+
+
+@query(
+    "bounds_check",
+    _RET
+    + f""", b AS (SELECT code, date, ret, coalesce(ret < -0.5, false) AS below FROM ret), i AS (SELECT *, sum(CASE WHEN below THEN 0 ELSE 1 END) {_W} AS island FROM b),
+r AS (SELECT code, island, sum(below::INTEGER) AS run, sum(CASE WHEN ret BETWEEN -0.5 AND 0.8 THEN 1 ELSE 0 END) AS inside, count(ret) AS n FROM i GROUP BY ALL)
+SELECT code, round(sum(inside) / sum(n), 6) AS in_bounds, max(run)::BIGINT AS longest, max(run) >= 3 AS alarm FROM r GROUP BY code""",
+)
+def bounds_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.functions.windows import change
+
+    return monitoring.bounds_check(market.bars(spark, sf_dir).select("code", "date", change("close").alias("ret"), F.lit(-0.5).alias("low"), F.lit(0.8).alias("high")))
+
+
+@query(
+    "exposure",
+    """f AS (
+  SELECT date, close, CASE WHEN count(*) OVER f >= 20 THEN avg(close) OVER f END AS fast, CASE WHEN count(*) OVER s >= 60 THEN avg(close) OVER s END AS slow FROM idx
+  WINDOW f AS (ORDER BY date ROWS 19 PRECEDING), s AS (ORDER BY date ROWS 59 PRECEDING)),
+g AS (SELECT date, CASE WHEN close > fast AND fast > slow THEN 'bull' WHEN close < fast AND fast < slow THEN 'bear' ELSE 'sideways' END AS regime FROM f),
+n AS (SELECT *, coalesce(regime <> lag(regime) OVER (ORDER BY date), true)::INTEGER AS new FROM g), r AS (SELECT *, sum(new) OVER (ORDER BY date) AS run FROM n),
+s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY date) AS streak FROM r)
+SELECT date, regime, streak::INTEGER AS streak,
+       coalesce(last_value(CASE WHEN streak >= 2 OR regime = 'bear' THEN CASE regime WHEN 'bull' THEN 1.0 WHEN 'bear' THEN 0.3 ELSE 0.6 END END IGNORE NULLS) OVER (ORDER BY date), 1.0)::DOUBLE AS exposure FROM s""",
+    dates=("date",),
+)
+def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regimes = relative.regime(market.index_bars(market.bars(spark, sf_dir))).select("date", "regime")
+    return monitoring.exposure(regimes, {"bull": 1.0, "bear": 0.3, "sideways": 0.6}, at_once=("bear",))
+
+
+@query("mean_intervals")
+def mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.functions.windows import change
+
+    returns = market.bars(spark, sf_dir).select("code", change("close").alias("ret"))
+    return monitoring.mean_interval(returns, "code", "ret", draws=200)
