@@ -534,7 +534,7 @@ p AS (
          min(date) AS first, max(date) AS last FROM ret GROUP BY code),
 c AS (SELECT *, rows / ((date_diff('day', first, last) + 1) * 5 / 7) AS coverage FROM p, n)
 SELECT code, rows, jumps::BIGINT AS jumps, first, last, round(coverage, 6) AS coverage,
-       round(greatest(0, 1 - 0.3 * (inconsistent > 0)::INTEGER - 0.1 * ((jumps > 0)::INTEGER + (coverage < 0.8)::INTEGER + (date_diff('day', last, newest) > 5)::INTEGER)), 6) AS score FROM c""",
+       round(greatest(0, 1 - 0.3::DOUBLE * (inconsistent > 0)::INTEGER - 0.1 * ((jumps > 0)::INTEGER + (coverage < 0.8)::INTEGER + (date_diff('day', last, newest) > 5)::INTEGER)), 6) AS score FROM c""",
     dates=("first", "last"),
 )
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -762,7 +762,7 @@ def stress_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     _RET
     + """, c AS (SELECT a.code AS code_a, b.code AS code_b, corr(a.ret, b.ret) AS corr FROM ret a JOIN ret b ON a.date = b.date AND a.code < b.code WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL AND b.code <= 10 GROUP BY ALL HAVING count(*) >= 60),
 t AS (SELECT avg(corr) AS top3 FROM (SELECT corr FROM c ORDER BY corr DESC LIMIT 3)),
-p AS (SELECT sector, sum(0.004 + code * 0.0001) AS raw FROM sectors WHERE code <= 10 GROUP BY sector),
+p AS (SELECT sector, sum(0.004::DOUBLE + code * 0.0001::DOUBLE) AS raw FROM sectors WHERE code <= 10 GROUP BY sector),
 h AS (SELECT sector, raw, raw * CASE WHEN top3 >= 0.7 THEN 1.5 WHEN top3 >= 0.5 THEN 1.25 ELSE 1 END AS heat FROM p, t), s AS (SELECT *, sum(heat) OVER () AS total FROM h)
 SELECT sector, round(raw, 6) AS raw, round(heat, 6) AS heat, round(heat / total, 6) AS share, CASE WHEN total < 0.03 THEN 'cool' WHEN total < 0.06 THEN 'warm' WHEN total < 0.10 THEN 'hot' ELSE 'over' END AS zone FROM s""",
 )
