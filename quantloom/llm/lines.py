@@ -43,9 +43,11 @@ def _tokens(masked: str) -> Column:
 def _templates(lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
     """The lines of leaves with enough lines, with their template. Texts of lines meet their leaves once; what recurs is stored."""
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("lo"), F.max("line").alias("hi")).filter(F.col("n") >= min_docs)
+    # Stored, so that the join has a shuffle on either side, of which Spark can split the part of a hot leaf.
+    leaves = shared.stored(leaves.select("leaf", "lo", "hi"), "leaves")
     own = ["doc_id", "text_hash", "at", "size", "leaf", "line"]
     hashed = F.when(F.col("lo") != F.col("hi"), F.transform(_tokens("masked"), lambda t: F.xxhash64(t)))
-    met = shared.stored(lines.join(leaves.select("leaf", "lo", "hi"), "leaf").select(*own, hashed.alias("tokens")), "lines")
+    met = shared.stored(lines.join(leaves, "leaf").select(*own, hashed.alias("tokens")), "lines")
     plain = met.filter(F.col("tokens").isNull()).select(*own, F.col("line").alias("template"))
     varied = met.filter(F.col("tokens").isNotNull())
     votes = varied.groupBy("leaf", "line").agg(F.min("tokens").alias("tokens")).select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -72,6 +74,7 @@ def drop_recurring_lines(
     ids = [F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
     lines = _templates(_parsed(docs.select(*ids, F.col(text).alias("text")), depth, min_tokens), depth, similarity, min_docs)
     recurring = lines.groupBy("template", "doc_id", "text_hash").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+    recurring = shared.stored(recurring.select("template"), "templates")
     gone = lines.join(recurring, "template", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("at", "size")).alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *ids)
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").withColumn("text", F.col("row")[text])
