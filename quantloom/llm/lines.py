@@ -15,8 +15,10 @@ from quantloom.llm import shared
 SPACE = r"[\x20\x09-\x0D]+"
 #: Leading tokens of the tree; share of the further tokens that an instance has from its template.
 DEPTH, SIMILARITY = 3, 0.6
-#: Shorter lines recur by chance; a template that fewer documents have is not boilerplate; documents of which more would go are copies.
+#: Shorter lines recur by chance; a template that fewer documents have is not boilerplate; documents of which more would go may be copies.
 MIN_TOKENS, MIN_DOCS, MAX_SHARE = 4, 5, 0.5
+#: Lines of more tokens do not recur by chance: two documents are enough.
+LONG_TOKENS = 50
 
 
 def _lines(text: Column) -> Column:
@@ -28,12 +30,18 @@ def _size(array: str) -> Column:
 
 
 def _parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(doc_id, text_hash, at, size, masked, line, leaf) of the lines that are long enough."""
-    lines = docs.select("doc_id", "text_hash", F.posexplode(_lines(F.col("text"))).alias("at", "raw"))
+    """(doc_id, text_hash, chars, filled, at, size, masked, line, leaf, long) of the lines that are long enough; filled: lines that are not blank."""
+    filled = F.size(F.filter(_lines(F.col("text")), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != ""))
+    lines = docs.select("doc_id", "text_hash", F.length("text").alias("chars"), filled.alias("filled"), F.posexplode(_lines(F.col("text"))).alias("at", "raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(F.col("raw"))
-    rows = lines.select("doc_id", "text_hash", "at", F.length("raw").alias("size"), F.trim(F.translate(masked, "\t\x0b\x0c\r", "    ")).alias("masked"))
+    rows = lines.select("doc_id", "text_hash", "chars", "filled", "at", F.length("raw").alias("size"), F.trim(F.translate(masked, "\t\x0b\x0c\r", "    ")).alias("masked"))
     tokens = _tokens("masked")
-    return rows.filter(F.size(tokens) >= min_tokens).withColumns({"line": F.xxhash64("masked"), "leaf": F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))})
+    return rows.filter(F.size(tokens) >= min_tokens).withColumns({"line": F.xxhash64("masked"), "leaf": F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth)), "long": F.size(tokens) > LONG_TOKENS})
+
+
+def _enough(n: str, min_docs: int) -> Column:
+    """Whether so many documents make a line recur: a long one from two on."""
+    return F.col(n) >= F.when(F.col("long"), F.least(F.lit(2), F.lit(min_docs))).otherwise(F.lit(min_docs))
 
 
 def _tokens(masked: str) -> Column:
@@ -42,10 +50,10 @@ def _tokens(masked: str) -> Column:
 
 def _templates(lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
     """The lines of leaves with enough lines, with their template. Texts of lines meet their leaves once; what recurs is stored."""
-    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("lo"), F.max("line").alias("hi")).filter(F.col("n") >= min_docs)
+    leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.first("long").alias("long"), F.min("line").alias("lo"), F.max("line").alias("hi")).filter(_enough("n", min_docs))
     # Stored, so that the join has a shuffle on either side, of which Spark can split the part of a hot leaf.
     leaves = shared.stored(leaves.select("leaf", "lo", "hi"), "leaves")
-    own = ["doc_id", "text_hash", "at", "size", "leaf", "line"]
+    own = ["doc_id", "text_hash", "chars", "filled", "at", "size", "leaf", "line", "long"]
     hashed = F.when(F.col("lo") != F.col("hi"), F.transform(_tokens("masked"), lambda t: F.xxhash64(t)))
     met = shared.stored(lines.join(leaves, "leaf").select(*own, hashed.alias("tokens")), "lines")
     plain = met.filter(F.col("tokens").isNull()).select(*own, F.col("line").alias("template"))
@@ -63,23 +71,33 @@ def _templates(lines: DataFrame, depth: int, similarity: float, min_docs: int) -
 def drop_recurring_lines(
     docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """The rows of `docs` with their text less the lines whose template at least `min_docs` documents have, and n_lines and n_dropped.
-
-    Lines of fewer than `min_tokens` tokens stay. A document of which more than `max_share` of the characters would go keeps
-    all: it is a copy, which a search for near-duplicates finds, not a text with boilerplate. Null and empty texts stay as
-    they are (n_lines 0 for null). Rows of equal id and text count as one document and are treated alike; null ids are ids.
-    Columns named n_lines or n_dropped are replaced.
+    """The rows of `docs` with their text less recurring lines, and n_lines and n_dropped.
+
+    A line recurs if at least `min_docs` documents have its template, or two if it has more than LONG_TOKENS tokens. Recurring
+    lines go from every document, with two exceptions, which keep what copies have in common once: a long line stays at its
+    first place (of the least doc_id), and so does each template at its first place among the documents that lose more than
+    `max_share` of their characters. A document is never emptied: one of recurring lines only keeps all (and is the first
+    place of its lines), since to drop a whole document is for a search for near-duplicates. Null and empty texts stay as
+    they are (n_lines 0 for null). Rows of equal id and text count as one document and are treated alike; null ids are ids,
+    after all others. Columns named n_lines or n_dropped are replaced.
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     ids = [F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")]
     lines = _templates(_parsed(docs.select(*ids, F.col(text).alias("text")), depth, min_tokens), depth, similarity, min_docs)
-    recurring = lines.groupBy("template", "doc_id", "text_hash").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
-    recurring = shared.stored(recurring.select("template"), "templates")
-    gone = lines.join(recurring, "template", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("at", "size")).alias("gone"))
+    recurring = lines.groupBy("template", "doc_id", "text_hash").agg(F.first("long").alias("long")).groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.first("long").alias("long"))
+    recurring = shared.stored(recurring.filter(_enough("n", min_docs)).select("template"), "templates")
+    met = lines.join(recurring, "template", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    gone = met.agg(F.first("chars").alias("chars"), F.first("filled").alias("filled"), F.collect_set(F.struct("at", "size", "template", "long")).alias("gone"))
+    size = F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    gone = shared.stored(gone.select("d", "h", "gone", (F.size("gone") >= F.col("filled")).alias("whole"), (size > F.col("chars") * max_share).alias("most")), "gone")
+    each = gone.select("d", "h", "whole", "most", F.explode("gone").alias("x")).filter(F.col("most") | F.col("x.long"))
+    first = each.groupBy("x.template").agg(F.min(F.struct(~F.col("whole"), F.col("d").isNull(), "d", "h", "x.at")).alias("first"))
+    held = first.groupBy(F.col("first.d").alias("hd"), F.col("first.h").alias("hh")).agg(F.collect_set("first.at").alias("held"))
+    gone = gone.filter(~F.col("whole")).join(held, F.col("d").eqNullSafe(F.col("hd")) & (F.col("h") == F.col("hh")), "left")
+    went = F.array_except(F.transform("gone", lambda x: x["at"]), F.coalesce("held", F.array().cast("array<int>")))
+    gone = gone.select("d", "h", went.alias("drop")).filter(F.size("drop") > 0)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *ids)
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").withColumn("text", F.col("row")[text])
-    size = F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["size"])
-    out = out.withColumn("drop", F.when(size <= F.length("text") * max_share, F.transform("gone", lambda x: x["at"])))
     out = out.withColumn("lines", F.when(F.col("text").isNotNull(), _lines(F.col("text"))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop"), lambda i: F.get("lines", i))
     fresh = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

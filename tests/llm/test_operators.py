@@ -246,3 +246,20 @@ def test_op10_equals_brute_force(spark, tmp_path):
         assert r[4] == brute.sha(",".join(joined)) and set(joined) <= set(r[5].split(",")) | {""}
         added = set(filter(None, r[5].split(","))) - set(joined)
         assert {x.split(":")[0] for x in added} == ({"iban", "ssn", "passport"} if i == 7 else set())
+
+
+def test_op8_cleans_documents_that_are_mostly_boilerplate(spark):
+    prose = lambda seed, n: " ".join(random.Random(seed).choices([f"w{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(26)], k=n))
+    menu, passage = [prose(k, 8) for k in range(1, 7)], prose(50, 60)
+    docs = [(k, "\n".join([*menu, prose(100 + k, 25)])) for k in range(6)]
+    docs += [(20, prose(200, 70) + "\n" + passage), (21, passage + "\n" + prose(201, 70)), (22, passage + "\n" + prose(202, 90))]
+    docs += [(30, menu[0]), (31, prose(300, 60)), (32, prose(300, 60))]
+    got = {r.doc_id: r for r in lines.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    text = dict(docs)
+    assert len("".join(menu)) > len(text[1]) / 2
+    # The menu stays once (its first line in the document that has nothing else), the own text of all pages stays.
+    assert got[0].text == "\n".join([*menu[1:], prose(100, 25)]) and [got[k].text for k in range(1, 6)] == [prose(100 + k, 25) for k in range(1, 6)]
+    # A passage of two and more documents stays at its first place.
+    assert got[20].text == text[20] and got[21].text == prose(201, 70) and got[22].text == prose(202, 90)
+    # Whole documents are not emptied.
+    assert all(got[k].text == text[k] and got[k].n_dropped == 0 for k in (30, 31, 32))
