@@ -2,11 +2,15 @@
 
 The tree has a fixed depth: a line goes to a leaf by its number of tokens and its first tokens; tokens with a digit are
 fields from the start. The different lines of a leaf vote on the token of each further place; a line that has most of
-the elected tokens is an instance of the leaf's template, its other tokens being fields; any other line is a template of its own.
+the elected tokens is an instance of the leaf's template, its other tokens being fields. The other lines vote again; where
+a vote finds nothing, the leaf branches, each line following the most frequent of its tokens. A line that no vote
+matches while its branch has enough documents is a template of its own.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,10 @@ def _size(array: str) -> Column:
 
 def _parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """(doc_id, text_hash, chars, filled, at, size, masked, line, leaf, long) of the lines that are long enough; filled: lines that are not blank."""
-    filled = F.size(F.filter(_lines(F.col("text")), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != ""))
-    lines = docs.select("doc_id", "text_hash", F.length("text").alias("chars"), filled.alias("filled"), F.posexplode(_lines(F.col("text"))).alias("at", "raw"))
+    # Columns of documents are made before the lines are exploded: beside an explode they would be made for each line.
+    filled = F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""))
+    docs = docs.select("doc_id", "text_hash", F.length("text").alias("chars"), _lines(F.col("text")).alias("lines")).select("doc_id", "text_hash", "chars", filled.alias("filled"), "lines")
+    lines = docs.select("doc_id", "text_hash", "chars", "filled", F.posexplode("lines").alias("at", "raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(F.col("raw"))
     rows = lines.select("doc_id", "text_hash", "chars", "filled", "at", F.length("raw").alias("size"), F.trim(F.translate(masked, "\t\x0b\x0c\r", "    ")).alias("masked"))
     tokens = _tokens("masked")
@@ -58,14 +64,48 @@ def _templates(lines: DataFrame, depth: int, similarity: float, min_docs: int) -
     met = shared.stored(lines.join(leaves, "leaf").select(*own, hashed.alias("tokens")), "lines")
     plain = met.filter(F.col("tokens").isNull()).select(*own, F.col("line").alias("template"))
     varied = met.filter(F.col("tokens").isNotNull())
-    votes = varied.groupBy("leaf", "line").agg(F.min("tokens").alias("tokens")).select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
-    won = votes.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("n"))
-    elected = F.when(F.col("best")["n"] * 2 > F.col("n"), F.col("best")["token"])
-    chosen = won.select("leaf", "place", elected.alias("token")).groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("elected"))
+    elected = _elected(varied, depth, similarity, min_docs)
+    template = F.coalesce("template", "line").alias("template")
+    return plain.union(varied.join(elected, ["leaf", "line"], "left").select(*own, template))
+
+
+def _elected(varied: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
+    """(leaf, line, template) of the lines that are instances of an elected template. Each round of votes is stored."""
+    docs = varied.groupBy("leaf", "line", "doc_id", "text_hash").agg(F.first("long").alias("long"), F.min("tokens").alias("tokens"))
+    left = docs.groupBy("leaf", "line").agg(F.first("long").alias("long"), F.min("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).withColumn("branch", F.col("leaf"))
+    left, found = shared.stored(left, "left"), []
     rest = F.greatest(F.size("tokens") - depth, F.lit(0))
     same = F.size(F.filter(F.zip_with(F.slice("tokens", depth + 1, rest), F.slice("elected", depth + 1, rest), lambda a, b: a == b), lambda x: x))
-    instance = F.when(same >= rest * similarity, F.xxhash64(F.lit("template"), "leaf")).otherwise(F.col("line"))
-    return plain.union(varied.join(chosen, "leaf").select(*own, instance.alias("template")))
+    while True:
+        votes = _votes(left)
+        won = votes.groupBy("branch", "place").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("n"))
+        elected = F.when(F.col("best")["n"] * 2 > F.col("n"), F.col("best")["token"])
+        chosen = won.select("branch", "place", "n", elected.alias("token")).groupBy("branch").agg(
+            F.max("n").alias("before"), F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("elected")
+        )
+        judged = left.join(chosen, "branch").withColumn("instance", same >= rest * similarity)
+        judged = shared.stored(judged.select(*left.columns, "before", "instance"), "judged")
+        found.append(judged.filter("instance").select("leaf", "line", F.xxhash64(F.lit("template"), "branch", "before").alias("template")))
+        lost = judged.filter(~F.col("instance"))
+        # Branches of two lines and enough documents go on: unsplit if some of their lines have found a template.
+        open_ = lost.groupBy("branch").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("n"), F.first("long").alias("long"), F.first("before").alias("before"))
+        open_ = open_.filter((F.col("lines") > 1) & _enough("n", min_docs)).select("branch", "lines", (F.col("lines") < F.col("before")).alias("again"))
+        lost = shared.stored(lost.drop("before", "instance").join(open_, "branch"), "lost")
+        again, split = lost.filter("again").select(*left.columns), lost.filter("NOT again")
+        places = split.select("branch", "line", "lines", F.posexplode("tokens").alias("place", "token"))
+        own = places.join(_votes(split), ["branch", "place", "token"]).filter((F.col("n") > 1) & (F.col("n") < F.col("lines")))
+        own = own.groupBy("branch", "line").agg(F.max(F.struct("n", "place", "token")).alias("x")).select("branch", "line", F.xxhash64("branch", "x.place", "x.token").alias("to"))
+        split = split.join(own, ["branch", "line"]).withColumn("branch", F.col("to")).select(*left.columns)
+        left = again.union(split)
+        open_ = left.groupBy("branch").agg(F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("n"), F.first("long").alias("long"))
+        left = shared.stored(left.join(open_.filter((F.col("lines") > 1) & _enough("n", min_docs)).select("branch"), "branch", "left_semi").select(*left.columns), "left")
+        if left.isEmpty():
+            return functools.reduce(DataFrame.union, found)
+
+
+def _votes(lines: DataFrame) -> DataFrame:
+    """(branch, place, token, n) of different lines."""
+    return lines.select("branch", F.posexplode("tokens").alias("place", "token")).groupBy("branch", "place", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def drop_recurring_lines(

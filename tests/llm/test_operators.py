@@ -263,3 +263,20 @@ def test_op8_cleans_documents_that_are_mostly_boilerplate(spark):
     assert got[20].text == text[20] and got[21].text == prose(201, 70) and got[22].text == prose(202, 90)
     # Whole documents are not emptied.
     assert all(got[k].text == text[k] and got[k].n_dropped == 0 for k in (30, 31, 32))
+
+
+def test_op8_finds_several_templates_in_one_leaf(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    start, docs = "this page was", []
+    one, two, three = ([word() for _ in range(9)] for _ in range(3))
+    kinds = {}
+    for k in range(260):
+        fixed = one if k < 25 else two if k < 50 else three if k < 58 else None
+        own = [word() for _ in range(9)]
+        if fixed:  # two fields of nine
+            own = [own[j] if j in (3, 6) else w for j, w in enumerate(fixed)]
+        kinds[k] = fixed is not None
+        docs.append((k, f"{start} {' '.join(own)}\n" + " ".join(word() for _ in range(30))))
+    got = lines.drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_dropped == 1 for r in got} == kinds
