@@ -131,3 +131,9 @@ def test_alerts_cool_down(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     out = quotes.drain(quotes.alerts(quotes.ticks(spark, f"{tmp_path}/in", schema), "price > 5"), f"file://{tmp_path}/out")
     assert sorted((r.ts - at).total_seconds() / 3600 for r in out.collect()) == [0, 24, 50]
+
+
+def test_nearest_vectors_of_any_number_of_queries(spark):
+    vectors = spark.range(5000).selectExpr("id AS vec_id", "array(cos(id / 5000D), sin(id / 5000D)) AS embedding")
+    got = {r.query_id: r.vec_id for r in similarity.nearest_vectors(vectors, vectors, 1).collect()}
+    assert len(got) == 5000 and all(0 < abs(q - v) <= 8 for q, v in got.items())
