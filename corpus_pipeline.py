@@ -24,8 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; n_chars follows the text."""
-    out = drop_recurring_lines(docs)
+    """Lines of recurring templates stay at their first place only; n_chars follows the text.
+
+    Documents that have most of their text from one other document keep it, since the next stage judges copies whole. A
+    document left without a word goes: all of its lines have another place. Null texts stay.
+    """
+    out = drop_recurring_lines(docs, keep_copies=True).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

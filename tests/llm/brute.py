@@ -119,32 +119,70 @@ def personal(text):
     return sorted(out)
 
 
-def lines(rows, depth=3, similarity=0.6, min_tokens=4, min_docs=5, max_share=0.5):
-    """doc_id: lines, lines dropped, hash of the text left."""
-    parsed = []
-    for i, t in rows:
-        for k, line in enumerate((t or "").split("\n") if t is not None else []):
-            tokens = tuple(words(re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", line)))
+def templates(leaf, depth, similarity, need):
+    """line: places of its template's constants, for the lines of a leaf with their numbers of documents."""
+    found, branches = {}, [leaf]
+    while branches:
+        lines = branches.pop()
+        votes, total = Counter(), sum(lines.values())
+        for line, n in lines.items():
+            votes.update({(p, t): n for p, t in enumerate(line) if p >= depth})
+        forms, support, below = {}, Counter(), defaultdict(dict)
+        for line, n in lines.items():
+            form = tuple((p, t) for p, t in enumerate(line) if p >= depth and votes[p, t] >= need)
+            if len(form) >= (len(line) - depth) * similarity:
+                forms[line] = form
+                support[form] += n
+        for line, form in forms.items():
+            if support[form] >= need:
+                found[line] = form
+            elif best := max(((votes[p, t], p, t) for p, t in form if votes[p, t] < total), default=None):
+                below[best][line] = lines[line]
+        branches += below.values()
+    own = set(found.values())
+    for line in set(leaf) - set(found):
+        fits = [f for f in own if all(line[p] == t for p, t in f)]
+        if fits:
+            found[line] = max(fits, key=lambda f: (len(f), [p for p, _ in f]))
+    return found
+
+
+def lines(rows, depth=3, similarity=0.6, min_tokens=4, min_docs=5, keep_copies=False, copy_share=0.8):
+    """(doc_id, text): lines, those of recurring templates, lines dropped, the document it copies, hash of the text left."""
+    need = lambda n: 2 if n > 50 else min_docs
+    parsed, chars, leaves = [], {}, defaultdict(lambda: defaultdict(set))
+    for i, t in dict.fromkeys(rows):
+        chars[i, t] = sum(map(len, words(t)))
+        for k, line in enumerate((t or "").split("\n")):
+            tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in words(line))
             if len(tokens) >= min_tokens:
-                parsed.append((i, k, len(line), tokens, (len(tokens), tokens[:depth])))
-    leaves = defaultdict(set)
-    for p in parsed:
-        leaves[p[4]].add(p[3])
-    elected = {}
-    for leaf, variants in leaves.items():
-        most = [Counter(column).most_common(1)[0] for column in zip(*variants, strict=True)]
-        elected[leaf] = [t if 2 * n > len(variants) else None for t, n in most]
-    docs, of = defaultdict(set), {}
-    for i, k, size, tokens, leaf in parsed:
-        same = sum(a == b for a, b in zip(tokens[depth:], elected[leaf][depth:], strict=True))
-        key = ("leaf", leaf) if len(leaves[leaf]) > 1 and same >= (len(tokens) - depth) * similarity else tokens
-        docs[key].add(i)
-        of[i, k] = (key, size)
+                parsed.append(((i, t), k, sum(map(len, words(line))), tokens))
+                leaves[len(tokens), tokens[:depth]][tokens].add((i, t))
+    of = {}
+    for (n, start), variants in leaves.items():
+        if len(variants) == 1:
+            of |= {line: line for line in variants}
+        else:
+            of |= {line: (n, start, form) for line, form in templates({x: len(d) for x, d in variants.items()}, depth, similarity, need(n)).items()}
+    docs, first = defaultdict(set), {}
+    for d, k, _, tokens in parsed:
+        if tokens in of:
+            key = of[tokens]
+            docs[key].add(d)
+            place = (d[0] is None, d[0] or 0, k)
+            first[key] = min(first.get(key, (place, d, k)), (place, d, k), key=lambda x: x[0])
+    recurring, gone, shares = Counter(), defaultdict(set), defaultdict(Counter)
+    for d, k, size, tokens in parsed:
+        key = of.get(tokens)
+        if key is not None and len(docs[key]) >= need(len(tokens)):
+            recurring[d] += 1
+            shares[d][first[key][1]] += size
+            if first[key][1:] != (d, k):
+                gone[d].add(k)
     out = {}
-    for i, t in rows:
-        gone = {k: size for (d, k), (key, size) in of.items() if d == i and len(docs[key]) >= min_docs}
-        if sum(gone.values()) > len(t or "") * max_share:
-            gone = {}
-        each = [] if t is None else t.split("\n")
-        out[i] = (len(each), len(gone), sha("\n".join(x for k, x in enumerate(each) if k not in gone)))
+    for d in chars:
+        origin = max((o[0] for o, n in shares[d].items() if o != d and n >= chars[d] * copy_share), default=None)
+        drop = set() if keep_copies and origin is not None else gone[d]
+        each = [] if d[1] is None else d[1].split("\n")
+        out[d] = (len(each), recurring[d], len(drop), origin, sha("\n".join(x for k, x in enumerate(each) if k not in drop)))
     return out
