@@ -7,7 +7,7 @@ fields from the start. A leaf holds any number of templates:
    few documents have there is a field of the line that has it; what is left of the line is its form.
 2. A form of few enough fields that enough documents have is a template. A line with too few frequent tokens belongs to
    no template and leaves the tree. The other lines branch, each by its most frequent token, and vote again among
-   themselves, until none is left.
+   themselves. The tree has a fixed number of such branches below its leaves.
 3. A line that has found no template is an instance of the template of its leaf that has most constants in common with
    it, if it has all of them.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quantloom.llm import shared
 from quantloom.llm.text import chunks, mix, multipliers, split_words, text_bytes
 
-#: Leading tokens of the tree; share of the further tokens that are constants of a template.
-DEPTH, SIMILARITY = 3, 0.6
+#: Leading tokens of the tree, and branches by frequent tokens below them; share of the further tokens that are constants of a template.
+DEPTH, BRANCHES, SIMILARITY = 3, 2, 0.6
 #: Shorter lines recur by chance; a template that fewer documents have is not boilerplate.
 MIN_TOKENS, MIN_DOCS = 4, 5
 #: Lines of more tokens do not recur by chance: two documents are enough.
@@ -103,10 +103,10 @@ def _votes(left: DataFrame, depth: int, min_docs: int) -> DataFrame:
     return met.groupBy("branch", "line").agg(F.sort_array(F.collect_list(F.struct("place", "token", "votes"))).alias("places"))
 
 
-def _templates(left: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
+def _templates(left: DataFrame, depth: int, branches: int, similarity: float, min_docs: int) -> DataFrame:
     """(leaf, line, template, constants) of lines with a form that enough documents have. `left`: leaf, line, n, docs, tokens."""
     left, found = left.withColumn("branch", F.col("leaf")), []
-    while True:
+    for below in range(branches, -1, -1):
         votes = left.join(_votes(left, depth, min_docs), ["branch", "line"])
         total = F.get("places", F.lit(0))["votes"]
         votes = votes.withColumns({"total": total, "places": F.filter("places", lambda x: x["place"] > 0)})
@@ -117,12 +117,13 @@ def _templates(left: DataFrame, depth: int, similarity: float, min_docs: int) ->
         judged = shared.stored(votes.hint("merge").join(forms, "form", "left"), "judged")
         plain = F.transform("constants", lambda x: F.struct(x["place"].alias("place"), x["token"].alias("token")))
         found.append(judged.filter("whole").select("leaf", "line", F.xxhash64("leaf", plain).alias("template"), "constants"))
+        shared.discard(votes)
+        if not below:
+            break
         best = F.array_max(F.transform(F.filter("constants", lambda x: x["votes"] < F.col("total")), lambda x: F.struct(x["votes"], x["place"], x["token"].alias("token"))))
         rest = judged.filter("whole IS NULL").withColumn("best", best).filter(F.col("best").isNotNull())
         left = shared.stored(rest.select("leaf", "line", "n", "docs", "tokens", F.xxhash64("branch", F.col("best.place"), F.col("best.token")).alias("branch")), "left")
-        shared.discard(votes)
-        if left.isEmpty():
-            return functools.reduce(DataFrame.union, found)
+    return functools.reduce(DataFrame.union, found)
 
 
 def _instances(lines: DataFrame, found: DataFrame, depth: int) -> DataFrame:
@@ -138,7 +139,7 @@ def _instances(lines: DataFrame, found: DataFrame, depth: int) -> DataFrame:
     return met.groupBy("leaf", "line").agg(most.alias("x")).select("leaf", "line", F.col("x.template").alias("template"))
 
 
-def _of_templates(docs: DataFrame, depth: int, similarity: float, min_tokens: int, min_docs: int) -> DataFrame:
+def _of_templates(docs: DataFrame, depth: int, branches: int, similarity: float, min_tokens: int, min_docs: int) -> DataFrame:
     """(doc_id, text_hash, at, chars, total, n, template) of lines that have a template."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     parsed = docs.mapInArrow(_parse(depth, min_tokens), f"doc_id {kind}, text_hash long, at int, chars long, total long, leaf long, line long, n int, tokens array<int>")
@@ -152,13 +153,21 @@ def _of_templates(docs: DataFrame, depth: int, similarity: float, min_tokens: in
     plain, varied = met.filter("tokens IS NULL").select(*own, F.col("line").alias("template")), met.filter("tokens IS NOT NULL")
     once = varied.groupBy("leaf", "line", *_DOC).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     once = shared.stored(once.groupBy("leaf", "line").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.first("tokens").alias("tokens")), "once")
-    found = _templates(once, depth, similarity, min_docs)
+    found = _templates(once, depth, branches, similarity, min_docs)
     named = shared.stored(found.select("leaf", "line", "template").union(_instances(once, found, depth)), "named")
     return plain.union(varied.hint("merge").join(named, ["leaf", "line"]).select(*own, "template"))
 
 
 def drop_recurring_lines(
-    docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, keep_copies: bool = False, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame,
+    depth: int = DEPTH,
+    branches: int = BRANCHES,
+    similarity: float = SIMILARITY,
+    min_tokens: int = MIN_TOKENS,
+    min_docs: int = MIN_DOCS,
+    keep_copies: bool = False,
+    text: str = "text",
+    doc_id: str = "doc_id",
 ) -> DataFrame:
     """The rows of `docs` with their text less recurring lines, and n_lines, n_recurring, n_dropped and copy_of.
 
@@ -176,7 +185,7 @@ def drop_recurring_lines(
         raise ValueError("depth must be at least 1 and below min_tokens")
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_recurring", "n_dropped", "copy_of")]
     ids = [F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_hash")]
-    lines = shared.stored(_of_templates(docs.select(*ids, F.col(f"`{text}`").alias("text")), depth, similarity, min_tokens, min_docs), "templates")
+    lines = shared.stored(_of_templates(docs.select(*ids, F.col(f"`{text}`").alias("text")), depth, branches, similarity, min_tokens, min_docs), "templates")
     seen = lines.groupBy("template", *_DOC).agg(F.first("n").alias("n"), F.min("at").alias("at"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), *_DOC, "at")
     recurring = seen.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.min(order).alias("first")).filter(F.col("docs") >= _need(min_docs))

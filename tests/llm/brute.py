@@ -119,11 +119,11 @@ def personal(text):
     return sorted(out)
 
 
-def templates(leaf, depth, similarity, need):
+def templates(leaf, depth, similarity, need, levels=2):
     """line: places of its template's constants, for the lines of a leaf with their numbers of documents."""
-    found, branches = {}, [leaf]
+    found, branches = {}, [(leaf, levels)]
     while branches:
-        lines = branches.pop()
+        lines, level = branches.pop()
         votes, total = Counter(), sum(lines.values())
         for line, n in lines.items():
             votes.update({(p, t): n for p, t in enumerate(line) if p >= depth})
@@ -138,7 +138,7 @@ def templates(leaf, depth, similarity, need):
                 found[line] = form
             elif best := max(((votes[p, t], p, t) for p, t in form if votes[p, t] < total), default=None):
                 below[best][line] = lines[line]
-        branches += below.values()
+        branches += [(x, level - 1) for x in below.values() if level]
     own = set(found.values())
     for line in set(leaf) - set(found):
         fits = [f for f in own if all(line[p] == t for p, t in f)]
