@@ -84,19 +84,45 @@ BASE = (EMAIL, IP, CARD, PHONE)
 IBAN = Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", mod97, 0.9, 0.1, "iban|konto|account|compte|cuenta")
 SSN = Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", _any, 0.4, 0.5, "ssn|social security")
 PASSPORT = Kind("passport", r"(?<![A-Za-z0-9])[A-Z][0-9]{8}(?![A-Za-z0-9])", r"[A-Z][0-9]{8}", _any, 0.1, 0.7, "passport|passeport|pasaporte|reisepass")
-KINDS = (*BASE, IBAN, SSN, PASSPORT)
+#: Access keys: long hexadecimal strings with digits and letters, and the prefixes that issuers give theirs.
+SECRET = Kind(
+    "secret",
+    r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,100})(?![0-9A-Za-z_])",
+    r"[0-9a-f]{32}|AKIA|gh[pousr]_|sk-",
+    lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"),
+    0.6,
+    0.3,
+    "key|token|secret|passw|clave|schlüssel|clé",
+)
+KINDS = (*BASE, IBAN, SSN, PASSPORT, SECRET)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, match) in code points: matches and the gaps before them alternate from the text's beginning."""
-    pairs = F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("match"), F.length(gap).alias("gap"))), lambda p: p["match"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
+#: Matches that a fold gathers before it appends them: each step copies what is gathered, so neither may grow long.
+_SLICE = 64
+_MATCHES = "array<struct<start:int,match:string,before:string>>"
+
+
+def matches(text: Column, pattern: str, near: int = 0) -> Column:
+    """Array of (start, match, before) in code points; before: as many as `near` of the characters that stand before it.
+
+    Matches and the gaps before them alternate from the text's beginning, so one fold over both gives all places.
+    """
+    pairs = F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("match"), gap.alias("gap"))), lambda p: p["match"].isNotNull())
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_MATCHES).alias("some"), F.array().cast(f"array<{_MATCHES}>").alias("out"))
+    last = lambda x: F.right(x, F.lit(near)) if near else F.lit("")
 
     def step(a: Column, p: Column) -> Column:
-        start = a["at"] + p["gap"]
-        return F.struct((start + F.length(p["match"])).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), p["match"].alias("match")))).alias("out"))
+        start, before = a["at"] + F.length(p["gap"]), last(F.concat(a["tail"], p["gap"]))
+        full = F.size(a["some"]) >= _SLICE
+        one = F.array(F.struct(start.alias("start"), p["match"].alias("match"), before.alias("before")))
+        return F.struct(
+            (start + F.length(p["match"])).alias("at"),
+            last(F.concat(before, p["match"])).alias("tail"),
+            F.when(full, one).otherwise(F.concat(a["some"], one)).alias("some"),
+            F.when(full, F.concat(a["out"], F.array(a["some"]))).otherwise(a["out"]).alias("out"),
+        )
 
-    return F.aggregate(pairs, zero, step, lambda a: a["out"])
+    return F.aggregate(pairs, zero, step, lambda a: F.flatten(F.concat(a["out"], F.array(a["some"]))))
 
 
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
@@ -106,11 +132,10 @@ def spans_of(text: Column, kind: Kind, rank: int, threshold: float) -> Column:
     """Confirmed spans of a kind with their score, from the threshold on; an empty array for null."""
 
     def scored(m: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(m["start"] - NEAR + 1, F.lit(1)), F.least(m["start"], F.lit(NEAR))))
-        score = F.lit(kind.base) + (F.when(before.rlike(kind.context), kind.bonus).otherwise(0.0) if kind.context else F.lit(0.0))
+        score = F.lit(kind.base) + (F.when(F.lower(m["before"]).rlike(kind.context), kind.bonus).otherwise(0.0) if kind.context else F.lit(0.0))
         return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (m["start"] + F.length(m["match"])).alias("end"), score.alias("score"))
 
-    confirmed = F.transform(F.filter(matches(text, kind.pattern), lambda m: kind.confirm(m["match"])), scored)
+    confirmed = F.transform(F.filter(matches(text, kind.pattern, NEAR if kind.context else 0), lambda m: kind.confirm(m["match"])), scored)
     return F.when(text.rlike(kind.hint), F.filter(confirmed, lambda s: s["score"] >= threshold)).otherwise(F.array()).cast(_SPAN)
 
 
@@ -118,7 +143,8 @@ def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, threshold: floa
     """doc_id and spans: an array of (start, rank, kind, end, score) by start, then by the order of `kinds`.
 
     Places are code points, ends exclusive. Null and empty texts have no spans. One row for each row of `docs`, also
-    where ids repeat or are null; its other columns do not matter. Spans of different kinds may overlap.
+    where ids repeat or are null; an empty table gives none. Other columns do not matter, whatever their names. Spans of
+    different kinds may overlap. The work on a text follows its length, however many matches it has.
     """
     taken = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = taken.select("doc_id", *(spans_of(F.col("text"), k, i, threshold).alias(f"k{i}") for i, k in enumerate(kinds)))
@@ -134,6 +160,7 @@ def _count(kind: Kind) -> Column:
 
 
 def op10_personal_data(spark, sf_dir: str) -> DataFrame:
+    """Base counts and the hash of base spans, and all spans, of all `documents`; null texts read as empty ones."""
     found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     counts = [_count(k).alias(f"n_{k.name}") for k in BASE]
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
