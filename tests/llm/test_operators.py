@@ -188,11 +188,20 @@ def test_op6_equals_brute_force_and_sql(spark, oracle, table, tmp_path):
 
 def test_op6_finds_shuffled_neighbours_as_proximity(spark):
     item = "one two three four five six seven eight nine ten"
-    docs = spark.createDataFrame([(1, "x " + " ".join(reversed(item.split())) + " y"), (2, item), (3, "one two")], "doc_id long, text string")
-    index = decontaminate.token_index(docs)
-    items = spark.createDataFrame([(1, item.split(), 0)], "item_id long, words array<string>, row long")
-    kinds = {r.doc_id: r.kind for r in decontaminate.find_matches(index, decontaminate.anchors(items, index)).collect()}
-    assert kinds == {1: "proximity", 2: "phrase"}
+    changed = item.replace("seven", "sieben")
+    docs = spark.createDataFrame([(1, "x " + " ".join(reversed(item.split())) + " y"), (2, item), (3, "one two"), (4, f"a b {changed} c"), (5, "ten nine " * 5), (None, f"{item} x " * 3)], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame([(1, item), (2, "nine"), (3, "zwei drei")], "item_id long, text string")).collect()}
+    assert {i: (r.n_hit, r["items"]) for i, r in found.items()} == {1: (1, ["2"]), 2: (10, ["1", "2"]), 3: (0, []), 4: (1, ["2"]), 5: (5, ["2"]), None: (30, ["1", "2"])}
+    assert {i: r.near_items for i, r in found.items()} == {1: ["1"], 2: ["1"], 3: [], 4: ["1"], 5: [], None: ["1"]}
+
+
+def test_op6_joins_without_broadcasts_give_the_same(spark, table, monkeypatch):
+    docs = spark.read.parquet(f"{table[0]}/documents.parquet")
+    items = spark.createDataFrame([(k, " ".join(t.split()[3:30])) for k, t in table[1] if t and len(t.split()) > 60], "item_id long, text string")
+    rows = lambda: sorted((r.doc_id, r.n_hit, *r["items"], *r.near_items) for r in decontaminate.contamination(docs, items).collect())
+    want = rows()
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert rows() == want
 
 
 def test_op7_equals_sql(spark, oracle):
