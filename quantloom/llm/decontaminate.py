@@ -49,7 +49,8 @@ def vocabulary(items: DataFrame) -> DataFrame:
 def positional_index(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored postings (doc, term, pos) of the terms, doc being (id, text_hash), and an entry at each document's end."""
     doc = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_hash"))
-    words = docs.select(doc.alias("doc"), F.posexplode(F.concat(item_words(F.col(f"`{text}`")), F.array(F.lit("")))).alias("pos", "word"))
+    # Words are a column before they are exploded: a generator with a lambda inside would not be compiled.
+    words = docs.select(doc.alias("doc"), F.concat(item_words(F.col(f"`{text}`")), F.array(F.lit(""))).alias("words")).select("doc", F.posexplode("words").alias("pos", "word"))
     return shared.stored(words.join(_small(terms, F.octet_length("word")), "word").select("doc", "term", "pos"), "postings")
 
 
@@ -64,21 +65,22 @@ def anchors(items: DataFrame, terms: DataFrame, index: DataFrame, width: int = W
     each = F.struct("at", "term", F.coalesce("n", F.lit(0)).alias("n"))
     rows = placed.groupBy("row").agg(F.sort_array(F.collect_list(each)).alias("terms")).join(items.select("row", "item_id"), "row")
     size = F.least(F.size("terms"), F.lit(width))
-    rarest = F.transform(F.sequence(F.lit(1), F.size("terms") - size + 1), lambda i: F.array_min(F.transform(F.slice("terms", i, size), lambda x: F.struct(x["n"], x["at"]))))
-    rows = rows.select("item_id", "terms", size.alias("size"), F.explode(F.array_distinct(rarest)).alias("place")).filter(F.col("place")["n"] > 0).withColumn("at", F.col("place")["at"])
+    # Of each window the rarest term, and the rarest of the others.
+    two = F.transform(F.sequence(F.lit(1), F.size("terms") - size + 1), lambda i: F.slice(F.sort_array(F.transform(F.slice("terms", i, size), lambda x: F.struct(x["n"], x["at"], x["term"]))), 1, 2))
+    rows = rows.select("row", "item_id", "terms", size.alias("size"), F.explode(F.array_distinct(two)).alias("two")).filter(F.col("two")[0]["n"] > 0)
+    second = F.collect_set(F.get("two", F.lit(1))["term"])
+    rows = rows.groupBy("row", F.col("two")[0]["at"].alias("at")).agg(*(F.first(c).alias(c) for c in ("item_id", "terms", "size")), second.alias("second"))
     around = F.filter("terms", lambda x: (F.abs(x["at"] - F.col("at")) < width) & (x["at"] != F.col("at")))
-    rows = rows.select("item_id", "size", F.get("terms", F.col("at"))["term"].alias("term"), F.transform(around, lambda x: F.struct((x["at"] - F.col("at")).alias("offset"), x["term"], x["n"])).alias("near"))
-    # Half of a window stands on one side of its rarest term; a proximity match lacks a share of the distinct terms.
-    half = F.ceil((F.col("size") - 1) / 2)
-    side = lambda sign: F.filter("near", lambda x: (x["offset"] * sign > 0) & (x["offset"] * sign <= half))
-    least = lambda x: F.array_min(F.transform(x, lambda y: F.struct(y["n"], y["term"])))["term"]
+    near = F.transform(around, lambda x: F.struct((x["at"] - F.col("at")).alias("offset"), x["term"], x["n"]))
+    rows = rows.select("item_id", "size", "second", F.get("terms", F.col("at"))["term"].alias("term"), near.alias("near"))
+    # A proximity match lacks a share of the distinct terms at most, so it has one of so many of them.
     distinct = F.sort_array(F.array_distinct(F.transform("near", lambda x: F.struct(x["n"], x["term"]))))
     lacking = F.floor(F.size(distinct) * (100 - percent) / 100).cast("int") + 1
-    lists = F.array_distinct(F.concat(F.array_compact(F.array(least(side(-1)), least(side(1)))), F.transform(F.slice(distinct, 1, lacking), lambda x: x["term"])))
+    lists = F.array_union("second", F.transform(F.slice(distinct, 1, lacking), lambda x: x["term"]))
     plain = F.transform("near", lambda x: F.struct(x["offset"].alias("offset"), x["term"].alias("term")))
     rows = rows.select("item_id", "term", "size", plain.alias("neighbours"), lists.alias("lists"))
     named = shared.stored(rows.withColumn("anchor", F.xxhash64("term", "size", "neighbours")), "named")
-    at = named.groupBy("anchor").agg(*(F.first(c).alias(c) for c in ("term", "size", "neighbours", "lists")))
+    at = named.groupBy("anchor").agg(*(F.first(c).alias(c) for c in ("term", "size", "neighbours")), F.array_distinct(F.flatten(F.collect_set("lists"))).alias("lists"))
     return shared.stored(at, "anchors"), shared.stored(named.select("anchor", F.col("item_id").cast("string").alias("item")).distinct(), "anchored")
 
 

@@ -189,7 +189,7 @@ def test_op6_equals_brute_force_and_sql(spark, oracle, table, tmp_path):
 def test_op6_finds_shuffled_neighbours_as_proximity(spark):
     item = "one two three four five six seven eight nine ten"
     changed = item.replace("seven", "sieben")
-    docs = spark.createDataFrame([(1, "x " + " ".join(reversed(item.split())) + " y"), (2, item), (3, "one two"), (4, f"a b {changed} c"), (5, "ten nine " * 5), (None, f"{item} x " * 3)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(reversed(item.split())) + " y"), (2, item), (3, "one two seven seven"), (4, f"a b {changed} c"), (5, "ten nine " * 5), (None, f"{item} x " * 3)], "doc_id long, text string")
     found = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame([(1, item), (2, "nine"), (3, "zwei drei")], "item_id long, text string")).collect()}
     assert {i: (r.n_hit, r["items"]) for i, r in found.items()} == {1: (1, ["2"]), 2: (10, ["1", "2"]), 3: (0, []), 4: (1, ["2"]), 5: (5, ["2"]), None: (30, ["1", "2"])}
     assert {i: r.near_items for i, r in found.items()} == {1: ["1"], 2: ["1"], 3: [], 4: ["1"], 5: [], None: ["1"]}
