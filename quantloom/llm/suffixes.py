@@ -14,25 +14,37 @@ def padded(texts: list[bytes], width: int) -> np.ndarray:
 
 
 def _shallow(rows: np.ndarray, groups: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort with 8-byte characters: an order of the rows, and a group number for each place in it.
+    """Multikey quicksort with characters of STEP bytes: an order of the rows, and a group number for each place in it.
 
-    Rows of one group agree on their first `depth` bytes; groups that are down to one row are left alone.
+    In each round every group of several rows is parted by the character of its middle row into smaller, equal and
+    larger ones; equal ones go on with their next character, until `depth` bytes are equal. All groups are parted at once.
     """
     order = np.argsort(groups, kind="stable")
-    group = groups[order].astype(np.int64)
-    for at in range(0, depth, STEP):
-        new = np.r_[True, group[1:] != group[:-1]]
-        several = ~(new & np.r_[new[1:], True])
-        todo = np.flatnonzero(several)
-        if not len(todo):
-            break
-        key = rows[order[todo], at : at + STEP].copy().view(">u8").reshape(-1).astype(np.uint64)
-        by = np.lexsort((key, group[todo]))
-        order[todo], key = order[todo[by]], key[by]
-        split = np.zeros(len(group), bool)
-        split[todo[1:]] = (key[1:] != key[:-1]) & (todo[1:] == todo[:-1] + 1)
-        group = np.cumsum(new | split)
-    return order, group
+    ranked, n = groups[order], len(order)
+    words = np.ascontiguousarray(rows[:, :depth]).view(">u8").astype(np.uint64)
+    begin = np.maximum.accumulate(np.where(np.r_[True, ranked[1:] != ranked[:-1]], np.arange(n), 0))
+    level = np.zeros(n, np.int64)
+    while True:
+        several = np.zeros(n, bool)
+        several[1:] = begin[1:] == begin[:-1]
+        several[:-1] |= several[1:]
+        at = np.flatnonzero(several & (level < words.shape[1]))
+        if not len(at):
+            return order, np.cumsum(begin == np.arange(n))
+        key = words[order[at], level[at]]
+        first = np.flatnonzero(np.r_[True, np.diff(begin[at]) != 0])
+        size = np.diff(np.r_[first, len(at)])
+        pivot = np.repeat(key[first + size // 2], size)
+        to = np.empty(len(at), np.int64)
+        start = begin[at].copy()
+        fresh = begin[at].copy()
+        for part in (key < pivot, key == pivot, key > pivot):
+            before = np.cumsum(part)
+            rank = before - np.repeat(before[first] - part[first], size) - 1
+            to[part], fresh[part] = (start + rank)[part], start[part]
+            start = start + np.repeat(np.add.reduceat(part, first, dtype=np.int64), size)
+        moved, deeper = order[at], level[at] + (key == pivot)
+        order[to], begin[to], level[to] = moved, fresh, deeper
 
 
 def _differ(a: bytes, b: bytes, start: int) -> int:

@@ -254,6 +254,26 @@ def test_op9_equals_brute_force(spark, table):
     assert suffix_array.remove_repeated_bytes(empty(spark)).count() == 0
 
 
+def test_op9_blocks_buckets_and_hot_anchors_do_not_change_the_result(spark, table):
+    """A line between different texts, in any number of documents; repeated and null ids; many blocks and buckets."""
+    rng = random.Random(9)
+    line = "the same forty bytes stand in every text;"
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    shared_end = letters(70)
+    rows = [(1000 + k, letters(rng.randrange(30, 150)) + line + (shared_end if k % 7 == 0 else letters(rng.randrange(30, 150)))) for k in range(300)]
+    rows += [(1000, rows[0][1]), (2000, rows[5][1] + rows[6][1]), *table[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted((i, x[0], x[1]) for i, x in brute.repeated_bytes(rows).items())
+    for hot, block, bucket in ((4096, 5000, 9000), (8, 5000, 9000), (0, 1 << 20, 1 << 20)):
+        out = suffix_array.remove_repeated_bytes(docs, hot=hot, block_bytes=block, bucket_bytes=bucket)
+        got = [(r.doc_id, r.n_bytes, r.n_removed, brute.sha(bytes(r.kept))) for r in out.collect()]
+        assert sorted(x[:3] for x in got if x[0] != 1000) == [x for x in want if x[0] != 1000]
+        assert {x[3] for x in got if x[0] != 1000} == {x[3] for i, x in brute.repeated_bytes(rows).items() if i != 1000}
+        assert sorted(x[2] for x in got if x[0] == 1000)[-1] == len(rows[0][1])
+    odd = spark.createDataFrame([(None, line * 4), (3, line * 4), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_array.remove_repeated_bytes(odd, hot=0).collect()) == [(0, 0, 0), (0, 164, 164), (3, 164, 123)]
+
+
 def test_op9_sorts_suffixes_of_long_common_prefixes():
     import numpy as np
 
