@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,48 +39,62 @@ def volume_patterns(bars: DataFrame) -> DataFrame:
     return out.withColumn("sequence", F.col("pullback") & last.isNotNull()).drop("at")
 
 
-_RECURSIVE = "code long, date date, close double, rsi double, macd double, macd_signal double, macd_hist double, k double, d double, plus_di double, minus_di double, adx double, atr double"
-
-
-def _recursive(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("date")
-    c, h, lo = frame["close"], frame["high"], frame["low"]
-    step = c.diff()
-
-    def wilder(x: pd.Series) -> pd.Series:
-        return x.ewm(alpha=1 / 14, adjust=True, min_periods=14).mean()
-
-    gain, loss = wilder(step.clip(lower=0).fillna(0)), wilder((-step).clip(lower=0).fillna(0)).replace(0, 1e-10)
-    macd = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
-    signal = macd.ewm(span=9, adjust=False).mean()
-    top, bottom = h.rolling(9).max(), lo.rolling(9).min()
-    raw = (c - bottom) / (top - bottom).replace(0, 1e-10) * 100
-    ks, ds, k, d = [], [], 50.0, 50.0
-    for x in raw:
-        if x == x:
-            k = 2 / 3 * k + x / 3
-            d = 2 / 3 * d + k / 3
-        ks.append(k if x == x else None)
-        ds.append(d if x == x else None)
-    up, down = h.diff(), -lo.diff()
-    plus = up.where((up > down) & (up > 0), 0.0).fillna(0.0)
-    minus = down.where((down > up) & (down > 0), 0.0).fillna(0.0)
-    tr = pd.concat([h - lo, (h - c.shift()).abs(), (lo - c.shift()).abs()], axis=1).max(axis=1)
-    width = wilder(tr).replace(0, 1e-10)
-    plus_di, minus_di = 100 * wilder(plus) / width, 100 * wilder(minus) / width
-    dx = 100 * (plus_di - minus_di).abs() / (plus_di + minus_di).replace(0, 1e-10)
-    return pd.DataFrame(
-        {"code": frame["code"], "date": frame["date"], "close": c, "rsi": 100 - 100 / (1 + gain / loss), "macd": macd, "macd_signal": signal, "macd_hist": macd - signal, "k": ks, "d": ds}
-        | {"plus_di": plus_di, "minus_di": minus_di, "adx": wilder(dx), "atr": tr.ewm(span=14, adjust=False).mean()}
-    )
+_ADDED = "rsi double, macd double, macd_signal double, macd_hist double, k double, d double, plus_di double, minus_di double, adx double, atr double, rsi_span double, rsi_alpha double, atr_ewm double"
+
+
+def _from(start: float, x: pd.Series, alpha: float) -> pd.Series:
+    """y = (1 - alpha) * y before + alpha * x, from `start` before the first x that is known."""
+    known = x.dropna()
+    return pd.concat([pd.Series([start]), known]).ewm(alpha=alpha, adjust=False).mean().iloc[1:].reindex(x.index)
+
+
+def _added(frame: pd.DataFrame) -> dict[str, pd.Series]:
+    close, high, low = frame["close"], frame["high"], frame["low"]
+    step, slow = close.diff(), {"alpha": 1 / 14, "min_periods": 14}
+    gain, loss = step.clip(lower=0), -step.clip(upper=0)
+    smooth = lambda x: x.fillna(0.0).ewm(adjust=True, **slow).mean()
+    floor = lambda x: x.where(x != 0, 1e-10)
+    ema = lambda x, n: x.ewm(span=n, adjust=False).mean()
+    strength = lambda up, down: up / down.where(down != 0)
+    macd = ema(close, 12) - ema(close, 26)
+    top, bottom = high.rolling(9).max(), low.rolling(9).min()
+    k = _from(50.0, (close - bottom) / floor(top - bottom) * 100, 1 / 3)
+    up, down, before = high.diff(), -low.diff(), close.shift()
+    true_range = np.fmax(np.fmax(high - low, (high - before).abs()), (low - before).abs())
+    width = floor(smooth(true_range))
+    plus, minus = (100 * smooth(x.where((x > y) & (x > 0), 0.0)) / width for x, y in ((up, down), (down, up)))
+    dx = 100 * (plus - minus).abs() / floor(plus + minus)
+    return {
+        "rsi": 100 - 100 / (1 + smooth(gain) / floor(smooth(loss))),
+        "macd": macd,
+        "macd_signal": ema(macd, 9),
+        "macd_hist": macd - ema(macd, 9),
+        "k": k,
+        "d": _from(50.0, k, 1 / 3),
+        "plus_di": plus,
+        "minus_di": minus,
+        "adx": dx.ewm(adjust=True, **slow).mean(),
+        "atr": ema(true_range, 14),
+        "rsi_span": 1 - 1 / (1 + strength(ema(gain, 14), ema(loss, 14))),
+        "rsi_alpha": 1 - 1 / (1 + strength(*(x.ewm(adjust=False, **slow).mean() for x in (gain, loss)))),
+        "atr_ewm": ema(close.pct_change(fill_method=None).abs(), 14),
+    }
 
 
 def recursive(bars: DataFrame) -> DataFrame:
-    """RSI(14), MACD(12, 26, 9), KD(9), directional indexes(14) and exponential ATR(14).
+    """`bars`, with all their columns, and RSI(14), MACD(12, 26, 9), KD(9), directional indexes(14), exponential ATR(14),
+    RSI(14) as a share by span and by alpha, and the exponential mean of absolute returns.
 
-    Each value hangs on the one before it, so a code is one group; a group is one instrument's bars, some thousands at most.
+    Each value hangs on the one before it, so a code is one group, an instrument's bars, some thousands at most. After
+    windows by code, no further shuffle is needed.
     """
-    return bars.select("code", "date", "high", "low", "close").groupBy("code").applyInPandas(_recursive, _RECURSIVE)
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("date", ignore_index=True)
+        return frame.assign(**_added(frame))
+
+    own = ", ".join(f"`{c}` {t}" for c, t in bars.dtypes)
+    return bars.groupBy("code").applyInPandas(added, f"{own}, {_ADDED}")
 
 
 def normalised(bars: DataFrame, columns: list[str], window: int = 252, least: int = 60, clip: float = 5.0) -> DataFrame:

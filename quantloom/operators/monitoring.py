@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,21 +42,25 @@ def exposure(regimes: DataFrame, targets: dict[str, float], days: int = 2, at_on
 def mean_interval(values: DataFrame, key: str, column: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Per key the mean of a column and the 2.5 and 97.5 percentiles of `draws` resampled means.
 
-    A mean of n values drawn with replacement is a weighted mean with Poisson weights of one per value, which each part of a key's
-    values adds up for itself: parts are combined by sums, so no key has to fit into one task.
+    A mean of n values drawn with replacement is a weighted mean with Poisson weights of one per value. A weight follows
+    from the hash of its row, draw and seed, so it does not matter how the rows are partitioned; parts of a key's values
+    are combined by sums, so no key has to fit into one task. Rows that are equal in all columns get equal weights.
     """
+    cumulative = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
     def weigh(batches):
-        rng = None
+        salts = np.arange(1, draws + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            if not len(batch):
-                continue
-            rng = rng or np.random.default_rng([seed, int(pd.util.hash_pandas_object(batch.iloc[:1], index=False).iloc[0])])
-            for k, x in batch.groupby("key")["x"]:
-                w = rng.poisson(1.0, (draws, len(x)))
-                yield pd.DataFrame({"key": k, "draw": np.arange(draws, dtype="int32"), "total": w @ x.to_numpy(), "weight": w.sum(axis=1).astype(float)})
-
-    rows = values.filter(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).cast("double").alias("x"))
+            for k, own in batch.groupby("key"):
+                for at in range(0, len(own), 1024):
+                    some = own.iloc[at : at + 1024]
+                    h = some["row"].to_numpy().astype(np.uint64)[None, :] ^ salts
+                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                    w = np.searchsorted(cumulative, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, side="right")
+                    yield pd.DataFrame({"key": k, "draw": np.arange(draws, dtype="int32"), "total": w @ some["x"].to_numpy(), "weight": w.sum(axis=1).astype(float)})
+
+    rows = values.filter(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).cast("double").alias("x"), F.xxhash64(F.lit(seed), *values.columns).alias("row"))
     drawn = rows.mapInPandas(weigh, f"key {dict(rows.dtypes)['key']}, draw int, total double, weight double").groupBy("key", "draw").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("m"))
     ends = drawn.groupBy("key").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return rows.groupBy("key").agg(F.avg("x").alias("mean"), F.count("x").alias("n")).join(ends, "key").withColumnRenamed("key", key)

@@ -27,7 +27,7 @@ def composite_signals(bars: DataFrame, buy: float = 0.3, sell: float = -0.3, con
     A buy needs the 20-bar average at or above the 60-bar one, volume at or above its 5-bar average, and `confirm` bars in a row that
     would buy. A score whose inputs are missing is 0.
     """
-    frame = moving(bars).join(recursive(bars).drop("close"), ["code", "date"])
+    frame = recursive(moving(bars))
     side = lambda yes: F.when(yes, 0.5).otherwise(-0.5)
     known = lambda value, *of: F.when(F.greatest(*(F.col(c).isNull() for c in of)) if len(of) > 1 else F.col(of[0]).isNull(), 0.0).otherwise(value)
     up, busy = F.col("close") > F.col("sma_5"), F.col("vol_ratio") > 1

@@ -83,11 +83,11 @@ def brinson(weights: DataFrame) -> DataFrame:
     )
 
 
-def concentration(positions: DataFrame, stock_limit: float = 0.2, sector_limit: float = 0.4) -> DataFrame:
+def concentration(positions: DataFrame, issue_limit: float = 0.2, sector_limit: float = 0.4) -> DataFrame:
     """(code, sector, value): shares of the portfolio and whether they break their limits."""
     whole = F.sum("value").over(Window.partitionBy(F.lit(1)))  # a portfolio's positions
     out = positions.withColumns({"share": F.col("value") / whole, "sector_share": F.sum("value").over(Window.partitionBy("sector")) / whole})
-    return out.withColumns({"stock_breach": F.col("share") > stock_limit, "sector_breach": F.col("sector_share") > sector_limit})
+    return out.withColumns({"issue_breach": F.col("share") > issue_limit, "sector_breach": F.col("sector_share") > sector_limit})
 
 
 def equity_metrics(curve: DataFrame, rf: float = 0.015) -> DataFrame:

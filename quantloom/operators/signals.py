@@ -22,7 +22,7 @@ def trend_signals(bars: DataFrame, min_days: int = 10, min_adx: float = 18.0, mi
     SELL when the averages cross down with sellers leading. Gates: a lasting uptrend, its strength, buyers leading, a
     moderate RSI and enough volume. BUY near support after an up close, else on momentum.
     """
-    frame = uptrend_days(bars).join(recursive(bars).drop("close"), ["code", "date"]).withColumn("before", lag("close"))
+    frame = recursive(uptrend_days(bars).withColumn("before", lag("close")))
     distance = F.try_divide("close", "sma_20") - 1
     gate = (F.col("uptrend_days") >= min_days) & (F.col("adx") >= min_adx) & (F.col("plus_di") > F.col("minus_di")) & F.col("rsi").between(30, 80) & (F.col("volume") >= 0.7 * F.col("vol_5")) & (F.col("volume") >= min_volume)
     support = distance.between(-0.02, 0.05) & (F.col("close") > F.col("before"))
@@ -34,7 +34,7 @@ def trend_signals(bars: DataFrame, min_days: int = 10, min_adx: float = 18.0, mi
 
 def reversion_signals(bars: DataFrame) -> DataFrame:
     """BUY, SELL or HOLD of the mean-reversion rules: back at the middle band or hot sells; quiet and oversold, or far below the average, buys."""
-    frame = moving(bars).join(recursive(bars).drop("close"), ["code", "date"])
+    frame = recursive(moving(bars))
     w = last_rows(60)
     frame = frame.withColumn("rsi_low", F.when(F.count("rsi").over(w) >= 60, F.percentile("rsi", F.lit(0.15)).over(w)))
     z = F.try_divide(F.col("close") - F.col("sma_20"), (F.col("bb_upper") - F.col("sma_20")) / 2)
@@ -53,8 +53,8 @@ def limit_moves(bars: DataFrame, limit: float = 0.1, tolerance: float = 0.005, s
 
 
 def adjustment_factors(actions: DataFrame) -> DataFrame:
-    """(code, ex_date, close_before, cash, stock) with the product of all factors from that date on, by which earlier prices are multiplied."""
-    factor = F.try_divide(F.col("close_before") - F.col("cash"), "close_before") / (1 + F.col("stock") / 10)
+    """(code, ex_date, close_before, cash, share_dividend) with the product of all factors from that date on, by which earlier prices are multiplied."""
+    factor = F.try_divide(F.col("close_before") - F.col("cash"), "close_before") / (1 + F.col("share_dividend") / 10)
     ahead = history("code", "ex_date").rowsBetween(0, 2**31 - 1)
     return actions.withColumn("factor", F.exp(F.sum(F.ln(F.when(factor > 0, factor))).over(ahead)))
 

@@ -105,9 +105,43 @@ def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.recursive(market.bars(spark, sf_dir)).select("code", "date", "rsi")
 
 
-@query("recursive_indicators")
+#: Recursions in closed form: each value is a weighted sum of all before it.
+_REC = f"""x0 AS (
+  SELECT *, row_number() {_W} AS i, close - lag(close) {_W} AS step, high - lag(high) {_W} AS up, lag(low) {_W} - low AS down,
+         greatest(high - low, coalesce(abs(high - lag(close) {_W}), 0), coalesce(abs(low - lag(close) {_W}), 0)) AS tr,
+         max(high) OVER (PARTITION BY code ORDER BY date ROWS 8 PRECEDING) AS top, min(low) OVER (PARTITION BY code ORDER BY date ROWS 8 PRECEDING) AS bottom FROM bars),
+x AS (
+  SELECT *, coalesce(greatest(step, 0), 0) AS gain, coalesce(greatest(-step, 0), 0) AS loss, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m,
+         CASE WHEN i >= 9 THEN (close - bottom) / CASE WHEN top = bottom THEN 1e-10 ELSE top - bottom END * 100 END AS raw FROM x0),
+y0 AS (
+  SELECT a.code, a.date, a.i, sum(pow(13.0 / 14, a.i - b.i) * b.gain) / sum(pow(13.0 / 14, a.i - b.i)) AS gain, sum(pow(13.0 / 14, a.i - b.i) * b.loss) / sum(pow(13.0 / 14, a.i - b.i)) AS loss,
+         sum(pow(13.0 / 14, a.i - b.i) * b.p) / sum(pow(13.0 / 14, a.i - b.i)) AS p, sum(pow(13.0 / 14, a.i - b.i) * b.m) / sum(pow(13.0 / 14, a.i - b.i)) AS m, sum(pow(13.0 / 14, a.i - b.i) * b.tr) / sum(pow(13.0 / 14, a.i - b.i)) AS tr,
+         sum(CASE WHEN b.i = 1 THEN pow(13.0 / 15, a.i - b.i) ELSE 2.0 / 15 * pow(13.0 / 15, a.i - b.i) END * b.tr) AS atr,
+         sum(CASE WHEN b.i = 1 THEN pow(11.0 / 13, a.i - b.i) ELSE 2.0 / 13 * pow(11.0 / 13, a.i - b.i) END * b.close)
+         - sum(CASE WHEN b.i = 1 THEN pow(25.0 / 27, a.i - b.i) ELSE 2.0 / 27 * pow(25.0 / 27, a.i - b.i) END * b.close) AS macd,
+         CASE WHEN a.i >= 9 THEN pow(2.0 / 3, a.i - 8) * 50 + sum(CASE WHEN b.i >= 9 THEN pow(2.0 / 3, a.i - b.i) / 3 * b.raw END) END AS k
+  FROM x a JOIN x b ON a.code = b.code AND b.i <= a.i GROUP BY a.code, a.date, a.i),
+y1 AS (
+  SELECT *, CASE WHEN i >= 14 THEN 100 - 100 / (1 + gain / CASE WHEN loss = 0 THEN 1e-10 ELSE loss END) END AS rsi, CASE WHEN i >= 14 THEN 100 * p / CASE WHEN tr = 0 THEN 1e-10 ELSE tr END END AS plus_di,
+         CASE WHEN i >= 14 THEN 100 * m / CASE WHEN tr = 0 THEN 1e-10 ELSE tr END END AS minus_di FROM y0),
+y2 AS (SELECT *, 100 * abs(plus_di - minus_di) / CASE WHEN plus_di + minus_di = 0 THEN 1e-10 ELSE plus_di + minus_di END AS dx FROM y1),
+rec AS (
+  SELECT a.code, a.date, any_value(a.rsi) AS rsi, any_value(a.macd) AS macd, sum(CASE WHEN b.i = 1 THEN pow(0.8, a.i - b.i) ELSE 0.2 * pow(0.8, a.i - b.i) END * b.macd) AS macd_signal, any_value(a.k) AS k,
+         CASE WHEN a.i >= 9 THEN pow(2.0 / 3, a.i - 8) * 50 + sum(CASE WHEN b.i >= 9 THEN pow(2.0 / 3, a.i - b.i) / 3 * b.k END) END AS d, any_value(a.plus_di) AS plus_di, any_value(a.minus_di) AS minus_di,
+         CASE WHEN a.i >= 27 THEN sum(CASE WHEN b.i >= 14 THEN pow(13.0 / 14, a.i - b.i) * b.dx END) / sum(CASE WHEN b.i >= 14 THEN pow(13.0 / 14, a.i - b.i) END) END AS adx, any_value(a.atr) AS atr
+  FROM y2 a JOIN y2 b ON a.code = b.code AND b.i <= a.i GROUP BY a.code, a.date, a.i)"""
+
+
+@query(
+    "recursive_indicators",
+    _REC
+    + """ SELECT code, date, round(rsi, 4) AS rsi, round(macd, 4) AS macd, round(macd_signal, 4) AS macd_signal, round(macd - macd_signal, 4) AS macd_hist, round(k, 4) AS k, round(d, 4) AS d, round(plus_di, 4) AS plus_di,
+    round(minus_di, 4) AS minus_di, round(adx, 4) AS adx, round(atr, 4) AS atr FROM rec""",
+    digits=4,
+    dates=("date",),
+)
 def recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.recursive(market.bars(spark, sf_dir))
+    return indicators.recursive(market.bars(spark, sf_dir)).select("code", "date", "rsi", "macd", "macd_signal", "macd_hist", "k", "d", "plus_di", "minus_di", "adx", "atr")
 
 
 @query(
@@ -506,10 +540,10 @@ def brinson_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.brinson(per.select("sector", (F.col("pv") / F.sum("pv").over(all_)).alias("wp"), "rp", (F.col("v") / F.sum("v").over(all_)).alias("wb"), "rb"))
 
 
-@query("concentration", "v AS (SELECT code, sector, sum(cost) AS value FROM trades JOIN sectors USING (code) GROUP BY ALL) SELECT code, sector, round(value / sum(value) OVER (), 6) AS share, round(sum(value) OVER (PARTITION BY sector) / sum(value) OVER (), 6) AS sector_share, value / sum(value) OVER () > 0.02 AS stock_breach, sum(value) OVER (PARTITION BY sector) / sum(value) OVER () > 0.25 AS sector_breach FROM v")
+@query("concentration", "v AS (SELECT code, sector, sum(cost) AS value FROM trades JOIN sectors USING (code) GROUP BY ALL) SELECT code, sector, round(value / sum(value) OVER (), 6) AS share, round(sum(value) OVER (PARTITION BY sector) / sum(value) OVER (), 6) AS sector_share, value / sum(value) OVER () > 0.02 AS issue_breach, sum(value) OVER (PARTITION BY sector) / sum(value) OVER () > 0.25 AS sector_breach FROM v")
 def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = market.trades(spark, sf_dir).join(F.broadcast(market.sectors(spark, sf_dir)), "code").groupBy("code", "sector").agg(F.sum("cost").alias("value"))
-    return risk.concentration(held, 0.02, 0.25).select("code", "sector", "share", "sector_share", "stock_breach", "sector_breach")
+    return risk.concentration(held, 0.02, 0.25).select("code", "sector", "share", "sector_share", "issue_breach", "sector_breach")
 
 
 @query(
@@ -592,12 +626,33 @@ def limit_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.limit_moves(market.bars(spark, sf_dir))
 
 
-@query("trend_signals")
+_UPTREND = f"""ut0 AS (SELECT mv.*, row_number() {_W} AS i, coalesce(sma_20 > sma_60, false) AS up FROM mv),
+ut AS (SELECT *, i - coalesce(max(CASE WHEN NOT up THEN i END) {_W}, 0) AS uptrend_days, lag(close) {_W} AS before FROM ut0)"""
+_TREND = f"""{_UPTREND}, {_REC},
+ts AS (
+  SELECT *, CASE WHEN coalesce(sma_20 < sma_60 AND minus_di > plus_di, false) THEN 'exit'
+    WHEN NOT coalesce(uptrend_days >= 2 AND adx >= 5 AND plus_di > minus_di AND rsi BETWEEN 30 AND 80 AND volume >= 0.7 * vol_5 AND volume >= 10, false) THEN NULL
+    WHEN close / nullif(sma_20, 0) - 1 BETWEEN -0.02 AND 0.05 AND close > before THEN 'support' WHEN close > sma_20 AND sma_5 > sma_20 AND sma_20 > sma_60 AND roc_12 > 2 THEN 'momentum' END AS kind FROM ut JOIN rec USING (code, date))"""
+
+
+@query("trend_signals", _MOVING + ", " + _TREND + " SELECT code, date, kind, CASE WHEN kind = 'exit' THEN 'SELL' WHEN kind IS NOT NULL THEN 'BUY' ELSE 'HOLD' END AS signal FROM ts", dates=("date",))
 def trend_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.trend_signals(market.bars(spark, sf_dir), min_days=2, min_adx=5.0, min_volume=10.0).select("code", "date", "kind", "signal")
 
 
-@query("reversion_signals")
+@query(
+    "reversion_signals",
+    _MOVING
+    + ", "
+    + _REC
+    + """, rv AS (
+  SELECT *, CASE WHEN count(rsi) OVER w >= 60 THEN quantile_cont(rsi, 0.15) OVER w END AS rsi_low, (close - sma_20) / nullif((bb_upper - sma_20) / 2, 0) AS z FROM mv JOIN rec USING (code, date)
+  WINDOW w AS (PARTITION BY code ORDER BY date ROWS 59 PRECEDING))
+SELECT code, date, round(close, 6) AS close, CASE WHEN close >= sma_20 OR rsi >= 70 THEN 'SELL'
+    WHEN (adx < 25 AND close <= bb_lower * 1.005 AND rsi <= least(30, coalesce(rsi_low, 30)) AND volume < 0.7 * vol_5) OR (z < -1.5 AND adx < 35 AND rsi < 45) THEN 'BUY' ELSE 'HOLD' END AS signal,
+  close / nullif(sma_20, 0) - 1 < -0.05 AS bias FROM rv""",
+    dates=("date",),
+)
 def reversion_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.reversion_signals(market.bars(spark, sf_dir))
 
@@ -983,5 +1038,5 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantloom.functions.windows import change
 
-    returns = market.bars(spark, sf_dir).select("code", change("close").alias("ret"))
-    return monitoring.mean_interval(returns, "code", "ret", draws=200)
+    returns = market.bars(spark, sf_dir).select("code", "date", change("close").alias("ret"))
+    return monitoring.mean_interval(returns, "code", "ret")
