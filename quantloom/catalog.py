@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import analytics, features  # noqa: F401  they register their queries
+from quantloom.plans import analytics, features, guard  # noqa: F401  they register their queries
 from quantloom.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["entry_scan"](spark, sf_dir)
+    return QUERIES["technical_screen"](spark, sf_dir)

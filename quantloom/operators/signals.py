@@ -16,11 +16,11 @@ def uptrend_days(bars: DataFrame) -> DataFrame:
     return out.withColumn("maturity", F.when(F.col("uptrend_days") == 0, "none").when(F.col("uptrend_days") <= 7, "early").when(F.col("uptrend_days") <= 15, "confirmed").otherwise("mature"))
 
 
-def trend_signals(bars: DataFrame, min_days: int = 10, min_adx: float = 18.0, min_volume: float = 500.0) -> DataFrame:
+def trend_signals(bars: DataFrame, min_days: int = 10, min_adx: float = 18.0, min_volume: float = 500.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """BUY, SELL or HOLD of the trend-following rules, in their order, with the kind of entry.
 
     SELL when the averages cross down with sellers leading. Gates: a lasting uptrend, its strength, buyers leading, a
-    moderate RSI and enough volume. BUY near support after an up close, else on momentum.
+    moderate RSI and enough volume. BUY near support after an up close, else on momentum. `keep` names indicators to return, too.
     """
     frame = recursive(uptrend_days(bars).withColumn("before", lag("close")))
     distance = F.try_divide("close", "sma_20") - 1
@@ -29,7 +29,7 @@ def trend_signals(bars: DataFrame, min_days: int = 10, min_adx: float = 18.0, mi
     momentum = (F.col("close") > F.col("sma_20")) & (F.col("sma_5") > F.col("sma_20")) & (F.col("sma_20") > F.col("sma_60")) & (F.col("roc_12") > 2)
     sell = (F.col("sma_20") < F.col("sma_60")) & (F.col("minus_di") > F.col("plus_di"))
     kind = F.when(sell, "exit").when(~F.coalesce(gate, F.lit(False)), None).when(support, "support").when(momentum, "momentum")
-    return frame.select("code", "date", "open", "high", "low", "close", "volume", "atr", kind.alias("kind"), F.when(kind == "exit", "SELL").when(kind.isNotNull(), "BUY").otherwise("HOLD").alias("signal"))
+    return frame.select("code", "date", "open", "high", "low", "close", "volume", "atr", *keep, kind.alias("kind"), F.when(kind == "exit", "SELL").when(kind.isNotNull(), "BUY").otherwise("HOLD").alias("signal"))
 
 
 def reversion_signals(bars: DataFrame) -> DataFrame:

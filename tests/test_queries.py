@@ -21,5 +21,6 @@ def test_gives_rows(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["code", "date", "close", "sma_20", "vol_ratio", "rs_pct"]
+    flagship = __spark_entry__.entry(spark)
+    assert flagship.columns == ["code", "sector", "rsi", "adx", "rating", "trend"] and flagship.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
