@@ -10,7 +10,8 @@ bounds from the sizes allow an entry that matters:
 3. In a column, a few documents are paired with all others; once linked, documents of one component need not be paired
    any more, so a group of copies costs its size, not its square. The rest is paired with more documents each round,
    until every pair of a column is in one component or has been judged.
-4. The overlap of a proposed pair is the product of the two rows, counted over all their n-grams.
+4. The product is computed in blocks: the rows of a proposed pair meet once for each block of columns, each meeting adds
+   the columns that they share there, and the sum over all blocks is the overlap. Pairs below what their sizes ask for go.
 
 Documents of equal sets are one row of the matrix.
 """
@@ -137,34 +138,44 @@ def _rows(buckets: int, width: int, percent: int):
     return judge
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The product of the two rows of each pair of a batch: n-grams in common."""
-    for batch in batches:
-        left, right = batch["left"].to_pylist(), batch["right"].to_pylist()
-        common = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            common.append(int(np.count_nonzero(y[at] == x)))
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["size"], pa.array(common, pa.int64())], names=["a", "b", "size", "common"])
-
-
-def _linked(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    sets = nodes.select("node", "n", "ngrams")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("ngrams").alias("left")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("ngrams").alias("right")), "b")
-    rows = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("size"), "left", "right")
-    product = rows.mapInArrow(_overlaps, "a long, b long, size long, common long")
+#: Columns of a row in a block of the product, about: what bounds the rows that meet, however long a document is.
+BLOCK_COLUMNS = 4096
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """Stored (node, size, cols_block, cols): the incidence matrix in blocks of columns, by hash; blocks without columns are left out."""
+    most = nodes.agg(F.max("n")).first()[0] or 1
+    bits = max(0, (int(most) // BLOCK_COLUMNS).bit_length())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, size, grams in zip(batch["node"].to_pylist(), batch["n"].to_pylist(), batch["ngrams"].to_pylist(), strict=True):
+                cols = np.frombuffer(grams, np.uint64)
+                edges = np.searchsorted(cols, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
+                ends = np.r_[edges[1:], len(cols)]
+                full = np.flatnonzero(ends > edges)
+                yield pa.RecordBatch.from_pydict(
+                    {"node": pa.array([node] * len(full), pa.int64()), "size": pa.array([size] * len(full), pa.int64()), "cols_block": pa.array(full, pa.int32()), "cols": pa.array([cols[edges[i] : ends[i]].view(np.int64) for i in full], pa.list_(pa.int64()))}
+                )
+
+    return shared.stored(nodes.select("node", "n", "ngrams").mapInArrow(cut, "node long, size long, cols_block int, cols array<long>"), "matrix")
+
+
+def _linked(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """The pairs of rows whose overlap, added up over the blocks of columns, is large enough for their sizes."""
+    side = lambda end, name: matrix.select(F.col("node").alias(end), F.col("size").alias(f"n_{end}"), "cols_block", F.col("cols").alias(name))
+    met = pairs.join(side("a", "left"), "a").join(side("b", "right"), ["b", "cols_block"])
+    shares = met.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("size"), F.size(F.array_intersect("left", "right")).alias("common"))
+    product = shares.groupBy("a", "b").agg(F.first("size").alias("size"), F.sum("common").alias("common"))
     return product.filter(F.col("common") * (100 + percent) >= F.col("size") * percent).select("a", "b")
 
 
 def _distinct_columns(entries: DataFrame) -> DataFrame:
     """Without columns of one row, and with one column of those that have the very same rows, with the largest caps of them."""
     marks = entries.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x")).filter("n > 1")
-    kept = marks.withColumn("kept", F.min("col").over(Window.partitionBy("n", "s", "x"))).select("col", "kept")
-    return entries.join(kept, "col").groupBy(F.col("kept").alias("col"), "node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.max("cap").alias("cap"))
+    # Stored, so that the join has a shuffle on either side, of which Spark can split the part of a hot column.
+    kept = shared.stored(marks.withColumn("kept", F.min("col").over(Window.partitionBy("n", "s", "x"))).select("col", "kept"), "kept")
+    return entries.hint("merge").join(kept, "col").groupBy(F.col("kept").alias("col"), "node").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.max("cap").alias("cap"))
 
 
 def _components(nodes: DataFrame, percent: int) -> DataFrame | None:
@@ -174,12 +185,14 @@ def _components(nodes: DataFrame, percent: int) -> DataFrame | None:
     placed = nodes.select(F.explode(F.arrays_zip("rare", "rest")).alias("x"), "node", "n", "shared")
     entries = _distinct_columns(placed.select(F.col("x.rare").alias("col"), "node", "n", "shared", F.least("shared", "x.rest").alias("cap")))
     most = F.floor(F.col("cap") * (100 + percent) / percent) - F.col("n")
+    matrix = _blocks(nodes)
     links = judged = comps = None
     leaders, turn = 1, 0
     while True:
         entries = shared.stored(entries.withColumn("comp", F.col("node")) if comps is None else entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "columns")
         open_ = entries.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least")).filter("lo <> hi").select("col", "least")
-        entries = shared.stored(entries.join(open_, "col").filter(most >= F.col("least")).drop("least"), "columns")
+        open_ = shared.stored(open_, "open")
+        entries = shared.stored(entries.hint("merge").join(open_, "col").filter(most >= F.col("least")).drop("least"), "columns")
         work = entries.groupBy("col").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0]
         if not work:
             return comps
@@ -190,21 +203,23 @@ def _components(nodes: DataFrame, percent: int) -> DataFrame | None:
         part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
         lead = shared.stored(entries.groupBy("col", part.alias("part")).agg(F.min(rank).alias("x")).select("col", "x.of", "x.n_of", "x.cap_of", "x.comp_of"), "leaders")
         fits = (F.col("comp") != F.col("comp_of")) & (F.least("n", "n_of") * 100 >= F.greatest("n", "n_of") * percent) & (F.least("cap", "cap_of") * (100 + percent) >= (F.col("n") + F.col("n_of")) * percent)
-        pairs = entries.join(lead, "col").filter(fits).select(F.least("node", "of").alias("a"), F.greatest("node", "of").alias("b")).distinct()
+        pairs = entries.hint("merge").join(lead, "col").filter(fits).select(F.least("node", "of").alias("a"), F.greatest("node", "of").alias("b")).distinct()
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
         pairs = shared.stored(pairs, "pairs")
         entries = entries.join(lead.select("col", F.col("of").alias("node")), ["col", "node"], "left_anti").drop("comp")
         if not pairs.isEmpty():
             judged = pairs if judged is None else judged.union(pairs)
-            found = shared.stored(_linked(pairs, nodes, percent), "links")
+            found = shared.stored(_linked(pairs, matrix, percent), "links")
             if not found.isEmpty():
                 links = found if links is None else links.union(found)
                 comps = components(links)
         leaders, turn = leaders * 8, turn + 1
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", block_bytes: int = tally.BLOCK_BYTES, bucket_bytes: int = tally.BUCKET_BYTES
+) -> DataFrame:
     """doc_id, n_shingles and component_id, one row for each row of `docs`.
 
     A-Z is lower-cased; words are runs of characters other than white space below 0x21. A document's set has its distinct runs of `width`
@@ -214,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     Other columns do not matter; an empty table gives no rows.
     """
     size = tally.text_size(docs, text)
-    blocks, buckets = tally.into_blocks(docs, tally.parts(size, tally.BLOCK_BYTES), doc_id, text), tally.parts(size, tally.BUCKET_BYTES)
+    blocks, buckets = tally.into_blocks(docs, tally.parts(size, block_bytes), doc_id, text), tally.parts(size, bucket_bytes)
     sent = tally.per_block(blocks, _send(buckets, width), "bucket int, blk int, columns binary, n binary")
     classes = sent.groupBy("bucket").applyInArrow(_frequencies, "blk int, bucket int, classes binary")
     rows = shared.stored(tally.per_block_with(blocks, classes, _rows(buckets, width, percent), _ROWS), "rows")
@@ -240,7 +255,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` whose doc_id is the least of its component: one document of each group, and all that have no link.
 
-    Rows that repeat a kept id are that document and stay with it; rows of a null id stay.
+    Rows that repeat a kept id are that document and stay with it; rows of a null id stay, as do null and empty texts.
     """
     found = near_duplicates(docs, width, percent)
     linked = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
@@ -248,4 +263,5 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of all `documents`; null texts have no shingles and link with nothing."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

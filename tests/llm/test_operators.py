@@ -165,6 +165,13 @@ def test_op5_equals_brute_force(spark, table):
     assert by_id(jaccard.op5_ngram_jaccard(spark, folder)) == brute.components(rows)
 
 
+def test_op5_blocks_of_rows_and_columns_do_not_change_the_result(spark, table, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_COLUMNS", 20)
+    docs = spark.read.parquet(f"{table[0]}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, block_bytes=6000, bucket_bytes=9000).collect()}
+    assert got == brute.components(table[1])
+
+
 def test_op5_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(7, "a b c d e f g"), (7, "a b c d e f g"), (None, "A  b c d e f g"), (3, None), (3, ""), (9, "alone here")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect())
