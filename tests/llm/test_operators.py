@@ -160,6 +160,19 @@ def test_op4_equals_brute_force(spark, table):
     assert substring.remove_repeated_phrases(empty(spark)).count() == 0
 
 
+def test_op4_blocks_and_shards_do_not_change_the_result(spark, table, monkeypatch):
+    """Many blocks, buckets and automata; repeated and null ids."""
+    rows = [*table[1], (7, table[1][3][1]), (7, " ".join(f"w{k}" for k in range(30))), (None, " ".join(f"w{k}" for k in range(5, 40))), (5000, " ".join(f"w{k}" for k in range(10, 50)))]
+    monkeypatch.setattr(substring, "SHARD", 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id if r.doc_id is not None else 10**9, r.n_words, r.n_removed, brute.sha(r.text)) for r in substring.remove_repeated_phrases(docs, block_bytes=6000, bucket_bytes=9000).collect())
+    known = [(10**9 if i is None else i, t) for i, t in rows]
+    want = brute.phrases(known)
+    assert [x for x in got if x[0] != 7] == sorted((i, *want[i]) for i, _ in known if i != 7)
+    # Of words 5 to 39 the last document has 10 to 39 again, the one without an id 5 to 39 after both.
+    assert want[5000][1] == 20 and want[10**9][1] == 35
+
+
 def test_op5_equals_brute_force(spark, table):
     folder, rows = table
     assert by_id(jaccard.op5_ngram_jaccard(spark, folder)) == brute.components(rows)
