@@ -19,7 +19,10 @@ from quantloom.llm.quality import keep_passing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the strict policy of the quality rules go."""
+    """Documents that fail the strict policy of the quality rules go.
+
+    Null, empty and blank texts fail it. Rows that repeat an id are judged each by its own text; null ids make no difference.
+    """
     return keep_passing(docs)
 
 
@@ -27,7 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates stay at their first place only; n_chars follows the text.
 
     Documents that have most of their text from one other document keep it, since the next stage judges copies whole. A
-    document left without a word goes: all of its lines have another place. Null texts stay.
+    document left without a word goes: all of its lines have another place. Null texts stay. Rows of equal id and text are
+    one document and stay or change alike; null ids come after all others.
     """
     out = drop_recurring_lines(docs, keep_copies=True).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
@@ -36,17 +40,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the least id."""
+    """One document of each group of near duplicates stays, that of the least id.
+
+    Groups are linked at a similarity of 0.8 of five-word shingles, so copies that share less stay. Null and empty texts,
+    and rows of a null id, stay; rows that repeat a kept id stay with it.
+    """
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of a benchmark item go."""
+    """Documents with a passage of a benchmark item go.
+
+    Passages are exact; proximity matches do not reject. Null and empty texts stay; rows that repeat an id are judged each
+    by its own text; an empty benchmark keeps all.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, each with its place in a sequence."""
+    """The pieces of what is left, each with its place in a sequence. Null and empty texts are a piece of one id; each row is a document of its own."""
     return pack(docs)
 
 
