@@ -29,8 +29,8 @@ from quantloom.llm.text import chunks, mix, multipliers, split_words, text_bytes
 DEPTH, BRANCHES, SIMILARITY = 3, 2, 0.6
 #: Shorter lines recur by chance; a template that fewer documents have is not boilerplate.
 MIN_TOKENS, MIN_DOCS = 4, 5
-#: Lines of more tokens do not recur by chance: two documents are enough.
-LONG_TOKENS = 50
+#: Lines of more tokens do not recur by chance: fewer documents are enough.
+LONG_TOKENS, LONG_DOCS = 50, 2
 #: A document of which one other document has so much, first, is its copy.
 COPY_SHARE = 0.8
 #: Code of a token with a digit.
@@ -86,15 +86,15 @@ def _lines(batch: pa.RecordBatch, first: int, data: np.ndarray, offsets: np.ndar
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _need(min_docs: int, n: str = "n") -> Column:
-    """Documents that make lines of n tokens recur."""
-    return F.when(F.col(n) > LONG_TOKENS, min(2, min_docs)).otherwise(min_docs)
+def _need(min_docs: tuple[int, int], n: str = "n") -> Column:
+    """Documents that make lines of n tokens recur: (short, long) ones."""
+    return F.when(F.col(n) > LONG_TOKENS, min(min_docs)).otherwise(min_docs[0])
 
 
 _DOC = ("doc_id", "text_hash")
 
 
-def _votes(left: DataFrame, depth: int, min_docs: int) -> DataFrame:
+def _votes(left: DataFrame, depth: int, min_docs: tuple[int, int]) -> DataFrame:
     """(branch, line, places): the frequent tokens of each line, by place, with their documents; at place 0 those of the branch."""
     tokens = F.concat(F.array(F.lit(0)), F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(0))))
     each = left.select("branch", "line", "n", "docs", F.posexplode(tokens).alias("place", "token"))
@@ -103,7 +103,7 @@ def _votes(left: DataFrame, depth: int, min_docs: int) -> DataFrame:
     return met.groupBy("branch", "line").agg(F.sort_array(F.collect_list(F.struct("place", "token", "votes"))).alias("places"))
 
 
-def _templates(left: DataFrame, depth: int, branches: int, similarity: float, min_docs: int) -> DataFrame:
+def _templates(left: DataFrame, depth: int, branches: int, similarity: float, min_docs: tuple[int, int]) -> DataFrame:
     """(leaf, line, template, constants) of lines with a form that enough documents have. `left`: leaf, line, n, docs, tokens."""
     left, found = left.withColumn("branch", F.col("leaf")), []
     for below in range(branches, -1, -1):
@@ -139,7 +139,7 @@ def _instances(lines: DataFrame, found: DataFrame, depth: int) -> DataFrame:
     return met.groupBy("leaf", "line").agg(most.alias("x")).select("leaf", "line", F.col("x.template").alias("template"))
 
 
-def _of_templates(docs: DataFrame, depth: int, branches: int, similarity: float, min_tokens: int, min_docs: int) -> DataFrame:
+def _of_templates(docs: DataFrame, depth: int, branches: int, similarity: float, min_tokens: int, min_docs: tuple[int, int]) -> DataFrame:
     """(doc_id, text_hash, at, chars, total, n, template) of lines that have a template."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     parsed = docs.mapInArrow(_parse(depth, min_tokens), f"doc_id {kind}, text_hash long, at int, chars long, total long, leaf long, line long, n int, tokens array<int>")
@@ -165,16 +165,18 @@ def drop_recurring_lines(
     similarity: float = SIMILARITY,
     min_tokens: int = MIN_TOKENS,
     min_docs: int = MIN_DOCS,
+    long_docs: int = LONG_DOCS,
     keep_copies: bool = False,
+    copy_share: float = COPY_SHARE,
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
     """The rows of `docs` with their text less recurring lines, and n_lines, n_recurring, n_dropped and copy_of.
 
-    A line recurs if at least `min_docs` documents have its template, or two if it has more than LONG_TOKENS tokens. A
+    A line recurs if at least `min_docs` documents have its template, or `long_docs` if it has more than LONG_TOKENS tokens. A
     template stays at its first place (least doc_id, then hash of the text, then line) and goes everywhere else, so
     nothing that recurs is lost altogether; a document can become empty. n_recurring counts a document's lines of
-    recurring templates. copy_of is another document that has COPY_SHARE of the characters of this one's words in lines
+    recurring templates. copy_of is another document that has `copy_share` of the characters of this one's words in lines
     whose first place it is, or null; with `keep_copies` such documents keep all lines, for a search for near-duplicates.
 
     Null and empty texts stay as they are (n_lines 0 for null). Rows of equal id and text count as one document and are
@@ -183,12 +185,13 @@ def drop_recurring_lines(
     """
     if not 0 < depth < min_tokens:
         raise ValueError("depth must be at least 1 and below min_tokens")
+    enough = (min_docs, long_docs)
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_recurring", "n_dropped", "copy_of")]
     ids = [F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_hash")]
-    lines = shared.stored(_of_templates(docs.select(*ids, F.col(f"`{text}`").alias("text")), depth, branches, similarity, min_tokens, min_docs), "templates")
+    lines = shared.stored(_of_templates(docs.select(*ids, F.col(f"`{text}`").alias("text")), depth, branches, similarity, min_tokens, enough), "templates")
     seen = lines.groupBy("template", *_DOC).agg(F.first("n").alias("n"), F.min("at").alias("at"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), *_DOC, "at")
-    recurring = seen.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.min(order).alias("first")).filter(F.col("docs") >= _need(min_docs))
+    recurring = seen.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.min(order).alias("first")).filter(F.col("docs") >= _need(enough))
     recurring = shared.stored(recurring.select("template", F.col("first.doc_id").alias("of_id"), F.col("first.text_hash").alias("of_hash"), F.col("first.at").alias("of_at")), "recurring")
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
     met = lines.hint("merge").join(recurring, "template").withColumn("own", same)
@@ -198,7 +201,7 @@ def drop_recurring_lines(
     chars = F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     drops = F.transform(F.filter("at", lambda x: x["gone"]), lambda x: x["at"])
     parts = parts.select(*_DOC, "of_id", "own", "total", F.size("at").alias("n"), chars.alias("chars"), drops.alias("gone"))
-    whole = (~F.col("own")) & (F.col("chars") >= F.col("total") * COPY_SHARE)
+    whole = (~F.col("own")) & (F.col("chars") >= F.col("total") * copy_share)
     gone = parts.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(
         F.sum("n").alias("n_recurring"), F.bool_or(whole).alias("copy"), F.max(F.when(whole, F.col("of_id"))).alias("copy_of"), F.flatten(F.collect_list("gone")).alias("gone")
     )

@@ -147,9 +147,9 @@ def templates(leaf, depth, similarity, need, levels=2):
     return found
 
 
-def lines(rows, depth=3, similarity=0.6, min_tokens=4, min_docs=5, keep_copies=False, copy_share=0.8):
+def lines(rows, depth=3, similarity=0.6, min_tokens=4, min_docs=5, long_docs=2, keep_copies=False, copy_share=0.8):
     """(doc_id, text): lines, those of recurring templates, lines dropped, the document it copies, hash of the text left."""
-    need = lambda n: 2 if n > 50 else min_docs
+    need = lambda n: min(long_docs, min_docs) if n > 50 else min_docs
     parsed, chars, leaves = [], {}, defaultdict(lambda: defaultdict(set))
     for i, t in dict.fromkeys(rows):
         chars[i, t] = sum(map(len, words(t)))
