@@ -137,3 +137,34 @@ def test_nearest_vectors_of_any_number_of_queries(spark):
     vectors = spark.range(5000).selectExpr("id AS vec_id", "array(cos(id / 5000D), sin(id / 5000D)) AS embedding")
     got = {r.query_id: r.vec_id for r in similarity.nearest_vectors(vectors, vectors, 1).collect()}
     assert len(got) == 5000 and all(0 < abs(q - v) <= 8 for q, v in got.items())
+
+
+def test_mean_interval_does_not_hang_on_partitions(spark):
+    from quantloom.operators import monitoring
+
+    rows = [(k % 2, k, float((k * 37) % 101)) for k in range(400)]
+    df = spark.createDataFrame(rows, "code int, id int, ret double")
+    got = [sorted(map(tuple, monitoring.mean_interval(df.repartition(n), "code", "ret", draws=300).collect())) for n in (1, 3)]
+    for a, b in zip(*got, strict=True):
+        assert a == pytest.approx(b)
+    for code, mean, n, low, high in got[0]:
+        own = pd.Series([x for c, _, x in rows if c == code])
+        se = own.std() / len(own) ** 0.5
+        assert n == 200 and mean == pytest.approx(own.mean()) and low == pytest.approx(mean - 1.96 * se, abs=se) and high == pytest.approx(mean + 1.96 * se, abs=se)
+
+
+def test_adjustment_factors_are_products_of_later_actions(spark):
+    df = spark.createDataFrame([(1, day(1), 100.0, 10.0, 0.0), (1, day(5), 50.0, 0.0, 10.0)], "code int, ex_date date, close_before double, cash double, share_dividend double")
+    got = {r.ex_date: r.factor for r in signals.adjustment_factors(df).collect()}
+    assert got[day(5)] == pytest.approx(0.5) and got[day(1)] == pytest.approx(0.45)
+
+
+def test_tables_are_extended_filled_and_updated(spark):
+    from quantloom.sources import tables
+
+    old = spark.createDataFrame([(1, 5.0, "a"), (2, None, "b")], "id int, x double, s string")
+    new = spark.createDataFrame([(2, 7.0, None), (3, 1.0, "c"), (1, 4.0, "z")], "id int, x double, s string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(tables.extend(old, new, ["id"]))[-1] == (3, 1.0, "c") and tables.extend(old, new, ["id"]).count() == 3
+    assert rows(tables.back_fill(old, new, ["id"], ["x"])) == [(1, 5.0, "a"), (2, 7.0, "b")]
+    assert rows(tables.update(old, new, ["id"], {"x": "greatest(old, new)", "s": "coalesce(new, old)"})) == [(1, 5.0, "z"), (2, 7.0, "b")]

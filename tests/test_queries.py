@@ -15,7 +15,7 @@ def test_equals_sql(spark, oracle, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_gives_rows(spark, name):
-    assert catalog.QUERIES[name](spark, SMALL).columns
+    assert catalog.QUERIES[name](spark, SMALL).count() > 0
 
 
 def test_entry(spark):
