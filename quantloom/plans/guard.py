@@ -264,7 +264,7 @@ def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.long_series(market.bars(spark, sf_dir), 100).select("code", "date", "close")
 
 
-@query("instrument_lookup", "SELECT s_suppkey AS code, s_name AS name FROM supplier WHERE s_suppkey::VARCHAR LIKE '1%' OR lower(s_name) LIKE '%0005%' ORDER BY code LIMIT 20")
+@query("instrument_lookup", "SELECT s_suppkey AS code, s_name AS name FROM supplier WHERE s_suppkey::VARCHAR LIKE '1%' OR s_suppkey::VARCHAR LIKE '0005%' OR lower(s_name) LIKE '%1%' OR lower(s_name) LIKE '%0005%' ORDER BY code LIMIT 20")
 def instrument_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = tables.lookup(market.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name")), ("1", "0005"))
     return both.orderBy("code").limit(20)
