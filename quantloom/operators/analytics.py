@@ -21,6 +21,37 @@ def r_multiples(trades: DataFrame, entry: str = "entry", exit_: str = "exit", st
     return trades.withColumn("r", F.when(risk > 0, (F.col(exit_) - F.col(entry)) / risk).otherwise(0.0))
 
 
+def track(positions: DataFrame) -> DataFrame:
+    """`positions` (entry, current, stop, exit or null) with intended_r at the current price, realized_r at the exit, gap_r
+    between them (null where both prices are equal), their status by the realized or else the intended one, and the risk of a share."""
+    risk = F.col("entry") - F.col("stop")
+    gain = lambda price: F.when(risk > 0, (F.col(price) - F.col("entry")) / risk).otherwise(0.0)
+    closed = F.col("exit").isNotNull()
+    out = positions.withColumns({"intended_r": gain("current"), "realized_r": F.when(closed, gain("exit"))})
+    r = F.coalesce("realized_r", "intended_r")
+    status = F.when(r >= 3, "Home Run").when(r >= 1, "1R Winner").when(F.abs(r) < 0.1, "Breakeven").when(r < 0, "Initial Risk").otherwise("Partial Gain")
+    gap = F.when(closed & (F.col("exit") != F.col("current")), F.col("realized_r") - F.col("intended_r"))
+    return out.withColumns({"gap_r": gap, "status": status, "risk": F.when(F.col("stop") > 0, risk).otherwise(0.0), "closed": closed})
+
+
+def kill_switch(signals: DataFrame, days: float = 30, win_rate: float = 0.45, profit_factor: float = 1.5) -> DataFrame:
+    """One row for (ttb, d7, d21, d30, busted): five criteria, each with its value and whether it holds, and the verdict.
+
+    Days to breakout (median), win rate, profit factor and mean of the net 21-day returns, and a 7-day median above the
+    30-day one. KILL if one of the three of returns fails, WARNING if another does, NO_DATA without signals. A missing ttb is a time-out.
+    """
+    net = F.col("d21") - COST
+    won, lost = F.sum(F.when(net > 0, net)), F.abs(F.sum(F.when(net <= 0, net)))
+    out = signals.agg(
+        F.count(F.lit(1)).alias("signals"), F.median("ttb").alias("ttb_median"), F.avg(F.when(net > 0, 1.0).when(net <= 0, 0.0)).alias("win_rate"), F.try_divide(F.coalesce(won, F.lit(0.0)), lost).alias("profit_factor"), F.avg(net).alias("net_return"),
+        F.median("d7").alias("d7_median"), F.median("d30").alias("d30_median"), F.avg(F.when(F.col("busted"), 1.0).otherwise(0.0)).alias("busted_rate"), F.avg(F.when(F.col("ttb").isNull(), 1.0).otherwise(0.0)).alias("timeout_rate"),
+    )
+    tests = {"ttb_ok": F.col("ttb_median") <= days, "win_ok": F.col("win_rate") >= win_rate, "factor_ok": F.col("profit_factor") >= profit_factor, "net_ok": F.col("net_return") > 0, "decay_ok": F.col("d7_median") > F.col("d30_median")}
+    out = out.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in tests.items()})
+    verdict = F.when(F.col("signals") == 0, "NO_DATA").when(~(F.col("win_ok") & F.col("factor_ok") & F.col("net_ok")), "KILL").when(~(F.col("ttb_ok") & F.col("decay_ok")), "WARNING").otherwise("PASS")
+    return out.withColumn("verdict", verdict)
+
+
 def expectancy(trades: DataFrame, *by: str, zone: float = 0.1) -> DataFrame:
     """Of (r), per group: win and loss rates, mean sizes, expectancy with its grade, extremes, and the distribution in eight buckets."""
     r = F.col("r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import change, lag
@@ -79,14 +79,57 @@ def heat(positions: DataFrame, correlations: DataFrame) -> DataFrame:
     return per.select("sector", "raw", "heat", F.try_divide("heat", "total").alias("share"), zone.alias("zone"))
 
 
+def sector_days(bars: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(sector, date, ret): daily returns of each sector, weighted by the volume of the day before."""
+    own = bars.withColumns({"ret": change("close"), "weight": lag("volume")}).filter("ret is not null").join(F.broadcast(sectors), "code")
+    return own.groupBy("sector", "date").agg(F.try_divide(F.sum(F.col("ret") * F.col("weight")), F.sum("weight")).alias("ret"))
+
+
+def sector_pairs(days: DataFrame) -> DataFrame:
+    """(sector_a, sector_b, date, x, y): the returns of each pair of sectors on the days both have."""
+    a, b = days.alias("a"), days.alias("b")
+    both = a.join(b, (F.col("a.date") == F.col("b.date")) & (F.col("a.sector") < F.col("b.sector")))
+    return both.select(F.col("a.sector").alias("sector_a"), F.col("b.sector").alias("sector_b"), F.col("a.date").alias("date"), F.col("a.ret").alias("x"), F.col("b.ret").alias("y"))
+
+
 def sector_correlations(bars: DataFrame, sectors: DataFrame, window: int = 90) -> DataFrame:
     """Per day the correlation of each pair of sectors' volume-weighted returns over the last `window` days both have."""
-    own = bars.withColumns({"ret": change("close"), "weight": lag("volume")}).filter("ret is not null").join(F.broadcast(sectors), "code")
-    day = own.groupBy("sector", "date").agg(F.try_divide(F.sum(F.col("ret") * F.col("weight")), F.sum("weight")).alias("ret"))
-    a, b = day.alias("a"), day.alias("b")
-    pairs = a.join(b, (F.col("a.date") == F.col("b.date")) & (F.col("a.sector") < F.col("b.sector"))).select(F.col("a.sector").alias("sector_a"), F.col("b.sector").alias("sector_b"), F.col("a.date").alias("date"), F.col("a.ret").alias("x"), F.col("b.ret").alias("y"))
     w = Window.partitionBy("sector_a", "sector_b").orderBy("date").rowsBetween(1 - window, 0)
-    return pairs.select("sector_a", "sector_b", "date", F.when(F.count(F.lit(1)).over(w) >= window, F.corr("x", "y").over(w)).alias("corr"))
+    return sector_pairs(sector_days(bars, sectors)).select("sector_a", "sector_b", "date", F.when(F.count(F.lit(1)).over(w) >= window, F.corr("x", "y").over(w)).alias("corr"))
+
+
+def _uniform(draw: Column, place: Column) -> Column:
+    """A number in (0, 1] that hangs on the draw and the place only: congruences modulo a prime, two of them quadratic."""
+    prime = F.lit((1 << 31) - 1)
+    x = (draw * 1000003 + place * 7919 + 1) % prime
+    x = (x * x + draw) % prime
+    x = (x * 48271 + place) % prime
+    return (x * x % prime + 1) / prime
+
+
+def frontier(spark: SparkSession, returns: DataFrame, draws: int = 3000, days: int = 60, rf: float = 0.015) -> DataFrame:
+    """draw, ret, vol, sharpe (of a year) and best of `draws` portfolios of (asset, date, ret) with weights drawn at random.
+
+    Means and covariances are those of the last `days` days on which every asset has a return. `returns` is a portfolio's,
+    so its assets, and their pairs, are few. best marks the greatest Sharpe ratio (ties: the first draw).
+    """
+    held = returns.filter("ret IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date")))
+    assets = held.select("asset").distinct()
+    whole = held.crossJoin(F.broadcast(assets.agg(F.count(F.lit(1)).alias("all")))).filter(F.col("n") == F.col("all"))  # one row
+    recent = whole.select("date").distinct().orderBy(F.desc("date")).limit(days)
+    rows = whole.join(F.broadcast(recent), "date", "left_semi").select("asset", "date", "ret")
+    means = rows.groupBy("asset").agg((F.avg("ret") * 252).alias("mean"))
+    other = rows.select(F.col("asset").alias("other"), "date", F.col("ret").alias("ret_b"))
+    cov = rows.join(other, "date").groupBy("asset", "other").agg((F.covar_samp("ret", "ret_b") * 252).alias("cov"))
+    placed = assets.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("asset")))  # a portfolio's assets
+    drawn = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(placed)).withColumn("u", _uniform(F.col("draw"), F.col("place").cast("long")))
+    weights = drawn.select("draw", "asset", (F.col("u") / F.sum("u").over(Window.partitionBy("draw"))).alias("w"))
+    gain = weights.join(F.broadcast(means), "asset").groupBy("draw").agg(F.sum(F.col("w") * F.col("mean")).alias("ret"))
+    also = weights.select("draw", F.col("asset").alias("other"), F.col("w").alias("w_b"))
+    risk = weights.join(F.broadcast(cov), "asset").join(also, ["draw", "other"]).groupBy("draw").agg(F.sqrt(F.greatest(F.sum(F.col("w") * F.col("w_b") * F.col("cov")), F.lit(0.0))).alias("vol"))
+    out = gain.join(risk, "draw").withColumn("sharpe", F.coalesce(F.try_divide(F.col("ret") - rf, "vol"), F.lit(0.0)))
+    best = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("sharpe"), "draw")) == 1  # the draws
+    return out.select("draw", "ret", "vol", "sharpe", best.alias("best"))
 
 
 def factor_exposure(bars: DataFrame, index: DataFrame, days: int = 20) -> DataFrame:

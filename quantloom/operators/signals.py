@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import change, history, lag, last_rows, numbered, run_length
@@ -44,6 +44,59 @@ def reversion_signals(bars: DataFrame) -> DataFrame:
     return frame.select("code", "date", "close", F.when(sell, "SELL").when(quiet | far, "BUY").otherwise("HOLD").alias("signal"), (F.try_divide("close", "sma_20") - 1 < -0.05).alias("bias"))
 
 
+#: Regime, weights of the trend and of the reversion signal.
+BLEND = (("trend_explosive", 0.9, 0.1), ("trend_mild", 0.8, 0.2), ("range_volatile", 0.2, 0.8), ("range_quiet", 0.3, 0.7))
+
+
+def blend(rows: DataFrame) -> DataFrame:
+    """`rows` (trend, reversion: BUY, HOLD or SELL; regime, confidence, bias) with composite and signal.
+
+    A signal counts 1, 0 or -1, the trend's times its confidence, a reversion's BUY with its bias confirmed 1.2; weights are those
+    of the regime, else halves. BUY from 0.5 on, SELL up to -0.5. Missing signals count 0, a missing confidence 1.
+    """
+    side = lambda c: F.when(F.col(c) == "BUY", 1.0).when(F.col(c) == "SELL", -1.0).otherwise(0.0)
+    a = b = F.lit(0.5)
+    for name, x, y in BLEND:
+        a, b = F.when(F.col("regime") == name, x).otherwise(a), F.when(F.col("regime") == name, y).otherwise(b)
+    back = side("reversion") * F.when(F.coalesce("bias", F.lit(False)) & (F.col("reversion") == "BUY"), 1.2).otherwise(1.0)
+    composite = F.round(a * side("trend") * F.coalesce("confidence", F.lit(1.0)) + b * back, 9)
+    out = rows.withColumn("composite", composite)
+    return out.withColumn("signal", F.when(F.col("composite") >= 0.5, "BUY").when(F.col("composite") <= -0.5, "SELL").otherwise("HOLD"))
+
+
+def institution_score(nets: DataFrame, codes: DataFrame) -> DataFrame:
+    """Per code of `codes` a score from -5 to 5 of (code, date, foreign_net, trust_net, dealer_net, total_net), streak and dominant force.
+
+    Up to one point each for all nets of 3 days, the foreign ones of 5, a last day above three times the mean; half for trusts that
+    bought on each of 5 days; half for a streak of 3 days, one and a half from 5 on; all with the sign of the buying. Fewer
+    than 3 days earn no such points; a code without days has -3 ('ghost_town'). Missing nets count as 0.
+    """
+    names = ("foreign_net", "trust_net", "dealer_net", "total_net")
+    back = Window.partitionBy("code").orderBy(F.desc("date"))
+    rows = nets.select("code", "date", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names)).withColumns({"back": F.row_number().over(back), "side": F.signum("total_net")})
+    rows = rows.withColumn("last_side", F.first("side").over(back))
+    of = lambda n, c: F.when(F.col("back") <= n, F.col(c))
+    trust = F.signum(of(5, "trust_net"))
+    out = rows.groupBy("code").agg(
+        F.count(F.lit(1)).alias("days"), F.sum(of(3, "total_net")).alias("net3"), *(F.sum(of(5, c)).alias(f"{c}5") for c in names[:3]), F.min(trust).alias("trust_low"), F.max(trust).alias("trust_high"),
+        F.min(F.when((F.col("side") != F.col("last_side")) | (F.col("side") == 0), F.col("back"))).alias("stop"), F.max("last_side").alias("direction"), F.avg(F.abs("total_net")).alias("mean"), F.max(of(1, "total_net")).alias("last"),
+    )
+    run = F.coalesce(F.col("stop") - 1, F.col("days"))
+    enough = F.col("days") >= 3
+    points = [
+        F.when(enough, F.signum("net3")).otherwise(0.0),
+        F.when(enough, F.signum("foreign_net5")).otherwise(0.0),
+        F.when(enough & (F.col("trust_low") > 0), 0.5).when(enough & (F.col("trust_high") < 0), -0.5).otherwise(0.0),
+        F.col("direction") * F.when(F.col("run") >= 5, 1.5).when(F.col("run") >= 3, 0.5).otherwise(0.0),
+        F.when((F.col("days") >= 5) & (F.col("mean") > 0) & (F.abs("last") > 3 * F.col("mean")), F.signum("last")).otherwise(0.0),
+    ]
+    out = out.withColumn("run", run).withColumn("score", F.greatest(F.lit(-5.0), F.least(F.lit(5.0), sum(points, F.lit(0.0)))))
+    a, b, c = (F.abs(f"{x}5") for x in names[:3])
+    force = F.when(enough, F.when((a >= b) & (a >= c), "foreign").when(b >= c, "trust").otherwise("dealer"))
+    all_codes = codes.select("code").distinct().join(out, "code", "left")
+    return all_codes.select("code", F.coalesce("score", F.lit(-3.0)).alias("score"), F.coalesce(F.col("run") * F.col("direction"), F.lit(0.0)).cast("int").alias("streak"), force.alias("dominant"), F.when(F.col("days").isNull(), "ghost_town").otherwise("active").alias("visibility"))
+
+
 def limit_moves(bars: DataFrame, limit: float = 0.1, tolerance: float = 0.005, split: float = 0.35) -> DataFrame:
     """Days that hint at a corporate action: moves at the limit, opening gaps, split-like ratios, days without volume."""
     out = bars.withColumns({"ret": change("close"), "gap": F.try_divide("open", lag("close")) - 1, "ratio": F.try_divide(F.greatest("close", lag("close")), F.least("close", lag("close")))})
