@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import history
+from quantloom.functions.windows import deviation, history, mean
 
 #: Fixed values.
 SPANS = (("1w", 5), ("1m", 21), ("3m", 63), ("6m", 126), ("1y", 252))
@@ -67,3 +67,52 @@ def retracements(bars: DataFrame, points: DataFrame, last: int = 5) -> DataFrame
     back_ = [F.struct(F.lit("retracement").alias("kind"), F.lit(r).alias("ratio"), F.when(up, F.col("top") - span * r).otherwise(F.col("bottom") + span * r).alias("level")) for r in RETRACEMENTS]
     on = [F.struct(F.lit("extension").alias("kind"), F.lit(r).alias("ratio"), F.when(up, F.col("bottom") + span * r).otherwise(F.col("top") - span * r).alias("level")) for r in EXTENSIONS]
     return both.select("code", F.when(up, "uptrend").otherwise("downtrend").alias("direction"), F.explode(F.array(*back_, *on)).alias("x")).select("code", "direction", "x.*")
+
+
+_LEVELS = "array<struct<price:double,sources:array<string>,strength:int>>"
+
+
+def support_resistance(bars: DataFrame, points: DataFrame, days: int = 250, near: float = 0.015, last: int = 10, most: int = 5) -> DataFrame:
+    """(code, kind, price, sources, strength): the `most` levels nearest below and above the last close of each code.
+
+    Levels are the `last` swing highs and lows of swings(), averages of 20, 60, 120 and 240 closes, Bollinger bands and round
+    prices. From the lowest on, a level within `near` of the one kept before joins it. Strength, from 1 to 3, is the
+    greatest number of bars of the last `days`, but for the first and the last, that turned within `near` of a member. Levels
+    within 0.2 % of the close are neither.
+    """
+    back = Window.partitionBy("code").orderBy(F.desc("date"))
+    averages = {f"ma{n}": mean("close", n) for n in (20, 60, 120, 240)}
+    rows = bars.withColumns(averages | {"sd": deviation("close", 20), "step": F.col("close") - F.lag("close").over(history()), "back": F.row_number().over(back)})
+    recent = rows.filter(F.col("back") <= days)
+    turned = F.when((F.col("back") > 1) & (F.col("back") < F.count(F.lit(1)).over(Window.partitionBy("code"))), F.struct("low", "high", "step"))
+    turns = recent.withColumn("turn", turned).groupBy("code").agg(F.collect_list("turn").alias("turns"))
+    place = F.row_number().over(Window.partitionBy("code", "side").orderBy(F.desc("at")))
+    swung = points.withColumn("n", place).filter(F.col("n") <= last).groupBy("code").agg(F.collect_list("price").alias("swings"))
+    close = F.col("close")
+    width = F.when(close < 50, 5).when(close < 200, 10).when(close < 500, 25).when(close < 2000, 50).otherwise(100)
+    level = lambda x, source: F.struct(x.cast("double").alias("price"), F.lit(source).alias("source"))
+    fixed = [level(F.col(c), c) for c in averages] + [level(F.col("ma20") + 2 * F.col("sd"), "bb"), level(F.col("ma20") - 2 * F.col("sd"), "bb")]
+    fixed += [level((F.floor(close / width) + i) * width, "round") for i in range(-3, 4)]
+    one = rows.filter("back = 1").join(turns, "code").join(swung, "code", "left")
+    drawn = F.transform(F.coalesce("swings", F.array().cast("array<double>")), lambda x: level(x, "swing"))
+    known = F.array_sort(F.filter(F.concat(F.array(*fixed), drawn), lambda x: x["price"] > 0))
+
+    def strength(x):
+        close_to = lambda y: F.abs(y - x["price"]) / x["price"] < near
+        turn = lambda t: (close_to(t["low"]) & (t["step"] > 0)) | (close_to(t["high"]) & (t["step"] < 0))
+        return F.least(F.size(F.filter("turns", turn)), F.lit(3))
+
+    judged = F.transform(known, lambda x: F.struct(x["price"].alias("price"), F.array(x["source"]).alias("sources"), F.greatest(strength(x), F.lit(1)).alias("strength")))
+
+    def join(kept, x):
+        top = F.get(kept, F.size(kept) - 1)
+        merged = F.struct(top["price"].alias("price"), F.array_union(top["sources"], x["sources"]).alias("sources"), F.greatest(top["strength"], x["strength"]).alias("strength"))
+        fits = (F.size(kept) > 0) & (F.abs(top["price"] - x["price"]) / x["price"] < near)
+        return F.when(fits, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(merged))).otherwise(F.array_append(kept, x))
+
+    # In two steps, so that strengths are not worked out again at every step of the fold.
+    joined = one.select("code", "close", judged.alias("judged")).withColumn("kept", F.aggregate("judged", F.array().cast(_LEVELS), join))
+    out = joined.select("code", "close", F.explode("kept").alias("x")).select("code", "close", "x.price", F.array_join(F.array_sort("x.sources"), "+").alias("sources"), "x.strength")
+    kind = F.when(F.col("price") < close * 0.998, "support").when(F.col("price") > close * 1.002, "resistance")
+    order = F.row_number().over(Window.partitionBy("code", "kind").orderBy(F.abs(F.col("price") - close), "price"))
+    return out.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn("_n", order).filter(F.col("_n") <= most).select("code", "kind", "price", "sources", "strength")

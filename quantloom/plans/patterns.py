@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import change
-from quantloom.operators import analytics, coupling, portfolio, relative, screener, signals, templates
+from quantloom.operators import analytics, contraction, coupling, levels, portfolio, relative, screener, signals, templates
 from quantloom.plans.features import _NETS, _institutions
 from quantloom.plans.queries import _W, query
 from quantloom.sources import market
@@ -209,3 +209,15 @@ SELECT s0.code, coalesce(greatest(-5, least(5, score)), -3)::DOUBLE AS score, co
 )
 def institution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.institution_score(_institutions(spark, sf_dir), market.sectors(spark, sf_dir))
+
+
+@query("support_levels")
+def support_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = market.bars(spark, sf_dir)
+    return levels.support_resistance(bars, levels.swings(bars))
+
+
+@query("contractions")
+def contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds are wide, since the model's prices move far and its volumes are small."""
+    return contraction.contractions(market.bars(spark, sf_dir), least_volume=1.0, deepest=0.9, limit=10.0)
