@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from quantloom.operators.portfolio import sector_days, sector_pairs
 
@@ -17,6 +18,23 @@ SYSTEMIC_GAP, ELEVATED, SYSTEMIC = 0.15, 0.20, 0.50
 SECTOR_CAP, BUCKET_FACTOR = 0.20, 1.2
 
 
+def _rolling(days: WindowSpec, n: int) -> Column:
+    """Correlation of x and y over the last n rows, null before there are as many.
+
+    Sums over n rows are differences of running sums, which cost the same at any n; returns are small, so little is lost.
+    """
+    running = days.rowsBetween(Window.unboundedPreceding, 0)
+
+    def total(c: Column) -> Column:
+        whole = F.sum(c).over(running)
+        return whole - F.coalesce(F.sum(c).over(days.rowsBetween(Window.unboundedPreceding, -n)), F.lit(0.0))
+
+    x, y = F.col("x"), F.col("y")
+    sx, sy = total(x), total(y)
+    spread = F.sqrt(F.greatest((n * total(x * x) - sx * sx) * (n * total(y * y) - sy * sy), F.lit(0.0)))
+    return F.when(F.row_number().over(days) >= n, F.try_divide(n * total(x * y) - sx * sy, spread))
+
+
 def couplings(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     """A row a pair of sectors: correlations over the last STRUCTURAL and FLASH days both have, mean and deviation of the
     structural one over HISTORY days, z, spike (flash less structural), alert ('absolute_extreme', 'zscore_spike' or null) and flash_alert.
@@ -25,9 +43,8 @@ def couplings(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     are as many as days.
     """
     pair = Window.partitionBy("sector_a", "sector_b")
-    recent = pair.orderBy("date").rowsBetween(1 - STRUCTURAL, 0)
-    rolled = F.when(F.count(F.lit(1)).over(recent) >= STRUCTURAL, F.corr("x", "y").over(recent))
-    rows = sector_pairs(sector_days(bars, sectors)).withColumns({"rolled": rolled, "back": F.row_number().over(pair.orderBy(F.desc("date")))})
+    rows = sector_pairs(sector_days(bars, sectors)).filter("x IS NOT NULL AND y IS NOT NULL")
+    rows = rows.withColumns({"rolled": _rolling(pair.orderBy("date"), STRUCTURAL), "back": F.row_number().over(pair.orderBy(F.desc("date")))})
     last = lambda n, c: F.when(F.col("back") <= n, F.col(c))
     known = last(HISTORY - STRUCTURAL + 1, "rolled")
     out = rows.groupBy("sector_a", "sector_b").agg(
