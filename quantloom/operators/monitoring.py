@@ -44,23 +44,36 @@ def mean_interval(values: DataFrame, key: str, column: str, draws: int = 1000, s
 
     A mean of n values drawn with replacement is a weighted mean with Poisson weights of one per value. A weight follows
     from the hash of its row, draw and seed, so it does not matter how the rows are partitioned; parts of a key's values
-    are combined by sums, so no key has to fit into one task. Rows that are equal in all columns get equal weights.
+    are combined by sums, so no key has to fit into one task. Rows that are equal in all columns are counted first and get
+    the sum of as many weights; above 64 that is drawn from the normal distribution of the same mean and variance.
     """
     cumulative = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
+    salts = np.arange(1, draws + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+
+    def uniform(row: np.ndarray, j: int) -> np.ndarray:
+        """Numbers in [0, 1), a row a draw, for the j-th copies of rows."""
+        h = (row + np.uint64(j * 0xD1342543DE82EF95 % (1 << 64)))[None, :] ^ salts
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+
     def weigh(batches):
-        salts = np.arange(1, draws + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             for k, own in batch.groupby("key"):
                 for at in range(0, len(own), 1024):
                     some = own.iloc[at : at + 1024]
-                    h = some["row"].to_numpy().astype(np.uint64)[None, :] ^ salts
-                    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-                    w = np.searchsorted(cumulative, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, side="right")
+                    row, copies = some["row"].to_numpy().astype(np.uint64), some["copies"].to_numpy()
+                    w = np.zeros((draws, len(some)))
+                    for j in range(min(int(copies.max()), 64)):
+                        w += np.where((copies > j) & (copies <= 64), np.searchsorted(cumulative, uniform(row, j), side="right"), 0)
+                    if (many := copies > 64).any():
+                        z = sum(uniform(row[many], 64 + j) for j in range(12)) - 6
+                        w[:, many] = np.maximum(0.0, copies[many] + np.sqrt(copies[many]) * z)
                     yield pd.DataFrame({"key": k, "draw": np.arange(draws, dtype="int32"), "total": w @ some["x"].to_numpy(), "weight": w.sum(axis=1).astype(float)})
 
     rows = values.filter(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).cast("double").alias("x"), F.xxhash64(F.lit(seed), *values.columns).alias("row"))
-    drawn = rows.mapInPandas(weigh, f"key {dict(rows.dtypes)['key']}, draw int, total double, weight double").groupBy("key", "draw").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("m"))
+    once = rows.groupBy("key", "x", "row").agg(F.count(F.lit(1)).alias("copies"))
+    drawn = once.mapInPandas(weigh, f"key {dict(rows.dtypes)['key']}, draw int, total double, weight double").groupBy("key", "draw").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("m"))
     ends = drawn.groupBy("key").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return rows.groupBy("key").agg(F.avg("x").alias("mean"), F.count("x").alias("n")).join(ends, "key").withColumnRenamed("key", key)

@@ -153,6 +153,16 @@ def test_mean_interval_does_not_hang_on_partitions(spark):
         assert n == 200 and mean == pytest.approx(own.mean()) and low == pytest.approx(mean - 1.96 * se, abs=se) and high == pytest.approx(mean + 1.96 * se, abs=se)
 
 
+def test_mean_interval_of_repeated_rows(spark):
+    from quantloom.operators import monitoring
+
+    for copies in (20, 200):
+        rows = [(1, float(x)) for x in range(10)] * copies
+        (r,) = monitoring.mean_interval(spark.createDataFrame(rows, "code int, ret double"), "code", "ret", draws=400).collect()
+        half = 1.96 * (8.25 / len(rows)) ** 0.5
+        assert r.n == len(rows) and r.mean == pytest.approx(4.5) and (r.high - r.low) / 2 == pytest.approx(half, rel=0.25)
+
+
 def test_adjustment_factors_are_products_of_later_actions(spark):
     df = spark.createDataFrame([(1, day(1), 100.0, 10.0, 0.0), (1, day(5), 50.0, 0.0, 10.0)], "code int, ex_date date, close_before double, cash double, share_dividend double")
     got = {r.ex_date: r.factor for r in signals.adjustment_factors(df).collect()}
