@@ -8,6 +8,7 @@ from quantloom.llm.lines import op8_line_templates
 from quantloom.llm.packing import op2_best_fit_packing
 from quantloom.llm.pii import op10_personal_data
 from quantloom.llm.quality import OP3_SQL, op3_quality_rules
+from quantloom.llm.resampling import OP11_SQL, op11_importance_resampling
 from quantloom.llm.substring import op4_repeated_phrases
 from quantloom.llm.suffix_array import op9_repeated_bytes
 from quantloom.llm.url_filter import OP7_SQL, op7_url_filter
@@ -26,7 +27,8 @@ QUERIES = {
         op8_line_templates,
         op9_repeated_bytes,
         op10_personal_data,
+        op11_importance_resampling,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_url_filter": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_url_filter": OP7_SQL, "op11_importance_resampling": OP11_SQL}
