@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quantloom.llm.collocations import OP13_SQL, op13_phrase_collocations
 from quantloom.llm.decontaminate import OP6_SQL, op6_decontamination
 from quantloom.llm.jaccard import op5_ngram_jaccard
 from quantloom.llm.lines import op8_line_templates
@@ -28,7 +29,8 @@ QUERIES = {
         op9_repeated_bytes,
         op10_personal_data,
         op11_importance_resampling,
+        op13_phrase_collocations,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_url_filter": OP7_SQL, "op11_importance_resampling": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_url_filter": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op13_phrase_collocations": OP13_SQL}
