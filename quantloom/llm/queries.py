@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quantloom.llm.collocations import OP13_SQL, op13_phrase_collocations
 from quantloom.llm.decontaminate import OP6_SQL, op6_decontamination
+from quantloom.llm.fingerprints import op12_simhash
 from quantloom.llm.jaccard import op5_ngram_jaccard
 from quantloom.llm.lines import op8_line_templates
 from quantloom.llm.packing import op2_best_fit_packing
@@ -29,6 +30,7 @@ QUERIES = {
         op9_repeated_bytes,
         op10_personal_data,
         op11_importance_resampling,
+        op12_simhash,
         op13_phrase_collocations,
     )
 }
