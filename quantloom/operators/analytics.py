@@ -200,6 +200,15 @@ def range_multiple(kind: Column, adjustment: Column) -> Column:
     return _clip(base + adjustment, 1.5, 3.5)
 
 
+#: Prices below which a tick has that size, and the size above all.
+TICKS, LARGEST_TICK = ((10, 0.01), (50, 0.05), (100, 0.1), (500, 0.5), (1000, 1.0)), 5.0
+
+
+def tick_size(price: Column) -> Column:
+    """The least step of a price."""
+    return F.coalesce(*(F.when(price < below, F.lit(float(size))) for below, size in TICKS), F.when(price.isNotNull(), F.lit(LARGEST_TICK)))
+
+
 def swing_low(bars: DataFrame, look: int = 20, near: int = 5) -> DataFrame:
     """`bars` with swing_low: the newest low of the last `look` bars that none of the `near` bars on either side undercuts, else the
     least of all; null where there are fewer bars. What stands before the look-back counts for nothing, nor do its last bar's right side."""
@@ -213,18 +222,19 @@ def swing_low(bars: DataFrame, look: int = 20, near: int = 5) -> DataFrame:
 def initial_stop(entries: DataFrame, percent: float = 0.07) -> DataFrame:
     """`entries` (entry, kind, atr, adjustment, swing_low; pivot and pivot_score for a contraction) with stop and its method.
 
-    The lowest of the swing low, entry less average ranges and entry less `percent`; a pivot of score 70 on replaces it where
-    it is above the range stop. A stop that is not below the entry becomes the one by percent.
+    The lowest of the swing low, entry less average ranges and entry less `percent`; a pivot less a tick, of score 70 on,
+    replaces it where that is above the range stop. A stop that is not below the entry becomes the one by percent.
     """
+    entries = entries.withColumn("_pivot", F.col("pivot") - tick_size(F.col("pivot")))
     ranged = F.col("entry") - F.col("atr") * range_multiple(F.col("kind"), F.col("adjustment"))
-    structural = F.when(F.col("pivot_score") >= 70, F.col("pivot")).when(F.col("pivot_score") >= 50, F.greatest("swing_low", "pivot")).otherwise(F.col("swing_low"))
+    structural = F.when(F.col("pivot_score") >= 70, F.col("_pivot")).when(F.col("pivot_score") >= 50, F.greatest("swing_low", "_pivot")).otherwise(F.col("swing_low"))
     by_percent = F.col("entry") * (1 - percent)
     named = lambda value, name: F.when(value > 0, F.struct(value.alias("stop"), F.lit(name).alias("method")))
     lowest = F.array_min(F.array_compact(F.array(named(structural, "structural"), named(ranged, "range"), named(by_percent, "percent"))))
-    pivot = (F.col("pivot_score") >= 70) & (F.col("pivot") > ranged)
-    chosen = F.when(pivot, F.struct(F.col("pivot").alias("stop"), F.lit("pivot").alias("method"))).otherwise(lowest)
+    pivot = (F.col("pivot_score") >= 70) & (F.col("_pivot") > ranged)
+    chosen = F.when(pivot, F.struct(F.col("_pivot").alias("stop"), F.lit("pivot").alias("method"))).otherwise(lowest)
     safe = F.when(chosen["stop"] >= F.col("entry"), F.struct(by_percent.alias("stop"), F.lit("percent").alias("method"))).otherwise(chosen)
-    out = entries.withColumn("_chosen", safe).withColumns({"stop": F.col("_chosen.stop"), "method": F.col("_chosen.method")}).drop("_chosen")
+    out = entries.withColumn("_chosen", safe).withColumns({"stop": F.col("_chosen.stop"), "method": F.col("_chosen.method")}).drop("_chosen", "_pivot")
     return out.withColumn("risk", F.try_divide(F.col("entry") - F.col("stop"), "entry"))
 
 

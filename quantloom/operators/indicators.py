@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import change, deviation, full, history, lag, last_rows, mean
@@ -97,15 +97,29 @@ def recursive(bars: DataFrame) -> DataFrame:
     return bars.groupBy("code").applyInPandas(added, f"{own}, {_ADDED}")
 
 
-def normalised(bars: DataFrame, columns: list[str], window: int = 252, least: int = 60, clip: float = 5.0) -> DataFrame:
-    """Rolling z-scores per code, clipped; 0 where the history is too short or flat."""
+def normalised(bars: DataFrame, columns: list[str], window: int = 252, least: int = 60, clip: float = 5.0, prefix: str = "z_") -> DataFrame:
+    """Rolling z-scores per code, clipped; 0 where a value is missing, the history too short, or flat (a deviation of no more than a millionth of the mean).
+
+    Sums over the window are differences of running sums, so a row costs the same whatever the window. `prefix` names the
+    new columns; with none they replace the old ones.
+    """
+    so_far = history().rowsBetween(Window.unboundedPreceding, 0)
+    finite = lambda x: F.when(F.abs(F.col(x).cast("double")) < float("inf"), F.col(x).cast("double"))  # noqa: E731  false for NaN, which sorts above
+    rows = bars.withColumns({f"_v_{x}": finite(x) for x in columns})
+    # Values are taken from the code's first one, so that sums of squares lose no digits to a large mean.
+    rows = rows.withColumns({f"_f_{x}": F.first(f"_v_{x}", ignorenulls=True).over(so_far) for x in columns})
+    away = {x: F.col(f"_v_{x}") - F.col(f"_f_{x}") for x in columns}
+    rows = rows.withColumns({f"_{k}_{x}": F.sum(v).over(so_far) for x, y in away.items() for k, v in (("n", y.isNotNull().cast("int")), ("s", F.coalesce(y, F.lit(0.0))), ("q", F.coalesce(y * y, F.lit(0.0))))})
+    rows = rows.withColumns({f"_{k}_{x}": F.col(f"_{k}_{x}") - F.coalesce(F.lag(f"_{k}_{x}", window).over(history()), F.lit(0)) for x in columns for k in "nsq"})
 
     def z(x: str):
-        w = last_rows(window)
-        value = F.try_divide(F.col(x) - F.avg(x).over(w), F.stddev_samp(x).over(w))
-        return F.coalesce(F.when(F.count(x).over(w) >= least, F.greatest(F.least(value, F.lit(clip)), F.lit(-clip))), F.lit(0.0))
+        n, total, squares = (F.col(f"_{k}_{x}") for k in "nsq")
+        average = F.try_divide(total, n)
+        deviation = F.sqrt(F.greatest(F.try_divide(squares - total * average, n - 1), F.lit(0.0)))
+        value = F.when((n >= least) & (deviation > 1e-6 * F.abs(average + F.col(f"_f_{x}"))), (away[x] - average) / deviation)
+        return F.when(value.isNull(), 0.0).when(value > clip, clip).when(value < -clip, -clip).otherwise(value)
 
-    return bars.withColumns({f"z_{x}": z(x) for x in columns})
+    return rows.withColumns({f"{prefix}{x}": z(x) for x in columns}).drop(*(f"_{k}_{x}" for x in columns for k in "vfnsq"))
 
 
 __all__ = ["moving", "squeeze", "volume_patterns", "recursive", "normalised", "full"]

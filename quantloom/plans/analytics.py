@@ -191,13 +191,14 @@ swing AS (SELECT sw.code, sw.i, CASE WHEN sw.n >= 20 THEN coalesce(l.low, sw.lea
     "initial_stops",
     _MOVING
     + f""", {_SWING},
-e AS (SELECT l.code, l.date, close, atr_14, swing_low, CASE WHEN l.i % 3 = 0 THEN 'squeeze_breakout' WHEN l.i % 3 = 1 THEN 'momentum_breakout' ELSE 'other' END AS kind, CASE WHEN l.i % 4 = 0 THEN l.low * 0.99 END AS pv, CASE WHEN l.i % 4 = 0 THEN (l.i % 12) * 8 END AS pv_score
+e AS (SELECT l.code, l.date, close, atr_14, swing_low, CASE WHEN l.i % 3 = 0 THEN 'squeeze_breakout' WHEN l.i % 3 = 1 THEN 'momentum_breakout' ELSE 'other' END AS kind, CASE WHEN l.i % 4 = 0 THEN l.low * 0.99::DOUBLE - CASE WHEN l.low * 0.99::DOUBLE < 10 THEN 0.01::DOUBLE WHEN l.low * 0.99::DOUBLE < 50 THEN 0.05::DOUBLE WHEN l.low * 0.99::DOUBLE < 100 THEN 0.1::DOUBLE WHEN l.low * 0.99::DOUBLE < 500 THEN 0.5::DOUBLE WHEN l.low * 0.99::DOUBLE < 1000 THEN 1 ELSE 5 END END AS pv, CASE WHEN l.i % 4 = 0 THEN (l.i % 12) * 8 END AS pv_score
   FROM lows l JOIN swing USING (code, i) WHERE atr_14 IS NOT NULL),
 r AS (SELECT *, close - atr_14 * CASE WHEN kind = 'squeeze_breakout' THEN 1.7 ELSE 2.2 END AS ranged, CASE WHEN pv_score >= 70 THEN pv WHEN pv_score >= 50 THEN greatest(swing_low, pv) ELSE swing_low END AS structural FROM e),
 c AS (SELECT *, least(CASE WHEN structural > 0 THEN structural END, CASE WHEN ranged > 0 THEN ranged END, close * 0.93) AS lowest, pv_score >= 70 AND pv > ranged AS by_pivot FROM r),
 s AS (SELECT *, CASE WHEN coalesce(by_pivot, false) THEN pv ELSE lowest END AS s0 FROM c)
-SELECT code, date, round(CASE WHEN s0 >= close THEN close * 0.93 ELSE s0 END, 6) AS stop,
-       CASE WHEN s0 >= close THEN 'percent' WHEN coalesce(by_pivot, false) THEN 'pivot' WHEN s0 = close * 0.93 THEN 'percent' WHEN ranged > 0 AND s0 = ranged THEN 'range' ELSE 'structural' END AS method, round((close - CASE WHEN s0 >= close THEN close * 0.93 ELSE s0 END) / close, 6) AS risk FROM s""",
+SELECT code, date, round(CASE WHEN s0 >= close THEN close * 0.93 ELSE s0 END, 9) AS stop,
+       CASE WHEN s0 >= close THEN 'percent' WHEN coalesce(by_pivot, false) THEN 'pivot' WHEN s0 = close * 0.93 THEN 'percent' WHEN ranged > 0 AND s0 = ranged THEN 'range' ELSE 'structural' END AS method, round((close - CASE WHEN s0 >= close THEN close * 0.93 ELSE s0 END) / close, 9) AS risk FROM s""",
+    digits=9,
     dates=("date",),
 )
 def initial_stops(spark: SparkSession, sf_dir: str) -> DataFrame:

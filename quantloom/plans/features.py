@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import history
-from quantloom.operators import features, relative
+from quantloom.operators import features, indicators, relative
 from quantloom.plans.queries import _MOVING, _RET, _SCAN, _W, _full, query
 from quantloom.sources import market
 
@@ -193,8 +193,9 @@ def _brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "broker_day_features",
     _BROKERS
-    + """ SELECT code, date, round(hhi, 6) AS hhi, round(top3_pct, 6) AS top3_pct, round(hhi_delta, 6) AS hhi_delta, round(net_buy_ratio, 6) AS net_buy_ratio, round(spread, 6) AS spread, round(net_momentum_5d, 6) AS net_momentum_5d, round(purity, 6) AS purity,
-    round(foreign_pct, 6) AS foreign_pct, round(overlap, 6) AS overlap, round(net_buy_volatility, 6) AS net_buy_volatility, round(turnover_chg, 6) AS turnover_chg, streak, winner_momentum FROM brokers""",
+    + """ SELECT code, date, round(hhi, 9) AS hhi, round(top3_pct, 9) AS top3_pct, round(hhi_delta, 9) AS hhi_delta, round(net_buy_ratio, 9) AS net_buy_ratio, round(spread, 9) AS spread, round(net_momentum_5d, 9) AS net_momentum_5d, round(purity, 9) AS purity,
+    round(foreign_pct, 9) AS foreign_pct, round(overlap, 9) AS overlap, round(net_buy_volatility, 9) AS net_buy_volatility, round(turnover_chg, 9) AS turnover_chg, streak, winner_momentum FROM brokers""",
+    digits=9,
     dates=("date",),
 )
 def broker_day_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,16 +211,26 @@ def price_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.price_divergence(market.bars(spark, sf_dir))
 
 
+_SCORED = ("purity", "winner_momentum", "streak", "top3_pct", "net_buy_ratio")
+
+
+def _rolling_z(x: str) -> str:
+    w = "OVER (PARTITION BY code ORDER BY date ROWS 251 PRECEDING)"
+    return f"coalesce(CASE WHEN {x} IS NOT NULL AND count({x}) {w} >= 60 AND stddev_samp({x}) {w} > 1e-6 * abs(avg({x}) {w}) THEN greatest(-5, least(5, ({x} - avg({x}) {w}) / nullif(stddev_samp({x}) {w}, 0))) END, 0) AS {x}"
+
+
 @query(
     "accumulation_score",
     _BROKERS
-    + """, a AS (SELECT code, date, count(*) OVER w AS n, coalesce(avg(purity) OVER w, 0) AS p, coalesce(avg(winner_momentum) OVER w, 0) AS b, coalesce(avg(streak) OVER w, 0) AS s, coalesce(avg(hhi) OVER w, 0) AS h, coalesce(avg(net_buy_ratio) OVER w, 0) AS r
-  FROM brokers WINDOW w AS (PARTITION BY code ORDER BY date ROWS 19 PRECEDING))
-SELECT code, date, round(0.4 * p * CASE WHEN b > 0 THEN 1.2 ELSE 1 END + 0.25 * s + 0.2 * h + 0.15 * r, 6) AS score FROM a WHERE n >= 20""",
+    + f""", zs AS (SELECT code, date, {", ".join(map(_rolling_z, _SCORED))} FROM brokers), a AS (SELECT code, date, count(*) OVER w AS n, avg(purity) OVER w AS p, avg(winner_momentum) OVER w AS b, avg(streak) OVER w AS s, avg(top3_pct) OVER w AS h, avg(net_buy_ratio) OVER w AS r
+  FROM zs WINDOW w AS (PARTITION BY code ORDER BY date ROWS 19 PRECEDING))
+SELECT code, date, round(0.4::DOUBLE * p * CASE WHEN b > 1e-12 THEN 1.2::DOUBLE ELSE 1 END + 0.25::DOUBLE * s + 0.2::DOUBLE * h + 0.15::DOUBLE * r, 9) AS score FROM a WHERE n >= 20""",
+    digits=9,
     dates=("date",),
 )
 def accumulation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.accumulation_score(_brokers(spark, sf_dir))
+    """Over the normalised broker features."""
+    return features.accumulation_score(indicators.normalised(_brokers(spark, sf_dir), list(_SCORED), prefix=""))
 
 
 @query("return_summary", _RET + " SELECT code, round(avg(ret), 6) AS mean, round(quantile_cont(ret, 0.25), 6) AS q1, round(median(ret), 6) AS median, round(quantile_cont(ret, 0.75), 6) AS q3 FROM ret WHERE ret IS NOT NULL GROUP BY code")

@@ -81,12 +81,12 @@ def _made_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_MADE},
 p AS (SELECT trade_id, valuation IS NOT NULL OR yoy IS NOT NULL AS eight, CASE WHEN fitness IS NULL OR fitness = 'unknown' THEN 50 WHEN (fitness LIKE 'Trend%' AND strategy = 'V4') OR (fitness LIKE '%(V5)' AND strategy = 'V5') OR (fitness = 'Balanced' AND strategy <> 'Bold') THEN 100 WHEN fitness = 'Balanced' THEN 80 ELSE 20 END AS fi,
   CASE regime || strategy WHEN 'bullV4' THEN 95 WHEN 'bullV5' THEN 50 WHEN 'bullAdaptive' THEN 80 WHEN 'sidewaysV4' THEN 45 WHEN 'sidewaysV5' THEN 85 WHEN 'sidewaysAdaptive' THEN 75 WHEN 'bearV4' THEN 20 WHEN 'bearV5' THEN 60 WHEN 'bearAdaptive' THEN 50 ELSE 50 END AS re,
-  CASE WHEN ev IS NULL OR cases < 3 THEN 40 ELSE CASE WHEN ev - 0.005855 >= 0.03 THEN 100 WHEN ev >= 0.005855 THEN 50 + (ev - 0.005855) / 0.03 * 50 WHEN ev - 0.005855 >= -0.02 THEN greatest(0, 50 + (ev - 0.005855) / 0.02 * 50) ELSE 0 END * least(1, cases / 20) + 40 * (1 - least(1, cases / 20)) END AS e,
+  CASE WHEN ev IS NULL OR cases < 3 THEN 40 ELSE CASE WHEN ev - 0.005855 >= 0.03 THEN 100 WHEN ev >= 0.005855 THEN 50 + (ev - 0.005855) / 0.03::DOUBLE * 50 WHEN ev - 0.005855 >= -0.02 THEN greatest(0, 50 + (ev - 0.005855) / 0.02::DOUBLE * 50) ELSE 0 END * least(1, cases / 20) + 40 * (1 - least(1, cases / 20)) END AS e,
   CASE WHEN heat IS NULL THEN 50 ELSE greatest(0, least(100, least(70, heat * 100) + CASE momentum WHEN 'surge' THEN 30 WHEN 'heating' THEN 20 WHEN 'cooling' THEN -20 ELSE 0 END)) END AS he, CASE maturity WHEN 'Structural Shift' THEN 95 WHEN 'Trend Formation' THEN 70 WHEN 'Speculative Spike' THEN 30 ELSE 40 END AS ma,
-  CASE WHEN inst_ratio IS NULL THEN 50 WHEN inst_ratio >= 0.2 THEN 95 WHEN inst_ratio >= 0 THEN 50 + inst_ratio / 0.2 * 45 WHEN inst_ratio >= -0.2 THEN greatest(10, 50 + inst_ratio / 0.2 * 40) ELSE 10 END AS ins, coalesce(valuation, 50) AS va, {_GROWTH_SQL} AS gr FROM q),
-w AS (SELECT trade_id, (CASE WHEN eight THEN ins * 0.2 + gr * 0.15 + fi * 0.15 + va * 0.1 + re * 0.1 + e * 0.1 + he * 0.1 + ma * 0.1 ELSE fi * 0.25 + re * 0.2 + e * 0.15 + he * 0.1 + ma * 0.1 + ins * 0.2 END)::DOUBLE AS sqs FROM p)
-SELECT trade_id, round(sqs, 4) AS sqs, CASE WHEN sqs >= 80 THEN 'diamond' WHEN sqs >= 60 THEN 'gold' WHEN sqs >= 40 THEN 'silver' ELSE 'noise' END AS grade FROM w""",
-    digits=4,
+  CASE WHEN inst_ratio IS NULL THEN 50 WHEN inst_ratio >= 0.2 THEN 95 WHEN inst_ratio >= 0 THEN 50 + inst_ratio / 0.2::DOUBLE * 45 WHEN inst_ratio >= -0.2 THEN greatest(10, 50 + inst_ratio / 0.2::DOUBLE * 40) ELSE 10 END AS ins, coalesce(valuation, 50) AS va, {_GROWTH_SQL} AS gr FROM q),
+w AS (SELECT trade_id, (CASE WHEN eight THEN ins * 0.2::DOUBLE + gr * 0.15::DOUBLE + fi * 0.15::DOUBLE + va * 0.1::DOUBLE + re * 0.1::DOUBLE + e * 0.1::DOUBLE + he * 0.1::DOUBLE + ma * 0.1::DOUBLE ELSE fi * 0.25::DOUBLE + re * 0.2::DOUBLE + e * 0.15::DOUBLE + he * 0.1::DOUBLE + ma * 0.1::DOUBLE + ins * 0.2::DOUBLE END)::DOUBLE AS sqs FROM p)
+SELECT trade_id, round(sqs, 9) AS sqs, CASE WHEN sqs >= 80 THEN 'diamond' WHEN sqs >= 60 THEN 'gold' WHEN sqs >= 40 THEN 'silver' ELSE 'noise' END AS grade FROM w""",
+    digits=9,
 )
 def signal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.signal_quality(_made_signals(spark, sf_dir)).select("trade_id", "sqs", "grade")
@@ -94,9 +94,9 @@ def signal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "priorities",
-    f"""{_MADE} SELECT trade_id, round((0.3 * CASE WHEN yoy IS NULL THEN 50 ELSE greatest(least(yoy, 100), 0) END + 0.25 * CASE WHEN valuation IS NULL THEN 50 ELSE greatest(least(valuation, 100), 0) END + 0.2 * CASE cases WHEN 1 THEN 100 WHEN 2 THEN 60 WHEN 3 THEN 80 ELSE 0 END
-    + 0.15 * greatest(least((coalesce(heat * 3, 1) - 0.5) * 40, 100), 0) + 0.1 * CASE WHEN ev IS NULL THEN 50 ELSE greatest(least(ev * 1000, 100), 0) END)::DOUBLE, 4) AS priority FROM q""",
-    digits=4,
+    f"""{_MADE} SELECT trade_id, round((0.3 * CASE WHEN yoy IS NULL THEN 50 ELSE greatest(least(yoy, 100), 0) END + 0.25::DOUBLE * CASE WHEN valuation IS NULL THEN 50 ELSE greatest(least(valuation, 100), 0) END + 0.2::DOUBLE * CASE cases WHEN 1 THEN 100 WHEN 2 THEN 60 WHEN 3 THEN 80 ELSE 0 END
+    + 0.15::DOUBLE * greatest(least((coalesce(heat * 3, 1) - 0.5) * 40, 100), 0) + 0.1::DOUBLE * CASE WHEN ev IS NULL THEN 50 ELSE greatest(least(ev * 1000, 100), 0) END)::DOUBLE, 9) AS priority FROM q""",
+    digits=9,
 )
 def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _made_signals(spark, sf_dir).select("trade_id", F.col("yoy").alias("strength"), F.col("valuation").alias("quality"), F.when(F.col("cases") == 1, "BETA").when(F.col("cases") == 2, "ALPHA").when(F.col("cases") == 3, "GAMMA_READY").otherwise("NONE").alias("phase"), (F.col("heat") * 3).alias("peer_alpha"), (F.col("ev") * 1000).alias("liquidity"))
