@@ -29,7 +29,7 @@ SHINGLE, BITS, RADIUS = 5, 128, 6
 #: Fingerprints of a chunk of one table's key.
 CHUNK = 512
 #: Text of a range of ids in bytes, and the most ranges there are.
-RANGE_BYTES, MAX_RANGES = 16 << 20, 1 << 15
+RANGE_BYTES, MAX_RANGES = 1 << 20, 1 << 15
 _LANES = 0x0000000100000001
 
 
