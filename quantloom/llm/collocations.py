@@ -1,26 +1,28 @@
 """Phrase collocation mining by hierarchical pair naming.
 
 1. Blocks of text hold their words as keys of 64 bits. A block sends each of its distinct keys once, with its count, to the
-   key's bucket; buckets add up what all blocks sent and answer each block with those of its keys that are frequent. So a
-   word or phrase that a third of all documents have costs an entry a block, and all blocks know a frequent pair by one name.
+   key's bucket; buckets add up what all blocks sent and answer each block with the names of those of its keys that are
+   frequent, dense numbers that all blocks share. So a word or phrase that a third of all documents have costs an entry a block.
 2. Each level replaces two adjacent frequent (k-1)-grams by the name of their pair, a k-gram; every k-gram of `min_count`
    occurrences is such a pair. One block a name, the first that has it, hands the name's two parents on to a catalog.
 3. The parents are pointers: a phrase's text, the counts of both sides of each of its cuts, and the longer phrases that
    contain it are joins of one level of the catalog with the next.
 
-Counts are exact but for collisions of 64-bit keys. Null texts have no words, null languages are one of their own by name;
-repeated rows count as often as they occur; without frequent phrases there are no rows. A block has one language and some
-megabytes of text, or one longer document.
+Words are told apart by 64-bit hashes, all else is exact. Null texts have no words, null languages are one of their own by
+name; repeated rows count as often as they occur; without frequent phrases there are no rows. A block has one language and
+some megabytes of text, or one longer document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,10 +34,84 @@ from quantloom.llm.vocabulary import word_ids
 SHORTEST, LONGEST, MIN_COUNT, COVERED, TOP = 2, 4, 30, 80, 2000
 NO_LANG = "und"
 #: Text of a block, and text for whose keys a bucket answers, in bytes.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Parts of a language that are ranked by themselves before all of it.
+PARTS = 64
 _PIECE_ENDS = np.isin(np.arange(256), list(b".,;:!?\n\v\f\r"))
-_STATE = "blk long, lang string, n_words long, keys binary, counts binary, parents binary, words array<string>, codes binary, adjacent binary, named array<struct<key:long,left:long,right:long,n:long,word:string>>"
-_NAMED = pa.list_(pa.struct([("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("word", pa.string())]))
+_STATE = "blk long, lang string, n_words long, units binary, words array<string>, places binary, adjacent binary, named array<struct<key:long,left:long,right:long,n:long,word:string>>"
+_SENT = "bucket int, blk long, lefts binary, rights binary, counts binary"
+_ANSWER = "bucket int, blk long, often binary, names binary, own binary, totals binary"
+_KINDS = {
+    "blk": pa.int64(), "lang": pa.string(), "n_words": pa.int64(), "units": pa.binary(), "words": pa.list_(pa.string()), "places": pa.binary(), "adjacent": pa.binary(),
+    "named": pa.list_(pa.struct([("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("word", pa.string())])),
+}
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Planes of small numbers, packed by entropy: about half of what is stored and shuffled is saved."""
+    return zstandard.ZstdCompressor(level=1).compress(tally.planes(x))
+
+
+def _opened(b: bytes, dtype: str) -> np.ndarray:
+    return tally.from_planes(zstandard.ZstdDecompressor().decompress(b), dtype)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Sorted numbers by what each adds to the one before."""
+    return _squeezed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _from_steps(b: bytes, dtype: str = "u8") -> np.ndarray:
+    return np.cumsum(_opened(b, dtype), dtype=dtype)
+
+
+@dataclass
+class Grams:
+    """A block's frequent k-grams in text order: distinct names (or hashes of words) in order, each place's name, and whether the next place is the next k-gram of the text."""
+
+    units: np.ndarray
+    places: np.ndarray
+    adjacent: np.ndarray
+
+    def packed(self) -> dict[str, bytes]:
+        return {"units": _squeezed(self.units), "places": _squeezed(self.places.astype(np.uint32)), "adjacent": _squeezed(self.adjacent.astype(np.uint8))}
+
+    @staticmethod
+    def of(units: bytes, places: bytes, adjacent: bytes) -> Grams:
+        return Grams(_opened(units, "u8"), _opened(places, "u4").astype(np.int64), _opened(adjacent, "u1").astype(bool))
+
+    def pairs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places at which names of level k start, and a local number for each such name: words are names of level 1, pairs those of others."""
+        if k == 1:
+            return np.arange(len(self.places)), self.places
+        at = np.flatnonzero(self.adjacent)
+        return at, self.places[at] * len(self.units) + self.places[at + 1]
+
+    def parents(self, local: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two units of local numbers; words have themselves and 0."""
+        if k == 1 or not len(local):
+            return self.units[local], np.zeros(len(local), np.uint64)
+        return self.units[local // len(self.units)], self.units[local % len(self.units)]
+
+    def dealt(self, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The block's different local numbers of level k by bucket, then by parents: numbers, counts, both parents, and where each bucket begins."""
+        local, counts = np.unique(self.pairs(k)[1], return_counts=True)  # units are in order, so parents are too
+        left, right = self.parents(local, k)
+        a, b = multipliers(2)
+        bucket = ((mix(left * a + right * b) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        return local[order], counts[order], left[order], right[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def named(self, k: int, known: np.ndarray, names: np.ndarray) -> Grams:
+        """Places of frequent names of level k (their local numbers and names), and those alone that have a neighbour."""
+        at, local = self.pairs(k)
+        order = np.argsort(known)
+        frequent, where = tally.found(local, known[order])
+        at, name = at[frequent], names[order][where[frequent]] if len(order) else names[:0]
+        follows = np.r_[(at[1:] == at[:-1] + 1) & self.adjacent[at[:-1]], False] if len(at) else np.zeros(0, bool)
+        keep = follows | np.r_[False, follows[:-1]] if len(at) else follows
+        units, places = np.unique(name[keep], return_inverse=True)
+        return Grams(units, places, follows[keep])
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -55,41 +131,25 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _state(blk: int, lang: str, n_words: int, keys: np.ndarray, counts: np.ndarray, parents: tuple[np.ndarray, ...], words: pa.Array | None, codes: np.ndarray, adjacent: np.ndarray, named: pa.Array | None) -> dict[str, list]:
-    """One row: distinct keys in order, their counts and parents (or words), the key of each place, and whether the next place follows on."""
-    return {
-        "blk": [blk],
-        "lang": [lang],
-        "n_words": [n_words],
-        "keys": [tally.planes(keys)],
-        "counts": [tally.planes(counts.astype(np.uint32))],
-        "parents": [b"".join(tally.planes(p) for p in parents)],
-        "words": [words],
-        "codes": [tally.planes(codes.astype(np.uint32))],
-        "adjacent": [np.packbits(adjacent).tobytes()],
-        "named": [named],
-    }
+def _row(blk: int, lang: str, n_words: int, grams: Grams, words: list[str] | None, named: list[dict]) -> pa.Table:
+    row = {"blk": blk, "lang": lang, "n_words": n_words, "words": words, "named": named} | grams.packed()
+    return pa.table({c: pa.array([row[c]], t) for c, t in _KINDS.items()})
 
 
-def _first_state(blk: int, lang: str, texts: pa.ChunkedArray) -> dict[str, list]:
+def _words_of(lang: str, texts: pa.ChunkedArray) -> tuple[Grams, list[str]]:
     data, offsets = text_bytes(texts)
     data = fold_case(data)
     ends = _PIECE_ENDS[data]
     w = word_ids(data, offsets, ~(ends | (data == 32) | (data == 9)))
     seed = xxhash.xxh3_64_intdigest(lang.encode())
     hashes = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in w.words.to_pylist()], np.uint64)
-    keys, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-    codes = place[w.ids] if len(w.ids) else np.zeros(0, np.int64)
+    units, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    if not len(w.starts):
+        return Grams(units, place, np.zeros(0, bool)), []
     # Pieces and texts in one number that never falls: places of equal numbers are in one piece.
-    piece = np.cumsum(ends)[w.starts] + np.repeat(np.arange(len(w.first) - 1), np.diff(w.first)) if len(w.starts) else w.starts
-    adjacent = np.r_[piece[1:] == piece[:-1], False] if len(piece) else np.zeros(0, bool)
-    words = w.words.take(pa.array(first)).cast(pa.large_string()).cast(pa.string()).to_pylist()
-    return _state(blk, lang, len(w.ids), keys, np.bincount(codes, minlength=len(keys)), (), words, codes, adjacent, [])
-
-
-def _table(rows: list[dict[str, list]]) -> pa.Table:
-    kinds = {"blk": pa.int64(), "lang": pa.string(), "n_words": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "parents": pa.binary(), "words": pa.list_(pa.string()), "codes": pa.binary(), "adjacent": pa.binary(), "named": _NAMED}
-    return pa.table({c: pa.array([x for r in rows for x in r[c]], t) for c, t in kinds.items()})
+    piece = np.cumsum(ends)[w.starts] + np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    words = w.words.take(pa.array(first)).cast(pa.large_string()).to_pylist()
+    return Grams(units, place[w.ids], np.r_[piece[1:] == piece[:-1], False]), words
 
 
 def _word_blocks(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -99,80 +159,84 @@ def _word_blocks(docs: DataFrame, text: str, lang: str) -> DataFrame:
         blk = TaskContext.get().partitionId() << 32
         for table in _blocks_of(batches):
             for name in pc.unique(table["lang"]).to_pylist():
-                yield from _table([_first_state(blk, name, table["text"].filter(pc.equal(table["lang"], name)))]).to_batches()
+                grams, words = _words_of(name, table["text"].filter(pc.equal(table["lang"], name)))
+                yield from _row(blk, name, len(grams.places), grams, words, []).to_batches()
                 blk += 1
 
     return docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text}`").alias("text")).mapInArrow(f, _STATE)
 
 
-def _deal(state: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, blk, keys, c0): each block's distinct keys and counts by bucket."""
+def _deal(state: DataFrame, k: int, buckets: int) -> DataFrame:
+    """(bucket, blk, lefts, rights, counts): each block's distinct keys of level k, by their parents, and their counts."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blk, keys, counts in zip(*(batch[c].to_pylist() for c in ("blk", "keys", "counts")), strict=True):
-                keys, counts = tally.from_planes(keys, "u8"), tally.from_planes(counts, "u4")
-                bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for r in batch.to_pylist():
+                _, counts, left, right, cuts = Grams.of(r["units"], r["places"], r["adjacent"]).dealt(k, buckets)
                 full = np.flatnonzero(np.diff(cuts))
-                parts = [[tally.planes(x[order][cuts[i] : cuts[i + 1]]) for i in full] for x in (keys, counts)]
-                yield pa.record_batch([pa.array(full, pa.int32()), pa.array(np.full(len(full), blk), pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", "blk", "keys", "c0"])
+                cut = lambda x, to: pa.array([to(x[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())  # noqa: E731, B023
+                yield pa.record_batch([pa.array(full, pa.int32()), pa.array(np.full(len(full), r["blk"]), pa.int64()), cut(left, _steps), cut(right, _squeezed), cut(counts.astype(np.uint32), _squeezed)], names=["bucket", "blk", "lefts", "rights", "counts"])
 
-    return state.select("blk", "keys", "counts").mapInArrow(f, "bucket int, blk long, keys binary, c0 binary")
+    return state.select("blk", "units", "places", "adjacent").mapInArrow(f, _SENT)
 
 
-def _frequent(sent: DataFrame, min_count: int) -> DataFrame:
-    """(blk, keys, c0): those of a block's keys that all blocks together have often enough; c0 is their count for the key's first block, else 0."""
+def _frequent(sent: DataFrame, buckets: int, min_count: int) -> DataFrame:
+    """For each bucket and block which of the block's keys all blocks together have often enough.
+
+    Keys are not sent back: `often` has a bit for each in the order in which they came. `names` are the numbers of the frequent
+    ones among the bucket's, `own` has a bit for those of which the block is the first to have them, `totals` their counts.
+    """
 
     def resolve(table: pa.Table) -> pa.Table:
-        rows, (keys, n) = tally.unpack(table, keys="u8", c0="u4")
-        blks = table["blk"].to_numpy()[rows]
-        order = np.lexsort((blks, keys))
-        keys, n, blks = keys[order], n[order].astype(np.int64), blks[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        total = np.add.reduceat(n, first)
-        keep = np.repeat(total >= min_count, np.diff(np.r_[first, len(keys)]))
-        count = np.zeros(len(keys), np.uint64)
-        count[first] = total
-        keys, count, blks = keys[keep], count[keep], blks[keep]
-        order = np.argsort(blks, kind="stable")
-        ids, at = np.unique(blks[order], return_index=True)
-        cuts = [*at.tolist(), len(order)]
-        parts = [[tally.planes(x[order][a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for x in (keys, count)]
-        return pa.table({"blk": pa.array(ids, pa.int64()), "keys": pa.array(parts[0], pa.binary()), "c0": pa.array(parts[1], pa.binary())})
-
-    return sent.groupBy("bucket").applyInArrow(resolve, "blk long, keys binary, c0 binary")
-
-
-def _next_level(state: DataFrame, frequent: DataFrame, last: bool) -> DataFrame:
-    """States whose places have pairs of adjacent frequent names; `named` has the names of the level before that this block hands on."""
+        lefts, rights, counts = ([f(b) for b in table[c].to_pylist()] for c, f in (("lefts", _from_steps), ("rights", lambda b: _opened(b, "u8")), ("counts", lambda b: _opened(b, "u4"))))
+        sizes = [len(x) for x in lefts]
+        left, right, n = np.concatenate(lefts), np.concatenate(rights), np.concatenate(counts).astype(np.int64)
+        order = np.lexsort((np.repeat(table["blk"].to_numpy(), sizes), right, left))
+        a, b = left[order], right[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        total = np.add.reduceat(n[order], first)
+        frequent = total >= min_count
+        many = np.diff(np.r_[first, len(a)])
+        often, name, own = np.zeros(len(a), bool), np.zeros(len(a), np.uint32), np.zeros(len(a), np.uint64)
+        often[order], name[order] = np.repeat(frequent, many), np.repeat((np.cumsum(frequent) - frequent).astype(np.uint32), many)
+        own[order[first]] = np.where(frequent, total, 0)
+        rows: dict[str, list] = {"often": [], "names": [], "own": [], "totals": []}
+        ends = np.cumsum(sizes)
+        for at, to in zip(ends - sizes, ends, strict=True):
+            here = often[at:to]
+            mine = own[at:to][here]
+            for c, x in (("often", np.packbits(here).tobytes()), ("names", _steps(name[at:to][here])), ("own", np.packbits(mine > 0).tobytes()), ("totals", _squeezed(mine[mine > 0]))):
+                rows[c].append(x)
+        return pa.table({"bucket": table["bucket"], "blk": table["blk"]} | {c: pa.array(x, pa.binary()) for c, x in rows.items()})
+
+    return sent.groupBy("bucket").applyInArrow(resolve, _ANSWER)
+
+
+def _next_level(state: DataFrame, frequent: DataFrame, k: int, buckets: int, last: bool) -> DataFrame:
+    """States of the names of level k; `named` has those that this block hands on."""
 
     def step(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
-        for r in mine.to_pylist():
-            names, total = tally.sorted_answer(answers, keys="u8", c0="u8")
-            keys = tally.from_planes(r["keys"], "u8")
-            is_frequent, at = tally.found(keys, names)
-            own = np.flatnonzero(is_frequent & (total[at] > 0)) if len(names) else np.zeros(0, np.int64)
-            half = len(r["parents"]) // 2
-            left, right = (tally.from_planes(x, "u8") if x else np.zeros(len(keys), np.uint64) for x in (r["parents"][:half], r["parents"][half:]))
-            words = [r["words"][i] for i in own.tolist()] if r["words"] else [None] * len(own)
-            numbers = [x[own].view(np.int64).tolist() for x in (keys, left, right)]
-            named = [dict(zip(("key", "left", "right", "n", "word"), x, strict=True)) for x in zip(*numbers, total[at[own]].tolist() if len(own) else [], words, strict=True)]
-            if last:
-                pair, codes, adjacent = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
-            else:
-                codes = tally.from_planes(r["codes"], "u4")
-                adjacent = np.unpackbits(np.frombuffer(r["adjacent"], np.uint8), count=len(codes)).astype(bool)
-                often = is_frequent[codes]
-                pair = np.flatnonzero(often[:-1] & often[1:] & adjacent[:-1])
-            first, second = keys[codes[pair]], keys[codes[pair + 1]]
-            a, b = multipliers(2)
-            new, where, codes, counts = np.unique(mix(first * a + second * b), return_index=True, return_inverse=True, return_counts=True)
-            follows = np.r_[pair[1:] == pair[:-1] + 1, False] if len(pair) else np.zeros(0, bool)
-            rows.append(_state(r["blk"], r["lang"], 0, new, counts, (first[where], second[where]), None, codes, follows, named))
-        return _table(rows)
+        r = mine.to_pylist()[0]  # a block is a row
+        grams = Grams.of(r["units"], r["places"], r["adjacent"])
+        local, _, left, right, cuts = grams.dealt(k, buckets)
+        known, names, own, totals = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for x in answers.to_pylist():
+            at = cuts[x["bucket"]]
+            often = at + np.flatnonzero(np.unpackbits(np.frombuffer(x["often"], np.uint8), count=cuts[x["bucket"] + 1] - at))
+            # Names are dense: the key's number among the bucket's frequent ones, and the bucket.
+            number = _from_steps(x["names"], "u4").astype(np.uint64) * np.uint64(buckets) + np.uint64(x["bucket"])
+            first = np.flatnonzero(np.unpackbits(np.frombuffer(x["own"], np.uint8), count=len(often)))
+            own.append(sum(map(len, known)) + first)
+            known.append(often)
+            names.append(number)
+            totals.append(_opened(x["totals"], "u8"))
+        known, names, own, totals = np.concatenate(known), np.concatenate(names), np.concatenate(own), np.concatenate(totals)
+        mine_first = known[own]
+        words = [r["words"][i] for i in local[mine_first].tolist()] if k == 1 else [None] * len(own)
+        numbers = [x.view(np.int64).tolist() for x in (names[own], left[mine_first], right[mine_first], totals)]
+        named = [dict(zip(("key", "left", "right", "n", "word"), x, strict=True)) for x in zip(*numbers, words, strict=True)]
+        new = Grams(names[:0], local[:0], np.zeros(0, bool)) if last else grams.named(k, local[known], names)
+        return _row(r["blk"], r["lang"], 0, new, None, named)
 
     return state.groupBy("blk").cogroup(frequent.groupBy("blk")).applyInArrow(step, _STATE)
 
@@ -188,7 +252,7 @@ def phrase_catalog(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN
     totals = shared.stored(state.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     levels: list[DataFrame] = []
     for k in range(1, longest + 1):
-        after = shared.stored(_next_level(state, _frequent(_deal(state, buckets), min_count), k == longest), f"level{k}")
+        after = shared.stored(_next_level(state, _frequent(_deal(state, k, buckets), buckets, min_count), k, buckets, k == longest), f"level{k}")
         names = after.select("lang", F.explode("named").alias("x")).select("lang", "x.*")
         if k == 1:
             empty = F.array().cast("array<bigint>")
@@ -236,8 +300,11 @@ def collocations(docs: DataFrame, shortest: int = SHORTEST, longest: int = LONGE
     out = kept[0]
     for x in kept[1:]:
         out = out.unionByName(x)
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    out = out.withColumn("rank", F.row_number().over(best))
+    order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
+    if top is not None:  # first the best of each part of a language, which may have most of all phrases
+        part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+        out = out.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if top is not None:
         out = out.filter(F.col("rank") <= top)
     return out.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
