@@ -100,26 +100,29 @@ def recursive(bars: DataFrame) -> DataFrame:
 def normalised(bars: DataFrame, columns: list[str], window: int = 252, least: int = 60, clip: float = 5.0, prefix: str = "z_") -> DataFrame:
     """Rolling z-scores per code, clipped; 0 where a value is missing, the history too short, or flat (a deviation of no more than a millionth of the mean).
 
-    Sums over the window are differences of running sums, so a row costs the same whatever the window. `prefix` names the
-    new columns; with none they replace the old ones.
+    Rows are cut into blocks of the window's length. A window is the end of one block and the beginning of the next; the
+    means and variances of both come from running aggregates and are merged, so a row costs the same whatever the window,
+    and nothing is subtracted that has left it. `prefix` names the new columns; with none they replace the old ones.
     """
-    so_far = history().rowsBetween(Window.unboundedPreceding, 0)
     finite = lambda x: F.when(F.abs(F.col(x).cast("double")) < float("inf"), F.col(x).cast("double"))  # noqa: E731  false for NaN, which sorts above
-    rows = bars.withColumns({f"_v_{x}": finite(x) for x in columns})
-    # Values are taken from the code's first one, so that sums of squares lose no digits to a large mean.
-    rows = rows.withColumns({f"_f_{x}": F.first(f"_v_{x}", ignorenulls=True).over(so_far) for x in columns})
-    away = {x: F.col(f"_v_{x}") - F.col(f"_f_{x}") for x in columns}
-    rows = rows.withColumns({f"_{k}_{x}": F.sum(v).over(so_far) for x, y in away.items() for k, v in (("n", y.isNotNull().cast("int")), ("s", F.coalesce(y, F.lit(0.0))), ("q", F.coalesce(y * y, F.lit(0.0))))})
-    rows = rows.withColumns({f"_{k}_{x}": F.col(f"_{k}_{x}") - F.coalesce(F.lag(f"_{k}_{x}", window).over(history()), F.lit(0)) for x in columns for k in "nsq"})
+    rows = bars.withColumn("_i", F.row_number().over(history()) - 1).withColumns({"_b": F.floor(F.col("_i") / window), **{f"_v_{x}": finite(x) for x in columns}})
+    so_far, to_come = (Window.partitionBy("code", "_b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("date"), F.desc("date")))
+    parts = lambda x, w: F.struct(F.count(f"_v_{x}").over(w).alias("n"), F.coalesce(F.avg(f"_v_{x}").over(w), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop(f"_v_{x}").over(w), F.lit(0.0)).alias("v"))
+    rows = rows.withColumns({f"_{k}_{x}": parts(x, w) for x in columns for k, w in (("p", so_far), ("s", to_come))})
+    # The last row of a block has all of its window in the block.
+    rows = rows.withColumns({f"_s_{x}": F.when((F.col("_i") + 1) % window != 0, F.lag(f"_s_{x}", window - 1).over(history())) for x in columns})
 
     def z(x: str):
-        n, total, squares = (F.col(f"_{k}_{x}") for k in "nsq")
-        average = F.try_divide(total, n)
-        deviation = F.sqrt(F.greatest(F.try_divide(squares - total * average, n - 1), F.lit(0.0)))
-        value = F.when((n >= least) & (deviation > 1e-6 * F.abs(average + F.col(f"_f_{x}"))), (away[x] - average) / deviation)
+        n1, m1, v1 = (F.coalesce(F.col(f"_s_{x}")[k], F.lit(0)) for k in "nmv")
+        n2, m2, v2 = (F.col(f"_p_{x}")[k] for k in "nmv")
+        n = n1 + n2
+        average = m1 + F.try_divide((m2 - m1) * n2, n)
+        squares = v1 * n1 + v2 * n2 + F.try_divide((m2 - m1) * (m2 - m1) * n1 * n2, n)
+        deviation = F.sqrt(F.try_divide(squares, n - 1))
+        value = F.when((n >= least) & (deviation > 1e-6 * F.abs(average)), (F.col(f"_v_{x}") - average) / deviation)
         return F.when(value.isNull(), 0.0).when(value > clip, clip).when(value < -clip, -clip).otherwise(value)
 
-    return rows.withColumns({f"{prefix}{x}": z(x) for x in columns}).drop(*(f"_{k}_{x}" for x in columns for k in "vfnsq"))
+    return rows.withColumns({f"{prefix}{x}": z(x) for x in columns}).drop("_i", "_b", *(f"_{k}_{x}" for x in columns for k in "vps"))
 
 
 __all__ = ["moving", "squeeze", "volume_patterns", "recursive", "normalised", "full"]

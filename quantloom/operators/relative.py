@@ -58,7 +58,8 @@ def industry_features(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     w = Window.partitionBy("date", "sector")
     out = named.withColumn("sector_momentum", F.percentile("ret_20", F.lit(0.5)).over(w))
     out = out.withColumn("sector_rs", rank_pct("sector_momentum"))
-    alpha = F.greatest(F.least(F.col("ret_20") - F.col("sector_momentum"), F.lit(5.0)), F.lit(-5.0))
+    excess = F.col("ret_20") - F.col("sector_momentum")
+    alpha = F.when(excess.isNotNull(), F.greatest(F.least(excess, F.lit(5.0)), F.lit(-5.0)))  # least() passes over nulls
     return out.select("code", "date", "sector", "ret_20", "sector_momentum", "sector_rs", alpha.alias("peer_alpha"))
 
 

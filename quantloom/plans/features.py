@@ -156,6 +156,12 @@ def _institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumns({"margin_balance": F.sum("b").over(w), "short_balance": F.sum("s").over(w), "foreign_holding": F.when(F.dayofweek("date") == 6, F.sum("foreign_net").over(w))})
 
 
+def institutional_family(frame: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _institutions(spark, sf_dir)
+    margin = days.select("code", "date", "margin_balance", "short_balance", F.try_divide(F.col("margin_balance"), F.col("margin_balance") + F.col("short_balance")).alias("margin_utilization"))
+    return features.institutional(frame, days.select("code", "date", "foreign_net", "trust_net", "dealer_net", "total_net"), margin, days.select("code", "date", "foreign_holding"))
+
+
 @query(
     "institutional_features",
     _NETS
@@ -167,9 +173,7 @@ SELECT code, date, round(foreign_net / volume, 6) AS inst_foreign_net, round(tru
     dates=("date",),
 )
 def institutional_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = _institutions(spark, sf_dir)
-    margin = days.select("code", "date", "margin_balance", "short_balance", F.try_divide(F.col("margin_balance"), F.col("margin_balance") + F.col("short_balance")).alias("margin_utilization"))
-    return features.institutional(market.bars(spark, sf_dir), days.select("code", "date", "foreign_net", "trust_net", "dealer_net", "total_net"), margin, days.select("code", "date", "foreign_holding"))
+    return institutional_family(market.bars(spark, sf_dir), spark, sf_dir)
 
 
 _BROKERS = f"""f0 AS (SELECT *, buy - sell AS net, sum(buy + sell) OVER (PARTITION BY code, date) AS turnover, sum(CASE WHEN buy > sell THEN 1 ELSE 0 END) OVER (PARTITION BY date, broker) AS spread_of FROM flows),

@@ -135,23 +135,6 @@ def sector_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.sector_heat(rows.withColumns({"maturity": maturity, "inst_score": F.col("code") % 11 - 5}))
 
 
-@query(
-    "hot_sectors",
-    _RET
-    + f""", z AS (SELECT code, (volume - avg(volume) OVER (PARTITION BY code)) / nullif(stddev_samp(volume) OVER (PARTITION BY code), 0) AS z, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS back FROM ret),
-h AS (SELECT industry AS sector, count(CASE WHEN z > 0 THEN 1 END) AS stealth, count(CASE WHEN z < 0 THEN 1 END) AS distribution FROM z JOIN sectors USING (code) WHERE back = 1 GROUP BY industry)
-SELECT sector, stealth, distribution, stealth + distribution AS total, CASE WHEN stealth > distribution * 1.5 THEN 'stealth_heavy' WHEN distribution > stealth * 1.5 THEN 'distribution_heavy' ELSE 'mixed' END AS signal FROM h
-WHERE stealth + distribution >= 2 ORDER BY total DESC, sector LIMIT 10""",
-)
-def hot_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Industries by how the last day's volume stands to its history."""
-    from pyspark.sql import Window
-
-    whole = Window.partitionBy("code")
-    rows = market.bars(spark, sf_dir).withColumns({"z": F.try_divide(F.col("volume") - F.avg("volume").over(whole), F.stddev_samp("volume").over(whole)), "_back": F.row_number().over(whole.orderBy(F.desc("date")))})
-    return guard.hot_sectors(rows.filter("_back = 1").join(F.broadcast(market.sectors(spark, sf_dir).select("code", F.col("industry").alias("sector"))), "code"))
-
-
 @query(
     "assessments",
     f"""{_MOVING}, {_REC},

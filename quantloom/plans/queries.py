@@ -939,7 +939,7 @@ SELECT code, date, sum(n) OVER (PARTITION BY code ORDER BY date ROWS 6 PRECEDING
 def attention_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = market.table(spark, sf_dir, "documents")
     news = docs.select((F.col("doc_id") % 20).alias("code"), F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("doc_id") % 60).cast("int")).alias("date"), "source", F.lit(1).alias("mentions"), F.lit(0).alias("polarity"))
-    return attention.attention_features(market.bars(spark, sf_dir), attention.daily_attention(news))
+    return attention.attention_features(market.bars(spark, sf_dir), attention.daily_attention(news)).drop("polarity", "co_mention")
 
 
 @query(

@@ -54,4 +54,4 @@ def same(df, names, rows) -> None:
     want = sorted((tuple(r[names.index(c)] for c in cols) for r in rows), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
-        assert all(x == y or (isinstance(x, float) and x == pytest.approx(y, rel=1e-9, abs=1e-12)) for x, y in zip(g, w, strict=True)), (g, w)
+        assert all(x == y or (isinstance(x, float) and x == pytest.approx(y, rel=1e-9, abs=2e-9)) for x, y in zip(g, w, strict=True)), (g, w)
