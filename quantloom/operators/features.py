@@ -111,15 +111,17 @@ def institutional(bars: DataFrame, nets: DataFrame, margin: DataFrame, holdings:
     return rows.select("code", "date", "inst_foreign_net", "inst_trust_net", "inst_dealer_net", "inst_total_net", "inst_5d_sum", "margin_balance_chg", "short_balance_chg", "margin_utilization", (-F.col("tdcc_big_chg")).alias("tdcc_retail_chg"), "tdcc_big_chg", "tdcc_concentration")
 
 
-def broker_day(flows: DataFrame, foreign: tuple[int, ...] = (), winners: tuple[int, ...] = (), tier1: tuple[int, ...] = ()) -> DataFrame:
+def broker_day(flows: DataFrame, foreign: tuple[int, ...] = (), registry: DataFrame | None = None) -> DataFrame:
     """The fourteen broker features of a code's day but for the price divergence: a row for each day with flows.
 
-    `flows` is (code, broker, date, buy, sell). Buyers and sellers are ranked by their net; shares are net over turnover.
+    `flows` is (code, broker, date, buy, sell), `registry` (broker, tier): winners are the brokers of a tier. Buyers and sellers are ranked by their net; shares are net over turnover.
     What hangs on earlier days reads the days before this one that have flows.
     """
     net = F.col("buy") - F.col("sell")
     day = Window.partitionBy("code", "date")
-    rows = flows.withColumns({"net": net, "turnover": F.sum(F.col("buy") + F.col("sell")).over(day)}).withColumn("pct", F.try_divide(F.abs("net"), "turnover"))
+    tiers = registry.select("broker", "tier").filter("tier IS NOT NULL") if registry is not None else None
+    rows = flows.join(tiers, "broker", "left") if tiers is not None else flows.withColumn("tier", F.lit(None).cast("int"))
+    rows = rows.withColumns({"net": net, "turnover": F.sum(F.col("buy") + F.col("sell")).over(day)}).withColumn("pct", F.try_divide(F.abs("net"), "turnover"))
     rows = rows.withColumns({"up": F.row_number().over(day.orderBy(F.desc("net"), "broker")), "down": F.row_number().over(day.orderBy("net", "broker")), "spread_of": F.count(F.when(F.col("net") > 0, 1)).over(Window.partitionBy("date", "broker"))})
     buyer, seller = F.col("net") > 0, F.col("net") < 0
     total = lambda c, x: F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0.0))
@@ -127,14 +129,14 @@ def broker_day(flows: DataFrame, foreign: tuple[int, ...] = (), winners: tuple[i
     top3 = buyer & (F.col("up") <= 3)
     out = rows.groupBy("code", "date").agg(
         F.sum(F.when(F.col("pct") > 0, F.col("pct") * F.col("pct"))).alias("hhi"), F.sum(F.when(top3, F.col("pct"))).alias("top3_pct"), total(buyer & (F.col("up") <= 5), "net").alias("b5"), total(seller & (F.col("down") <= 5), "net").alias("s5"),
-        F.count(F.when(buyer, 1)).alias("buyers"), F.count(F.when(seller, 1)).alias("sellers"), F.count(F.when(top3 & some(winners), 1)).alias("won"), F.count(F.when(top3 & some(tier1), 1)).alias("first_rank"),
+        F.count(F.when(buyer, 1)).alias("buyers"), F.count(F.when(seller, 1)).alias("sellers"), F.count(F.when(top3 & F.col("tier").isNotNull(), 1)).alias("won"), F.count(F.when(top3 & (F.col("tier") == 1), 1)).alias("first_rank"),
         F.try_divide(total(buyer & some(foreign), "buy"), total(buyer, "buy")).alias("foreign_pct"), F.avg(F.when(buyer & (F.col("up") <= 5), F.col("spread_of"))).alias("overlap"), F.first("turnover").alias("turnover"),
     )
     weight = F.abs("b5") + F.abs("s5")
     out = numbered(out.withColumn("net_buy_ratio", F.when(weight > 0, F.col("b5") / weight).otherwise(0.5)))
     w5, w20 = last_rows(5), last_rows(20)
     strong = F.coalesce("top3_pct", F.lit(0.0)) >= 0.4
-    purity = F.col("top3_pct") * 100 * (F.try_divide(F.col("won"), F.least(F.lit(3), "buyers")) if winners else F.lit(0.5))
+    purity = F.col("top3_pct") * 100 * (F.try_divide(F.col("won"), F.least(F.lit(3), "buyers")) if registry is not None else F.lit(0.5))
     out = out.withColumns({"_up": F.col("net_buy_ratio") > 0.5, "_down": F.col("net_buy_ratio") < 0.5})
     return out.select(
         "code", "date", "hhi", "top3_pct", (F.col("hhi") - lag("hhi")).alias("hhi_delta"), "net_buy_ratio",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.windows import history
 from quantloom.operators import features, indicators, relative
 from quantloom.plans.queries import _MOVING, _RET, _SCAN, _W, _full, query
+from quantloom.plans.winners import _WINNERS, winners
 from quantloom.sources import market
 
 
@@ -176,11 +177,12 @@ def institutional_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return institutional_family(market.bars(spark, sf_dir), spark, sf_dir)
 
 
-_BROKERS = f"""f0 AS (SELECT *, buy - sell AS net, sum(buy + sell) OVER (PARTITION BY code, date) AS turnover, sum(CASE WHEN buy > sell THEN 1 ELSE 0 END) OVER (PARTITION BY date, broker) AS spread_of FROM flows),
+_BROKERS = f"""{_WINNERS},
+f0 AS (SELECT flows.*, tier, buy - sell AS net, sum(buy + sell) OVER (PARTITION BY code, date) AS turnover, sum(CASE WHEN buy > sell THEN 1 ELSE 0 END) OVER (PARTITION BY date, flows.broker) AS spread_of FROM flows LEFT JOIN winners ON winners.broker = flows.broker),
 f1 AS (SELECT *, abs(net) / nullif(turnover, 0) AS pct, row_number() OVER (PARTITION BY code, date ORDER BY net DESC, broker) AS up, row_number() OVER (PARTITION BY code, date ORDER BY net, broker) AS down FROM f0),
 f2 AS (
   SELECT code, date, sum(CASE WHEN pct > 0 THEN pct * pct END) AS hhi, sum(CASE WHEN net > 0 AND up <= 3 THEN pct END) AS top3_pct, coalesce(sum(CASE WHEN net > 0 AND up <= 5 THEN net END), 0) AS b5, coalesce(sum(CASE WHEN net < 0 AND down <= 5 THEN net END), 0) AS s5,
-         count(CASE WHEN net > 0 THEN 1 END) AS buyers, count(CASE WHEN net < 0 THEN 1 END) AS sellers, count(CASE WHEN net > 0 AND up <= 3 AND broker IN (1, 2, 3, 5, 7) THEN 1 END) AS won, count(CASE WHEN net > 0 AND up <= 3 AND broker IN (1, 2) THEN 1 END) AS first_rank,
+         count(CASE WHEN net > 0 THEN 1 END) AS buyers, count(CASE WHEN net < 0 THEN 1 END) AS sellers, count(CASE WHEN net > 0 AND up <= 3 AND tier IS NOT NULL THEN 1 END) AS won, count(CASE WHEN net > 0 AND up <= 3 AND tier = 1 THEN 1 END) AS first_rank,
          coalesce(coalesce(sum(CASE WHEN net > 0 AND broker < 5 THEN buy END), 0) / nullif(sum(CASE WHEN net > 0 THEN buy END), 0), 0) AS foreign_pct, avg(CASE WHEN net > 0 AND up <= 5 THEN spread_of END) AS overlap, any_value(turnover) AS turnover FROM f1 GROUP BY ALL),
 f3 AS (SELECT *, CASE WHEN abs(b5) + abs(s5) > 0 THEN b5 / (abs(b5) + abs(s5)) ELSE 0.5 END AS net_buy_ratio, row_number() {_W} AS i FROM f2),
 brokers AS (
@@ -191,7 +193,7 @@ brokers AS (
 
 
 def _brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.broker_day(market.broker_flows(spark, sf_dir), foreign=(0, 1, 2, 3, 4), winners=(1, 2, 3, 5, 7), tier1=(1, 2))
+    return features.broker_day(market.broker_flows(spark, sf_dir), foreign=(0, 1, 2, 3, 4), registry=winners(spark, sf_dir))
 
 
 @query(
