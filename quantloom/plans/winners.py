@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.operators import registry, relative
+from quantloom.operators import dna, registry, relative
 from quantloom.plans.queries import _W, query
 from quantloom.sources import market
 from quantloom.sources.snapshots import snapshot
@@ -52,3 +53,23 @@ winners AS (SELECT *, top_share > 0.5 AS ghost_bias, CASE WHEN top_share > 0.5 T
 )
 def winner_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winners(spark, sf_dir)
+
+
+def dna_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples, today's codes and bars: days that gained or lost a fifth in 30 bars, none of a code within 30 days of one that counts; clusters are the dimensions that stand out most."""
+    from quantloom.operators import dual, matrix
+    from quantloom.operators.similarity import spaced
+    from quantloom.plans.matrix import whole_matrix
+
+    frame, rows = market.bars(spark, sf_dir), whole_matrix(spark, sf_dir)
+    score = F.array(*(F.struct(F.abs(matrix.dimension_score(d)).alias("size"), F.lit(d).alias("dimension")) for d in matrix.DIMENSIONS))
+    vectors = rows.select("code", "date", dual._vector(None).alias("vector"), F.array_max(score)["dimension"].alias("cluster"))
+    ahead = relative.forward_returns(frame, (30,)).select("code", "date", "d30").filter("abs(d30) >= 0.2")
+    samples = spaced(vectors.join(ahead, ["code", "date"]), 30).withColumn("label", F.when(F.col("d30") > 0, "winner").otherwise("loser"))
+    return samples, matrix.latest(vectors), frame
+
+
+@query("dna_match", digits=9)
+def dna_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of these tables are less alike than a market's: a mean likeness of 0.4 is a match. Time warping is beyond SQL; tests hold it against a plain version."""
+    return dna.match(*dna_inputs(spark, sf_dir), threshold=0.4)
