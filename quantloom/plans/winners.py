@@ -73,3 +73,22 @@ def dna_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 def dna_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of these tables are less alike than a market's: a mean likeness of 0.4 is a match. Time warping is beyond SQL; tests hold it against a plain version."""
     return dna.match(*dna_inputs(spark, sf_dir), threshold=0.4)
+
+
+@query("accumulation_phases", digits=9)
+def accumulation_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the strength ratings and the accumulation scores of the last day. Folds over swings are beyond SQL; tests hold them against a plain version."""
+    from quantloom.operators import bottoms, features, indicators, matrix
+    from quantloom.plans.features import _SCORED, _brokers
+
+    frame = market.bars(spark, sf_dir)
+    scores = matrix.latest(features.accumulation_score(indicators.normalised(_brokers(spark, sf_dir), list(_SCORED), prefix="")))
+    return bottoms.accumulation(frame, relative.strength_scan(frame), scores, least_volume=20.0)
+
+
+@query("reversal_signals", digits=9)
+def reversal_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested like accumulation_phases."""
+    from quantloom.operators import bottoms
+
+    return bottoms.reversals(market.bars(spark, sf_dir))
