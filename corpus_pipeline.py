@@ -27,15 +27,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates stay at their first place only; n_chars follows the text.
+    """Lines of recurring templates stay at their first place only; n_chars follows the text. Nothing is exempt.
 
-    Documents half of whose text has its first place in one other document keep all of it, since the next stage judges
-    copies whole: of near copies with changes in many lines, little more than half stands in unchanged ones. For the same
-    reason long lines recur from five documents on, like others. A
-    document left without a word goes: all of its lines have another place. Null texts stay. Rows of equal id and text are
-    one document and stay or change alike; null ids come after all others.
+    So copies lose what stands in another document first, and near copies keep the lines that are their own. A document left
+    without a word goes: all of its lines have another place. Null texts stay. Rows of equal id and text are one document
+    and stay or change alike; null ids come after all others.
     """
-    out = drop_recurring_lines(docs, long_docs=5, keep_copies=True, copy_share=0.5).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = drop_recurring_lines(docs).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
@@ -44,8 +42,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the least id.
 
-    Groups are linked at a similarity of 0.8 of five-word shingles, so copies that share less stay. Null and empty texts,
-    and rows of a null id, stay; rows that repeat a kept id stay with it.
+    Groups are linked at a similarity of 0.8 of five-word shingles of what the stage before has left, so copies that share less
+    stay. An id is one document: its rows stay or go together, and go if any of them links to a smaller id. Null and empty
+    texts, and rows of a null id, stay.
     """
     return keep_one(docs)
 
