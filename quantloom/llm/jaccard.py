@@ -255,7 +255,8 @@ def near_duplicates(
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` whose doc_id is the least of its component: one document of each group, and all that have no link.
 
-    Rows that repeat a kept id are that document and stay with it; rows of a null id stay, as do null and empty texts.
+    An id is one document: its rows stay or go together, whatever their texts, and go if any of them links to a smaller id.
+    Rows of a null id stay, as do null and empty texts.
     """
     found = near_duplicates(docs, width, percent)
     linked = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()

@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
     docs, kept = after("quality", docs)
     assert all(not brute.quality(t)[5] for _, t in kept) and {i for i, t in rows if brute.quality(t)[5]}.isdisjoint(i for i, _ in kept)
     before, (docs, less) = kept, after("line_dedup", docs)
-    want = {i: x[4] for (i, _), x in brute.lines(before, long_docs=5, keep_copies=True, copy_share=0.5).items() if not (x[2] and x[4] == brute.sha(""))}
+    want = {i: x[4] for (i, _), x in brute.lines(before).items() if not (x[2] and x[4] == brute.sha(""))}
     assert {i: brute.sha(t) for i, t in less} == want
     assert all(r.n_chars == len(r.text) for r in docs.collect())
     docs, one = after("near_duplicates", docs)
