@@ -125,4 +125,31 @@ def normalised(bars: DataFrame, columns: list[str], window: int = 252, least: in
     return rows.withColumns({f"{prefix}{x}": z(x) for x in columns}).drop("_i", "_b", *(f"_{k}_{x}" for x in columns for k in "vps"))
 
 
-__all__ = ["moving", "squeeze", "volume_patterns", "recursive", "normalised", "full"]
+def rolling_rank(rows: DataFrame, column: str, window: int = 252, least: int = 60, name: str = "rank_pct") -> DataFrame:
+    """`rows` (a row a code and date) with the rank of a column among its values of the last `window` rows, as a share, ties at their average.
+
+    Null where the value is missing or fewer than `least` are known. No window is collected: rows are cut into blocks of the
+    window's length, and each meets the rows of its own block and of the one before by equality; what it meets is counted
+    at once, so a row costs at most two blocks of comparisons.
+    """
+    own = rows.select("code", "date", F.col(column).cast("double").alias("_x"), (F.row_number().over(history()) - 1).alias("_i")).withColumn("_b", F.floor(F.col("_i") / window))
+    known = own.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    seen = known.select("code", F.explode(F.array("_b", F.col("_b") + 1)).alias("_b"), F.col("_x").alias("_y"), F.col("_i").alias("_j"))
+    inside = (F.col("_j") <= F.col("_i")) & (F.col("_j") > F.col("_i") - window)
+    counted = known.join(seen, ["code", "_b"]).filter(inside).groupBy("code", "date").agg(
+        F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("_y") < F.col("_x"), 1)).alias("_less"), F.count(F.when(F.col("_y") == F.col("_x"), 1)).alias("_same")
+    )
+    rank = F.when(F.col("_n") >= least, (F.col("_less") + (F.col("_same") + 1) / 2) / F.col("_n"))
+    return rows.join(counted.select("code", "date", rank.alias(name)), ["code", "date"], "left")
+
+
+def volatility_guard(bars: DataFrame, above: float = 0.9) -> DataFrame:
+    """`bars` with rank_pct, where the mean absolute return of 20 bars stands in the last 252, and guarded: it stands above `above` while the close is below its 20-bar average (of 10 at least)."""
+    rows = bars.withColumn("_move", F.abs(change("close"))).withColumn("_range", mean("_move", 20))
+    w = last_rows(20)
+    average = F.when(F.count("close").over(w) >= 10, F.avg("close").over(w))
+    ranked = rolling_rank(rows.withColumn("_average", average), "_range")
+    return ranked.withColumn("guarded", F.coalesce((F.col("rank_pct") > above) & (F.col("close") < F.col("_average")), F.lit(False))).drop("_move", "_range", "_average")
+
+
+__all__ = ["moving", "squeeze", "volume_patterns", "recursive", "normalised", "rolling_rank", "volatility_guard", "full"]
