@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.operators import attention, dual, features, fundamental, guard, matrix, relative
+from quantloom.operators import analytics, attention, dual, features, fundamental, funnel, guard, matrix, relative
 from quantloom.operators.joins import as_of
 from quantloom.plans.features import _BROKERS, _NETS, _TECH, _brokers, _rank, institutional_family
-from quantloom.plans.queries import _GROWTH, _W, query
+from quantloom.plans.queries import _GROWTH, _SCAN, _W, _full, query
 from quantloom.sources import market
 from quantloom.sources.snapshots import snapshot
 
@@ -171,3 +171,43 @@ dv AS (SELECT *, CASE WHEN augmented_cases >= 30 THEN CASE WHEN polarity = 'oppo
 def dual_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = market.bars(spark, sf_dir)
     return dual.search(whole_matrix(spark, sf_dir), _regimes(frame), relative.forward_returns(frame, (21,)))
+
+
+_FUNNEL = (
+    _DUAL.replace("<= 90)", "<= 60)").replace("QUALIFY place <= 30", "QUALIFY place <= 20")
+    + f""", {_SCAN.strip()},
+fs AS (SELECT code, rating FROM scan WHERE rating >= 80 ORDER BY rating DESC, code LIMIT 50),
+fi AS (SELECT industry FROM scan JOIN sectors USING (code) GROUP BY industry ORDER BY quantile_cont(rs_ratio, 0.5) DESC, industry LIMIT 3),
+f21 AS (SELECT code, date, lead(close, 21) {_W} / nullif(close, 0) - 1 AS d21 FROM bars),
+fu AS (SELECT industry, CASE WHEN count(d21) >= 3 THEN avg((d21 BETWEEN -0.5 AND 2)::INTEGER) END AS rate FROM f21 JOIN sectors USING (code) GROUP BY industry),
+fg AS (SELECT query, count(*) AS cases, count(d21) AS n, avg(d21 - 0.005855::DOUBLE) AS mean, stddev_pop(d21 - 0.005855::DOUBLE) AS sd, count(*) FILTER (d21 > 0) AS up FROM cf LEFT JOIN f21 USING (code, date) WHERE search = 'raw' GROUP BY query),
+fc AS (SELECT query, round_even(least(cases / 30.0, 1) * 30 + coalesce(greatest(least((3 - CASE WHEN abs(round(mean, 4)) > 0.001 THEN round(sd, 4) / abs(round(mean, 4)) ELSE 10 END) / 2.5, 1), 0) * 40, 0) + coalesce(greatest(up, n - up) / nullif(n, 0) * 30, 0), 0)::INTEGER AS score FROM fg),
+fe AS (SELECT code, CASE WHEN coalesce(tr / nullif({_full("avg(tr)", "tr", 20)}, 0) > 2.5, false) THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN coalesce(volume / nullif(vol_5, 0) < 1.5, false) THEN 0.9::DOUBLE ELSE 1 END AS factor FROM mv QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1),
+fm0 AS (SELECT close, avg(close) OVER (ORDER BY date ROWS 19 PRECEDING) AS mean, count(*) OVER () AS n FROM idx QUALIFY row_number() OVER (ORDER BY date DESC) = 1),
+fj AS (SELECT fs.code, rating, tier, similarity, industry, coalesce(fc.score, 0) AS start, factor, CASE WHEN rate > 0.7 THEN 3 WHEN rate < 0.4 THEN -5 ELSE 0 END AS earned, industry IN (FROM fi) AS leads FROM fs JOIN dv ON dv.query = fs.code JOIN sectors ON sectors.code = fs.code LEFT JOIN fc ON fc.query = fs.code LEFT JOIN fe ON fe.code = fs.code LEFT JOIN fu USING (industry)),
+fk AS (SELECT *, CASE WHEN factor < 1 THEN greatest(floor(round(start * factor, 9)), 0) ELSE start END AS a FROM fj),
+fl AS (SELECT *, greatest(0, least(100, greatest(0, least(100, CASE WHEN leads THEN least(100, a + 5) ELSE a END + earned)) + (SELECT CASE WHEN n >= 25 AND close < mean THEN -10 ELSE 0 END FROM fm0))) AS score, CASE tier WHEN 'sniper' THEN 3 WHEN 'tactical' THEN 2 ELSE 1 END AS t FROM fk),
+fo AS (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY industry ORDER BY t DESC, score DESC, rating DESC, code) <= 2)"""
+)
+
+
+@query(
+    "daily_signals",
+    f"""{_FUNNEL} SELECT row_number() OVER (ORDER BY t DESC, score DESC, rating DESC, code)::INTEGER AS place, code, industry, round(rating, 9) AS rating, tier, round(similarity, 9) AS similarity, start, score::INTEGER AS score,
+    CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS grade FROM fo ORDER BY place LIMIT 5""",
+    digits=9,
+)
+def daily_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel over all codes on their last day, with 20 cases a candidate."""
+    frame, sectors = market.bars(spark, sf_dir), market.sectors(spark, sf_dir)
+    scan = relative.strength_scan(frame)
+    strong = funnel.candidates(scan)
+    rows = dual.situations(whole_matrix(spark, sf_dir), _regimes(frame))
+    queries = matrix.latest(rows).join(strong.select("code"), "code", "left_semi")
+    ahead = relative.forward_returns(frame, (21,))
+    found = dual.cases(rows, queries, 20)
+    by_industry = sectors.select("code", F.col("industry").alias("sector"))
+    industries = relative.sector_strength(scan, by_industry).withColumnRenamed("sector", "industry")
+    confidence = analytics.confidence_score(found.filter("search = 'raw'").join(ahead.select(F.col("code").cast("long").alias("code"), "date", "d21"), ["code", "date"], "left"), "query")
+    success = analytics.group_success(ahead.join(sectors, "code").withColumn("inside", F.col("d21").between(-0.5, 2.0)), "industry")
+    return funnel.signals(strong, dual.verdicts(found, rows, queries, ahead), confidence, matrix.latest(guard.energy_penalty(frame)), sectors, funnel.leading(industries), success, funnel.market_adjustment(market.index_bars(frame)))
