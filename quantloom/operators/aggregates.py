@@ -44,7 +44,7 @@ def holding_brackets(trades: DataFrame, edges: tuple[int, ...] = (0, 30, 60, 90)
 
 def exit_barometer(trades: DataFrame, sectors: DataFrame) -> DataFrame:
     """Trades and mean return by sector and tag, by sector, and overall, in one pass; null stands for all."""
-    return _with_result(trades).join(F.broadcast(sectors), "code").rollup("sector", "tag").agg(F.count(F.lit(1)).alias("trades"), F.avg("ret").alias("mean_ret"))
+    return _with_result(trades).join(sectors, "code").rollup("sector", "tag").agg(F.count(F.lit(1)).alias("trades"), F.avg("ret").alias("mean_ret"))
 
 
 def horizon_stats(forward: DataFrame, horizons: list[str], cost: float = 0.004) -> DataFrame:
@@ -84,7 +84,7 @@ def recency_weighted(forward: DataFrame, column: str, today, half_life_days: flo
 
 def broker_scores(flows: DataFrame, forward: DataFrame, sectors: DataFrame, horizon: str = "d21", least: int = 15) -> DataFrame:
     """Brokers' net-buy days judged by what followed: win rate times payoff, concentration over sectors and bias to one."""
-    bought = flows.filter("buy > sell").join(forward.select("code", "date", F.col(horizon).alias("ret")), ["code", "date"]).filter("ret is not null").join(F.broadcast(sectors), "code")
+    bought = flows.filter("buy > sell").join(forward.select("code", "date", F.col(horizon).alias("ret")), ["code", "date"]).filter("ret is not null").join(sectors, "code")
     per = bought.groupBy("broker", "sector").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("ret") > 0, 1).otherwise(0)).alias("wins"), F.sum(F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0)).alias("gain"), F.sum(F.when(F.col("ret") <= 0, F.col("ret")).otherwise(0.0)).alias("loss")
     )

@@ -90,7 +90,7 @@ def cluster_risk(sectors: DataFrame, heat: str = "heat", share: str = "diamond_s
 
 def sector_concentration(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     """Share of a sector's codes among all codes of the day: a row a day and sector."""
-    n = bars.join(F.broadcast(sectors), "code").groupBy("date", "sector").agg(F.count(F.lit(1)).alias("n"))
+    n = bars.join(sectors, "code").groupBy("date", "sector").agg(F.count(F.lit(1)).alias("n"))
     return n.select("date", "sector", (F.col("n") / F.sum("n").over(Window.partitionBy("date"))).alias("sector_concentration"))
 
 

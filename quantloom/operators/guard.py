@@ -190,7 +190,7 @@ def round_levels(price: Column) -> Column:
 def full_snapshot(bars: DataFrame, sectors: DataFrame, scan: DataFrame, growth: DataFrame) -> DataFrame:
     """The latest bar of each code with all indicators, trend, its sector, strength rating and its industry's growth: what a screener reads."""
     rows = recursive(moving(bars).withColumn("change_pct", change("close"))).withColumn("_back", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).filter("_back = 1").drop("_back")
-    rows = rows.join(F.broadcast(sectors), "code", "left").join(scan.select("code", "rs_ratio", "rating"), "code", "left").join(F.broadcast(growth), "industry", "left")
+    rows = rows.join(sectors, "code", "left").join(scan.select("code", "rs_ratio", "rating"), "code", "left").join(F.broadcast(growth), "industry", "left")
     trend = F.when(F.col("sma_20") > F.col("sma_60"), "up").when(F.col("sma_20") < F.col("sma_60"), "down").otherwise("flat")
     return rows.withColumn("trend", trend)
 

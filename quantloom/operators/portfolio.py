@@ -81,7 +81,7 @@ def heat(positions: DataFrame, correlations: DataFrame) -> DataFrame:
 
 def sector_days(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     """(sector, date, ret): daily returns of each sector, weighted by the volume of the day before."""
-    own = bars.withColumns({"ret": change("close"), "weight": lag("volume")}).filter("ret is not null").join(F.broadcast(sectors), "code")
+    own = bars.withColumns({"ret": change("close"), "weight": lag("volume")}).filter("ret is not null").join(sectors, "code")
     return own.groupBy("sector", "date").agg(F.try_divide(F.sum(F.col("ret") * F.col("weight")), F.sum("weight")).alias("ret"))
 
 

@@ -54,7 +54,7 @@ def breadth(bars: DataFrame) -> DataFrame:
 
 def industry_features(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     """Per code and day: 20-bar return, its sector's median, the excess over it (at most 5 either way), the sector's rank by rows."""
-    named = bars.withColumn("ret_20", change("close", 20)).join(F.broadcast(sectors), "code")
+    named = bars.withColumn("ret_20", change("close", 20)).join(sectors, "code")
     w = Window.partitionBy("date", "sector")
     out = named.withColumn("sector_momentum", F.percentile("ret_20", F.lit(0.5)).over(w))
     out = out.withColumn("sector_rs", rank_pct("sector_momentum"))

@@ -75,7 +75,7 @@ _FW = """fw AS (SELECT code, date, sector, lead(close, 1) OVER w / close - 1 AS
 
 
 def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relative.forward_returns(market.bars(spark, sf_dir), (1, 3, 5, 10, 20, 21)).join(F.broadcast(market.sectors(spark, sf_dir)), "code")
+    return relative.forward_returns(market.bars(spark, sf_dir), (1, 3, 5, 10, 20, 21)).join(market.sectors(spark, sf_dir), "code")
 
 
 @query(
@@ -142,7 +142,7 @@ SELECT sector, n, round(m, 4) AS median_bps, round(p, 4) AS p95_bps, round(a, 4)
 )
 def slippage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What buying at the next open costs against the close before it."""
-    rows = market.bars(spark, sf_dir).select("code", F.col("open").alias("paid"), lag("close").alias("planned")).join(F.broadcast(market.sectors(spark, sf_dir)), "code")
+    rows = market.bars(spark, sf_dir).select("code", F.col("open").alias("paid"), lag("close").alias("planned")).join(market.sectors(spark, sf_dir), "code")
     return analytics.slippage(rows, "sector")
 
 
@@ -287,7 +287,7 @@ SELECT code, round(CASE WHEN share >= 0.2 THEN greatest(least(0.2 / share, 1), 0
 )
 def sector_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sectors = market.sectors(spark, sf_dir)
-    held = market.trades(spark, sf_dir).join(F.broadcast(sectors), "code").select("sector", F.col("cost").alias("value"))
+    held = market.trades(spark, sf_dir).join(sectors, "code").select("sector", F.col("cost").alias("value"))
     return analytics.sector_multiplier(sectors.select("code", "sector"), held, 0.2).select("code", "multiplier")
 
 

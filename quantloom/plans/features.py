@@ -119,7 +119,7 @@ _HEAT = """h AS (SELECT sector, sum(CASE WHEN rating >= 90 THEN 1 ELSE 0 END) /
 
 @query("cluster_risk", f"{_SCAN}, {_HEAT} SELECT sector, round(heat, 6) AS heat, CASE WHEN diamond_share >= 0.5 AND heat >= 0.75 THEN 'danger' WHEN diamond_share >= 0.3 AND heat >= 0.6 THEN 'caution' ELSE 'normal' END AS risk FROM h")
 def cluster_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scan = relative.strength_scan(market.bars(spark, sf_dir)).join(F.broadcast(market.sectors(spark, sf_dir)), "code")
+    scan = relative.strength_scan(market.bars(spark, sf_dir)).join(market.sectors(spark, sf_dir), "code")
     heat = scan.groupBy("sector").agg(F.avg(F.when(F.col("rating") >= 90, 1.0).otherwise(0.0)).alias("diamond_share"), F.avg(F.when(F.col("rating") >= 50, 1.0).otherwise(0.0)).alias("heat"))
     return features.cluster_risk(heat).select("sector", "heat", "risk")
 

@@ -130,7 +130,7 @@ def sector_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = signals.trend_signals(market.bars(spark, sf_dir), min_days=2, min_adx=5.0, min_volume=10.0, keep=("sma_60", "vol_ratio", "uptrend_days")).filter("sma_60 IS NOT NULL")
     w = Window.partitionBy("code").orderBy(F.desc(F.col("signal") == "BUY"), F.desc("date"))
-    rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").join(F.broadcast(market.sectors(spark, sf_dir)), "code")
+    rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").join(market.sectors(spark, sf_dir), "code")
     maturity = F.when(F.col("uptrend_days") > 15, "Structural Shift").when(F.col("uptrend_days") > 7, "Trend Formation").otherwise("Speculative Spike")
     return guard.sector_heat(rows.withColumns({"maturity": maturity, "inst_score": F.col("code") % 11 - 5}))
 
@@ -221,7 +221,7 @@ def indicator_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chain_positions",
-    "SELECT sector AS chain, code, (row_number() OVER (PARTITION BY sector ORDER BY code) - 1) / greatest(count(*) OVER (PARTITION BY sector) - 1, 1) AS position FROM sectors",
+    "p AS (SELECT sector AS chain, code, (row_number() OVER (PARTITION BY sector ORDER BY code) - 1) / greatest(count(*) OVER (PARTITION BY sector) - 1, 1) AS place FROM sectors) SELECT chain, code, round(place, 6) AS position FROM p",
 )
 def chain_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     chains = market.sectors(spark, sf_dir).groupBy(F.col("sector").alias("chain")).agg(F.sort_array(F.collect_list("code")).alias("codes"))
@@ -298,6 +298,6 @@ SELECT code, date, round(last_value(revenue IGNORE NULLS) OVER (PARTITION BY cod
 )
 def as_of_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements that become known on a day without a bar of the code are lost, unlike in point_in_time."""
-    rows = market.bars(spark, sf_dir).select("code", "date").join(F.broadcast(market.sectors(spark, sf_dir).select("code", "industry")), "code")
+    rows = market.bars(spark, sf_dir).select("code", "date").join(market.sectors(spark, sf_dir).select("code", "industry"), "code")
     known = market.fundamentals(spark, sf_dir).select("industry", F.col("available_date").alias("date"), "revenue")
     return tables.carried(rows, known, ["industry", "date"], ["revenue"]).select("code", "date", "revenue")

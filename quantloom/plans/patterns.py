@@ -53,7 +53,7 @@ def market_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = _cases(spark, sf_dir)
     last = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))
     active = screener.active(market.bars(spark, sf_dir), 30, 0.2).select("code")
-    today = cases.withColumn("_back", last).filter("_back = 1").join(active, "code").join(F.broadcast(market.sectors(spark, sf_dir)), "code").select("code", "industry", "vector")
+    today = cases.withColumn("_back", last).filter("_back = 1").join(active, "code").join(market.sectors(spark, sf_dir), "code").select("code", "industry", "vector")
     # A scan reads both several times: twenty templates and one situation a code at most.
     return templates.scan(templates.golden(cases).persist(), today.persist(), _WEIGHTS)
 

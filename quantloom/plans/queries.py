@@ -305,8 +305,11 @@ SELECT b.code, b.date, b.industry, f.quarter_end, f.available_date, round(f.reve
     dates=("date", "quarter_end", "available_date"),
 )
 def point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = market.bars(spark, sf_dir).select("code", "date").join(F.broadcast(market.sectors(spark, sf_dir).select("code", "industry")), "code")
-    return joins.as_of(rows, market.fundamentals(spark, sf_dir), "industry", "date", "available_date").select("code", "date", "industry", "quarter_end", "available_date", "revenue")
+    """An industry's statements are dealt to its codes first, so that no industry's whole list of bars is one sorted task."""
+    named = market.sectors(spark, sf_dir).select("code", "industry")
+    known = market.fundamentals(spark, sf_dir).join(named, "industry").select("code", "quarter_end", "available_date", "revenue")
+    rows = market.bars(spark, sf_dir).select("code", "date").join(named, "code")
+    return joins.as_of(rows, known, "code", "date", "available_date").select("code", "date", "industry", "quarter_end", "available_date", "revenue")
 
 
 @query(
@@ -534,7 +537,7 @@ def brinson_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     all_ = Window.partitionBy(F.lit(1))
     urgent = lambda c: F.sum(F.when(F.col("tag") == "1-URGENT", F.col(c)).otherwise(0.0))
-    per = market.trades(spark, sf_dir).join(F.broadcast(market.sectors(spark, sf_dir)), "code").groupBy("sector").agg(
+    per = market.trades(spark, sf_dir).join(market.sectors(spark, sf_dir), "code").groupBy("sector").agg(
         F.sum("cost").alias("v"), (F.sum("proceeds") / F.sum("cost") - 1).alias("rb"), urgent("cost").alias("pv"), (F.try_divide(urgent("proceeds"), urgent("cost")) - 1).alias("rp")
     )
     return risk.brinson(per.select("sector", (F.col("pv") / F.sum("pv").over(all_)).alias("wp"), "rp", (F.col("v") / F.sum("v").over(all_)).alias("wb"), "rb"))
@@ -542,7 +545,7 @@ def brinson_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("concentration", "v AS (SELECT code, sector, sum(cost) AS value FROM trades JOIN sectors USING (code) GROUP BY ALL) SELECT code, sector, round(value / sum(value) OVER (), 6) AS share, round(sum(value) OVER (PARTITION BY sector) / sum(value) OVER (), 6) AS sector_share, value / sum(value) OVER () > 0.02 AS issue_breach, sum(value) OVER (PARTITION BY sector) / sum(value) OVER () > 0.25 AS sector_breach FROM v")
 def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = market.trades(spark, sf_dir).join(F.broadcast(market.sectors(spark, sf_dir)), "code").groupBy("code", "sector").agg(F.sum("cost").alias("value"))
+    held = market.trades(spark, sf_dir).join(market.sectors(spark, sf_dir), "code").groupBy("code", "sector").agg(F.sum("cost").alias("value"))
     return risk.concentration(held, 0.02, 0.25).select("code", "sector", "share", "sector_share", "issue_breach", "sector_breach")
 
 
@@ -583,7 +586,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     newest = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))
-    return indicators.moving(market.bars(spark, sf_dir)).withColumn("_n", newest).filter("_n = 1").drop("_n").join(F.broadcast(market.sectors(spark, sf_dir)), "code")
+    return indicators.moving(market.bars(spark, sf_dir)).withColumn("_n", newest).filter("_n = 1").drop("_n").join(market.sectors(spark, sf_dir), "code")
 
 
 @query(
