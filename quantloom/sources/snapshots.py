@@ -20,13 +20,18 @@ def folder(spark: SparkSession) -> str:
     return (top or "file://" + tempfile.mkdtemp(prefix="quantloom-")).rstrip("/")
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def snapshot(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What `build` gives for the tables at `source`, written as Parquet when a session first asks for it and read from there on.
 
-    Tables at `source` must not change meanwhile; forget() makes the next reader build anew.
+    Tables at `source` must not change meanwhile; forget() makes the next reader build anew, and so does a cleared folder.
     """
     key = (spark.sparkContext.applicationId, name, source)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not _there(spark, _WRITTEN[key]):
         path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
         _WRITTEN[key] = path
