@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import numbered, run_length
 from quantloom.operators import indicators, matching
-from quantloom.plans.queries import _RET, _W, _full, query
+from quantloom.plans.queries import _MOVING, _RET, _W, _full, query
 from quantloom.sources import market
+from quantloom.streaming import heat
 
 
 def line_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,3 +57,44 @@ SELECT code, date, round(rank_pct, 9) AS rank_pct, coalesce(rank_pct > 0.9 AND c
 )
 def volatility_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.volatility_guard(market.bars(spark, sf_dir)).select("code", "date", "rank_pct", "guarded")
+
+
+def heat_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan a month: each code's last bar is a BUY above its average of 20 bars; weights follow from how long it has been there."""
+    rows = numbered(indicators.moving(market.bars(spark, sf_dir))).withColumn("_up", F.col("close") > F.col("sma_20"))
+    rows = rows.withColumn("run", run_length("_up")).withColumn("ts", F.trunc("date", "MM").cast("timestamp"))
+    last = F.row_number().over(Window.partitionBy("code", "ts").orderBy(F.desc("date")))
+    rows = rows.filter("sma_20 IS NOT NULL").withColumn("_n", last).filter("_n = 1").join(market.sectors(spark, sf_dir), "code")
+    maturity = F.when(F.col("run") > 15, "Structural Shift").when(F.col("run") > 7, "Trend Formation").when(F.col("run") > 0, "Speculative Spike")
+    weight = F.when(F.col("run") > 15, 2.0).when(F.col("run") > 7, 1.5).when(F.col("run") > 0, 1.0).otherwise(0.0)
+    return rows.select("code", "sector", "ts", F.when(F.col("run") > 0, "BUY").otherwise("HOLD").alias("signal"), maturity.alias("maturity"), weight.alias("weight"), "vol_ratio")
+
+
+def sector_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heat_scans(spark, sf_dir).groupBy("sector", "ts").agg(F.avg("weight").alias("heat"), F.coalesce(F.avg(F.when((F.col("signal") == "BUY") & (F.col("vol_ratio") > 0), F.col("vol_ratio"))), F.lit(0.0)).alias("volume"))
+
+
+_HEATS = f"""{_MOVING}, hn AS (SELECT *, row_number() {_W} AS i FROM mv),
+hr AS (SELECT *, i - coalesce(max(CASE WHEN NOT coalesce(close > sma_20, false) THEN i END) {_W}, 0) AS run, date_trunc('month', date)::DATE AS ts FROM hn),
+hl AS (SELECT hr.*, sector, CASE WHEN run > 15 THEN 'Structural Shift' WHEN run > 7 THEN 'Trend Formation' WHEN run > 0 THEN 'Speculative Spike' END AS maturity, CASE WHEN run > 15 THEN 2.0::DOUBLE WHEN run > 7 THEN 1.5::DOUBLE WHEN run > 0 THEN 1 ELSE 0 END AS weight
+  FROM hr JOIN sectors USING (code) WHERE sma_20 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code, ts ORDER BY date DESC) = 1)"""
+
+
+@query(
+    "heat_changes",
+    f"""{_HEATS}, hs AS (SELECT sector, ts, avg(weight) AS heat, coalesce(avg(vol_ratio) FILTER (run > 0 AND vol_ratio > 0), 0) AS volume FROM hl GROUP BY sector, ts), hb AS (SELECT *, lag(heat) OVER (PARTITION BY sector ORDER BY ts) AS b FROM hs)
+SELECT sector, ts::VARCHAR AS month, round(heat, 9) AS heat, round(coalesce(heat - b, 0), 9) AS delta, round(CASE WHEN b IS NULL THEN 0 ELSE heat / greatest(b, 0.05::DOUBLE) END, 9) AS jump,
+       CASE WHEN b IS NULL THEN 'new' WHEN round(heat - b, 9) >= 0.1 AND round(heat / greatest(b, 0.05::DOUBLE), 9) >= 2 AND volume >= 1.2 THEN 'surge' WHEN round(heat - b, 9) >= 0.1 THEN 'heating' WHEN round(heat - b, 9) <= -0.1 THEN 'cooling' ELSE 'stable' END AS momentum FROM hb""",
+    digits=9,
+)
+def heat_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heat.heat_changes(sector_scans(spark, sf_dir)).withColumn("month", F.to_date("ts").cast("string")).drop("ts")
+
+
+@query(
+    "maturity_rises",
+    f"""{_HEATS}, hm AS (SELECT code, ts, run, coalesce(maturity, 'N/A') AS m, CASE WHEN run > 15 THEN 3 WHEN run > 7 THEN 2 WHEN run > 0 THEN 1 ELSE 0 END AS r FROM hl),
+hp AS (SELECT *, lag(m) OVER w AS b, lag(r) OVER w AS br FROM hm WINDOW w AS (PARTITION BY code ORDER BY ts)) SELECT code, ts::VARCHAR AS month, b AS "from", m AS "to" FROM hp WHERE run > 0 AND r > br""",
+)
+def maturity_rises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heat.maturity_rises(heat_scans(spark, sf_dir)).withColumn("month", F.to_date("ts").cast("string")).drop("ts")
