@@ -95,6 +95,23 @@ def _score_sql(dimension: str, weights: dict[str, float]) -> str:
     return "(" + " + ".join(f"{w}::DOUBLE * {c}" for c, w in of.items()) + f") / {sum(of.values())}::DOUBLE"
 
 
+def _mean_sql(dimension: str) -> str:
+    names = matrix.DIMENSIONS[dimension]
+    return f"({' + '.join(names)}) / {len(names)}::DOUBLE"
+
+
+@query(
+    "super_stocks",
+    f"""{_MATRIX}, su AS (SELECT code, date, {_mean_sql("brokerage")} AS b, {_mean_sql("technical")} AS t FROM fm WHERE date = (SELECT max(date) FROM fm)),
+sv AS (SELECT *, CASE WHEN stddev_samp(b - t) OVER () > 1e-8 THEN (b - t - avg(b - t) OVER ()) / stddev_samp(b - t) OVER () ELSE 0 END AS z FROM su)
+SELECT code, date, round(b, 9) AS score_brokerage, round(t, 9) AS score_technical, round(b - t, 9) AS delta, round(z, 9) AS z, abs(z) > 2 AS potential, CASE WHEN z > 2 THEN 'stealth' WHEN z < -2 THEN 'distribution' ELSE 'normal' END AS kind FROM sv""",
+    digits=9,
+    dates=("date",),
+)
+def super_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.super_stocks(whole_matrix(spark, sf_dir))
+
+
 def _mutations_sql(weights: dict[str, float]) -> str:
     return f"""ml AS (SELECT code, date, {_score_sql("brokerage", weights)} AS b, {_score_sql("technical", weights)} AS t, vol_ratio_20 FROM fm QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1),
 ms AS (SELECT *, b - t AS delta FROM ml WHERE vol_ratio_20 >= -2), mz AS (SELECT *, CASE WHEN (SELECT stddev_pop(delta) FROM ms) >= 1e-8 THEN (delta - (SELECT avg(delta) FROM ms)) / (SELECT stddev_pop(delta) FROM ms) END AS z FROM ms),
