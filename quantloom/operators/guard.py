@@ -168,7 +168,12 @@ def hot_sectors(mutations: DataFrame, top: int = 10) -> DataFrame:
 
 def assessment(bars: DataFrame) -> DataFrame:
     """Per code on its last day: order of the averages, direction and strength of the trend, and momentum by four votes."""
-    rows = recursive(moving(bars)).withColumns({"slope": F.try_divide("sma_20", F.lag("sma_20", 9).over(history())) - 1, "short": F.try_divide("close", F.lag("close", 4).over(history())) - 1, "_back": F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))})
+    return assessed(recursive(moving(bars)))
+
+
+def assessed(frame: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """assessment() of bars that have their indicators; `keep` names columns to return, too."""
+    rows = frame.withColumns({"slope": F.try_divide("sma_20", F.lag("sma_20", 9).over(history())) - 1, "short": F.try_divide("close", F.lag("close", 4).over(history())) - 1, "_back": F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))})
     rows = rows.filter("_back = 1")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     adx, slope, short = zero(F.col("adx")), zero(F.col("slope")), zero(F.col("short"))
@@ -178,7 +183,7 @@ def assessment(bars: DataFrame) -> DataFrame:
     vote = lambda a, b: F.when(zero(F.col(a)) > (zero(F.col(b)) if isinstance(b, str) else b), 1).otherwise(-1)
     votes = vote("plus_di", "minus_di") + vote("rsi", F.lit(50.0)) + vote("macd", "macd_signal") + vote("k", "d")
     momentum = F.when(votes >= 3, "strong_bull").when(votes >= 1, "bull").when(votes >= -1, "neutral").when(votes >= -3, "bear").otherwise("strong_bear")
-    return rows.select("code", "date", order.alias("averages"), trend.alias("trend"), F.when(adx > 30, "strong").when(adx > 18, "middle").otherwise("weak").alias("strength"), votes.alias("votes"), momentum.alias("momentum"))
+    return rows.select("code", "date", order.alias("averages"), trend.alias("trend"), F.when(adx > 30, "strong").when(adx > 18, "middle").otherwise("weak").alias("strength"), votes.alias("votes"), momentum.alias("momentum"), *keep)
 
 
 def round_levels(price: Column) -> Column:

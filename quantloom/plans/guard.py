@@ -135,18 +135,18 @@ def sector_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.sector_heat(rows.withColumns({"maturity": maturity, "inst_score": F.col("code") % 11 - 5}))
 
 
-@query(
-    "assessments",
-    f"""{_MOVING}, {_REC},
+#: assessments as judged, with all indicators.
+_JUDGED = f"""{_MOVING}, {_REC},
 a0 AS (SELECT *, sma_20 / nullif(lag(sma_20, 9) {_W}, 0) - 1 AS slope0, close / nullif(lag(close, 4) {_W}, 0) - 1 AS short0, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS back FROM mv JOIN rec USING (code, date)),
 a AS (SELECT *, coalesce(adx, 0) AS x, coalesce(slope0, 0) AS slope, coalesce(short0, 0) AS short FROM a0 WHERE back = 1),
 r AS (SELECT *, CASE WHEN slope > 0.01 AND x > 25 THEN 'strong_up' WHEN slope > 0.003 THEN 'up' WHEN slope < -0.01 AND x > 25 THEN 'strong_down' WHEN slope < -0.003 THEN 'down' ELSE 'flat' END AS raw,
-  (CASE WHEN coalesce(plus_di, 0) > coalesce(minus_di, 0) THEN 1 ELSE -1 END + CASE WHEN coalesce(rsi, 0) > 50 THEN 1 ELSE -1 END + CASE WHEN coalesce(macd, 0) > coalesce(macd_signal, 0) THEN 1 ELSE -1 END + CASE WHEN coalesce(k, 0) > coalesce(d, 0) THEN 1 ELSE -1 END)::INTEGER AS votes FROM a)
-SELECT code, date, CASE WHEN sma_5 > sma_20 AND sma_20 > sma_60 THEN 'bullish' WHEN sma_5 < sma_20 AND sma_20 < sma_60 THEN 'bearish' ELSE 'tangled' END AS averages,
+  (CASE WHEN coalesce(plus_di, 0) > coalesce(minus_di, 0) THEN 1 ELSE -1 END + CASE WHEN coalesce(rsi, 0) > 50 THEN 1 ELSE -1 END + CASE WHEN coalesce(macd, 0) > coalesce(macd_signal, 0) THEN 1 ELSE -1 END + CASE WHEN coalesce(k, 0) > coalesce(d, 0) THEN 1 ELSE -1 END)::INTEGER AS votes FROM a),
+judged AS (SELECT * EXCLUDE (votes), CASE WHEN sma_5 > sma_20 AND sma_20 > sma_60 THEN 'bullish' WHEN sma_5 < sma_20 AND sma_20 < sma_60 THEN 'bearish' ELSE 'tangled' END AS averages,
   CASE WHEN raw IN ('strong_up', 'up') AND short < -0.05 THEN 'flat' WHEN raw IN ('strong_down', 'down') AND short > 0.05 THEN 'flat' ELSE raw END AS trend, CASE WHEN x > 30 THEN 'strong' WHEN x > 18 THEN 'middle' ELSE 'weak' END AS strength, votes,
-  CASE WHEN votes >= 3 THEN 'strong_bull' WHEN votes >= 1 THEN 'bull' WHEN votes >= -1 THEN 'neutral' WHEN votes >= -3 THEN 'bear' ELSE 'strong_bear' END AS momentum FROM r""",
-    dates=("date",),
-)
+  CASE WHEN votes >= 3 THEN 'strong_bull' WHEN votes >= 1 THEN 'bull' WHEN votes >= -1 THEN 'neutral' WHEN votes >= -3 THEN 'bear' ELSE 'strong_bear' END AS momentum FROM r)"""
+
+
+@query("assessments", _JUDGED + " SELECT code, date, averages, trend, strength, votes, momentum FROM judged", dates=("date",))
 def assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.assessment(market.bars(spark, sf_dir))
 

@@ -197,17 +197,17 @@ def blended_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.blend(rows)
 
 
-@query(
-    "institution_scores",
-    _NETS
-    + """, b AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS back, sign(total_net) AS side FROM nets), f AS (SELECT code, side AS direction FROM b WHERE back = 1),
+#: Goes on from _NETS.
+_INSTITUTIONS = """b AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS back, sign(total_net) AS side FROM nets), f AS (SELECT code, side AS direction FROM b WHERE back = 1),
 a AS (SELECT code, count(*) AS days, sum(total_net) FILTER (back <= 3) AS n3, sum(foreign_net) FILTER (back <= 5) AS f5, sum(trust_net) FILTER (back <= 5) AS t5, sum(dealer_net) FILTER (back <= 5) AS d5, bool_and(trust_net > 0) FILTER (back <= 5) AS bought, bool_and(trust_net < 0) FILTER (back <= 5) AS sold,
   avg(abs(total_net)) AS mean, max(total_net) FILTER (back = 1) AS last FROM b GROUP BY code),
 r AS (SELECT code, any_value(direction)::INTEGER AS direction, CASE WHEN any_value(direction) = 0 THEN 0 ELSE coalesce(min(back) FILTER (side <> direction) - 1, count(*)) END AS run FROM b JOIN f USING (code) GROUP BY code),
 s AS (SELECT code, days, f5, t5, d5, run * direction AS streak, CASE WHEN days >= 3 THEN sign(n3) + sign(f5) + CASE WHEN bought THEN 0.5 WHEN sold THEN -0.5 ELSE 0 END ELSE 0 END + direction * CASE WHEN run >= 5 THEN 1.5 WHEN run >= 3 THEN 0.5 ELSE 0 END + CASE WHEN days >= 5 AND abs(last) > 3 * mean THEN sign(last) ELSE 0 END AS score FROM a JOIN r USING (code))
 SELECT s0.code, coalesce(greatest(-5, least(5, score)), -3)::DOUBLE AS score, coalesce(streak, 0)::INTEGER AS streak, CASE WHEN days >= 3 THEN CASE WHEN abs(f5) >= abs(t5) AND abs(f5) >= abs(d5) THEN 'foreign' WHEN abs(t5) >= abs(d5) THEN 'trust' ELSE 'dealer' END END AS dominant,
-  CASE WHEN days IS NULL THEN 'ghost_town' ELSE 'active' END AS visibility FROM sectors s0 LEFT JOIN s USING (code)""",
-)
+  CASE WHEN days IS NULL THEN 'ghost_town' ELSE 'active' END AS visibility FROM sectors s0 LEFT JOIN s USING (code)"""
+
+
+@query("institution_scores", f"{_NETS}, {_INSTITUTIONS}")
 def institution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.institution_score(_institutions(spark, sf_dir), market.sectors(spark, sf_dir))
 

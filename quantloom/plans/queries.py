@@ -631,11 +631,11 @@ def limit_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _UPTREND = f"""ut0 AS (SELECT mv.*, row_number() {_W} AS i, coalesce(sma_20 > sma_60, false) AS up FROM mv),
 ut AS (SELECT *, i - coalesce(max(CASE WHEN NOT up THEN i END) {_W}, 0) AS uptrend_days, lag(close) {_W} AS before FROM ut0)"""
-_TREND = f"""{_UPTREND}, {_REC},
-ts AS (
+_SIGNALS = """ts AS (
   SELECT *, CASE WHEN coalesce(sma_20 < sma_60 AND minus_di > plus_di, false) THEN 'exit'
     WHEN NOT coalesce(uptrend_days >= 2 AND adx >= 5 AND plus_di > minus_di AND rsi BETWEEN 30 AND 80 AND volume >= 0.7 * vol_5 AND volume >= 10, false) THEN NULL
     WHEN close / nullif(sma_20, 0) - 1 BETWEEN -0.02 AND 0.05 AND close > before THEN 'support' WHEN close > sma_20 AND sma_5 > sma_20 AND sma_20 > sma_60 AND roc_12 > 2 THEN 'momentum' END AS kind FROM ut JOIN rec USING (code, date))"""
+_TREND = f"{_UPTREND}, {_REC}, {_SIGNALS}"
 
 
 @query("trend_signals", _MOVING + ", " + _TREND + " SELECT code, date, kind, CASE WHEN kind = 'exit' THEN 'SELL' WHEN kind IS NOT NULL THEN 'BUY' ELSE 'HOLD' END AS signal FROM ts", dates=("date",))
@@ -974,23 +974,33 @@ def price_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.performance(market.bars(spark, sf_dir)).select("code", "date", "change_1w", "change_3m", "change_1y", "high_date", "low_date", "from_high", "from_low")
 
 
-@query(
-    "swing_points",
-    """r AS (
+#: Swing points as swung (code, side, date, price, pos).
+_SWUNG = """sw0 AS (
   SELECT code, date, high, low, row_number() OVER (PARTITION BY code ORDER BY date) AS pos, count(*) OVER w AS n, max(high) OVER w AS top, min(low) OVER w AS bottom FROM bars
   WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
-c AS (SELECT code, 'high' AS side, date, high AS price, high AS rank, pos FROM r WHERE n = 31 AND high = top UNION ALL SELECT code, 'low', date, low, -low, pos FROM r WHERE n = 31 AND low = bottom),
-f AS (SELECT code, side, list_reduce(list_prepend([], list_transform(list({'date': date, 'price': price, 'rank': rank, 'pos': pos} ORDER BY pos), lambda x: [x])),
-        lambda k, x: CASE WHEN len(k) = 0 OR x[1].pos - k[-1].pos >= 10 THEN k || x WHEN x[1].rank > k[-1].rank THEN k[:-2] || x ELSE k END) AS kept FROM c GROUP BY code, side),
-u AS (SELECT code, side, unnest(kept) AS x FROM f)
-SELECT code, side, x.date AS date, round(x.price, 6) AS price FROM u""",
-    dates=("date",),
-)
+sw1 AS (SELECT code, 'high' AS side, date, high AS price, high AS rank, pos FROM sw0 WHERE n = 31 AND high = top UNION ALL SELECT code, 'low', date, low, -low, pos FROM sw0 WHERE n = 31 AND low = bottom),
+sw2 AS (SELECT code, side, list_reduce(list_prepend([], list_transform(list({'date': date, 'price': price, 'rank': rank, 'pos': pos} ORDER BY pos), lambda x: [x])),
+        lambda k, x: CASE WHEN len(k) = 0 OR x[1].pos - k[-1].pos >= 10 THEN k || x WHEN x[1].rank > k[-1].rank THEN k[:-2] || x ELSE k END) AS kept FROM sw1 GROUP BY code, side),
+sw3 AS (SELECT code, side, unnest(kept) AS x FROM sw2),
+swung AS (SELECT code, side, x.date AS date, x.price AS price, x.pos AS pos FROM sw3)"""
+#: Retracements and extensions as fib (code, direction, kind, ratio, level).
+_FIB = f"""{_SWUNG},
+fb0 AS (SELECT code, max(price) FILTER (side = 'high') AS top, min(price) FILTER (side = 'low') AS bottom FROM (SELECT *, row_number() OVER (PARTITION BY code, side ORDER BY pos DESC) AS n FROM swung) WHERE n <= 5 GROUP BY code),
+fb1 AS (SELECT code, arg_max(close, date) AS close, max(high) AS high, min(low) AS low, min(low) FILTER (back <= 120) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS back FROM bars) GROUP BY code),
+fb2 AS (SELECT fb1.*, coalesce(top, high) AS t, coalesce(bottom, low) AS b FROM fb1 LEFT JOIN fb0 USING (code)),
+fb3 AS (SELECT * REPLACE (CASE WHEN t <= b THEN high ELSE t END AS t, CASE WHEN t <= b THEN low ELSE b END AS b) FROM fb2),
+fb4 AS (SELECT code, close, CASE WHEN close > t * 1.02::DOUBLE THEN high ELSE t END AS t, CASE WHEN close > t * 1.02::DOUBLE THEN CASE WHEN high <= recent THEN low ELSE recent END ELSE b END AS b FROM fb3),
+fb5 AS (SELECT *, close - b > (t - b) * 0.5::DOUBLE AS up FROM fb4),
+fib AS (SELECT code, CASE WHEN up THEN 'uptrend' ELSE 'downtrend' END AS direction, 'retracement' AS kind, ratio, CASE WHEN up THEN t - (t - b) * ratio ELSE b + (t - b) * ratio END AS level FROM fb5, (SELECT unnest([0.236, 0.382, 0.5, 0.618, 0.786]::DOUBLE[]) AS ratio)
+  UNION ALL SELECT code, CASE WHEN up THEN 'uptrend' ELSE 'downtrend' END, 'extension', ratio, CASE WHEN up THEN b + (t - b) * ratio ELSE t - (t - b) * ratio END FROM fb5, (SELECT unnest([1.0, 1.272, 1.618, 2.0]::DOUBLE[]) AS ratio))"""
+
+
+@query("swing_points", _SWUNG + " SELECT code, side, date, round(price, 6) AS price FROM swung", dates=("date",))
 def swing_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.swings(market.bars(spark, sf_dir)).select("code", "side", "date", "price")
 
 
-@query("retracement_levels")
+@query("retracement_levels", _FIB + " SELECT code, direction, kind, ratio, round(level, 6) AS level FROM fib")
 def retracement_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = market.bars(spark, sf_dir)
     return levels.retracements(frame, levels.swings(frame))
