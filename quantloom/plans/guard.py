@@ -58,49 +58,6 @@ def six_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GROWTH_SQL = """CASE WHEN yoy IS NULL THEN 50 WHEN yoy > 50 THEN 95 WHEN yoy > 20 THEN 80 + (yoy - 20) / 30 * 15 WHEN yoy > 10 THEN 65 + (yoy - 10) / 10 * 15 WHEN yoy > 0 THEN 50 + yoy / 10 * 15 WHEN yoy > -10 THEN 35 + yoy / 10 * 15
   WHEN yoy > -20 THEN 20 + (yoy + 10) / 10 * 15 ELSE greatest(5, 10 + (yoy + 20) / 20 * 10) END"""
-_MADE = """i AS (SELECT trade_id, trade_id % 997 AS m FROM trades),
-q AS (SELECT trade_id, CASE m % 7 WHEN 0 THEN 'Trend Preferred (V4)' WHEN 1 THEN 'Trend Only (V4)' WHEN 2 THEN 'Volatility Preferred (V5)' WHEN 3 THEN 'Reversion Only (V5)' WHEN 4 THEN 'Balanced' WHEN 5 THEN 'unknown' END AS fitness,
-  CASE m % 4 WHEN 0 THEN 'V4' WHEN 1 THEN 'V5' WHEN 2 THEN 'Adaptive' ELSE 'Bold' END AS strategy, CASE m % 5 WHEN 0 THEN 'bull' WHEN 1 THEN 'sideways' WHEN 2 THEN 'bear' ELSE 'other' END AS regime, CASE WHEN m % 11 > 0 THEN (m % 90 - 40) / 1000 END AS ev,
-  m % 30 AS cases, CASE WHEN m % 13 > 0 THEN (m % 100) / 100 END AS heat, CASE m % 6 WHEN 0 THEN 'surge' WHEN 1 THEN 'heating' WHEN 2 THEN 'cooling' ELSE 'stable' END AS momentum, CASE m % 8 WHEN 0 THEN 'Structural Shift' WHEN 1 THEN 'Trend Formation' WHEN 2 THEN 'Speculative Spike' ELSE 'N/A' END AS maturity,
-  CASE WHEN m % 9 > 0 THEN (m % 70 - 35) / 100 END AS inst_ratio, CASE WHEN m % 3 = 0 THEN (m % 95)::DOUBLE END AS valuation, CASE WHEN m % 2 = 0 THEN (m % 130 - 50)::DOUBLE END AS yoy FROM i)"""
-
-
-def _made_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signal for each trade, whose columns follow from the trade's id: every kind of value and of gap."""
-    m = F.col("trade_id") % 997
-    pick = lambda k, *names: F.get(F.array(*(F.lit(x).cast("string") for x in names)), (m % k).cast("int"))
-    return market.trades(spark, sf_dir).select(
-        "trade_id", pick(7, "Trend Preferred (V4)", "Trend Only (V4)", "Volatility Preferred (V5)", "Reversion Only (V5)", "Balanced", "unknown", None).alias("fitness"), pick(4, "V4", "V5", "Adaptive", "Bold").alias("strategy"), pick(5, "bull", "sideways", "bear", "other", "other").alias("regime"),
-        F.when(m % 11 > 0, (m % 90 - 40) / 1000).alias("ev"), (m % 30).alias("cases"), F.when(m % 13 > 0, m % 100 / 100).alias("heat"), pick(6, "surge", "heating", "cooling", "stable", "stable", "stable").alias("momentum"),
-        pick(8, "Structural Shift", "Trend Formation", "Speculative Spike", *["N/A"] * 5).alias("maturity"), F.when(m % 9 > 0, (m % 70 - 35) / 100).alias("inst_ratio"), F.when(m % 3 == 0, (m % 95).cast("double")).alias("valuation"), F.when(m % 2 == 0, (m % 130 - 50).cast("double")).alias("yoy"),
-    )
-
-
-@query(
-    "signal_quality",
-    f"""{_MADE},
-p AS (SELECT trade_id, valuation IS NOT NULL OR yoy IS NOT NULL AS eight, CASE WHEN fitness IS NULL OR fitness = 'unknown' THEN 50 WHEN (fitness LIKE 'Trend%' AND strategy = 'V4') OR (fitness LIKE '%(V5)' AND strategy = 'V5') OR (fitness = 'Balanced' AND strategy <> 'Bold') THEN 100 WHEN fitness = 'Balanced' THEN 80 ELSE 20 END AS fi,
-  CASE regime || strategy WHEN 'bullV4' THEN 95 WHEN 'bullV5' THEN 50 WHEN 'bullAdaptive' THEN 80 WHEN 'sidewaysV4' THEN 45 WHEN 'sidewaysV5' THEN 85 WHEN 'sidewaysAdaptive' THEN 75 WHEN 'bearV4' THEN 20 WHEN 'bearV5' THEN 60 WHEN 'bearAdaptive' THEN 50 ELSE 50 END AS re,
-  CASE WHEN ev IS NULL OR cases < 3 THEN 40 ELSE CASE WHEN ev - 0.005855 >= 0.03 THEN 100 WHEN ev >= 0.005855 THEN 50 + (ev - 0.005855) / 0.03::DOUBLE * 50 WHEN ev - 0.005855 >= -0.02 THEN greatest(0, 50 + (ev - 0.005855) / 0.02::DOUBLE * 50) ELSE 0 END * least(1, cases / 20) + 40 * (1 - least(1, cases / 20)) END AS e,
-  CASE WHEN heat IS NULL THEN 50 ELSE greatest(0, least(100, least(70, heat * 100) + CASE momentum WHEN 'surge' THEN 30 WHEN 'heating' THEN 20 WHEN 'cooling' THEN -20 ELSE 0 END)) END AS he, CASE maturity WHEN 'Structural Shift' THEN 95 WHEN 'Trend Formation' THEN 70 WHEN 'Speculative Spike' THEN 30 ELSE 40 END AS ma,
-  CASE WHEN inst_ratio IS NULL THEN 50 WHEN inst_ratio >= 0.2 THEN 95 WHEN inst_ratio >= 0 THEN 50 + inst_ratio / 0.2::DOUBLE * 45 WHEN inst_ratio >= -0.2 THEN greatest(10, 50 + inst_ratio / 0.2::DOUBLE * 40) ELSE 10 END AS ins, coalesce(valuation, 50) AS va, {_GROWTH_SQL} AS gr FROM q),
-w AS (SELECT trade_id, (CASE WHEN eight THEN ins * 0.2::DOUBLE + gr * 0.15::DOUBLE + fi * 0.15::DOUBLE + va * 0.1::DOUBLE + re * 0.1::DOUBLE + e * 0.1::DOUBLE + he * 0.1::DOUBLE + ma * 0.1::DOUBLE ELSE fi * 0.25::DOUBLE + re * 0.2::DOUBLE + e * 0.15::DOUBLE + he * 0.1::DOUBLE + ma * 0.1::DOUBLE + ins * 0.2::DOUBLE END)::DOUBLE AS sqs FROM p)
-SELECT trade_id, round(sqs, 9) AS sqs, CASE WHEN sqs >= 80 THEN 'diamond' WHEN sqs >= 60 THEN 'gold' WHEN sqs >= 40 THEN 'silver' ELSE 'noise' END AS grade FROM w""",
-    digits=9,
-)
-def signal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.signal_quality(_made_signals(spark, sf_dir)).select("trade_id", "sqs", "grade")
-
-
-@query(
-    "priorities",
-    f"""{_MADE} SELECT trade_id, round((0.3 * CASE WHEN yoy IS NULL THEN 50 ELSE greatest(least(yoy, 100), 0) END + 0.25::DOUBLE * CASE WHEN valuation IS NULL THEN 50 ELSE greatest(least(valuation, 100), 0) END + 0.2::DOUBLE * CASE cases WHEN 1 THEN 100 WHEN 2 THEN 60 WHEN 3 THEN 80 ELSE 0 END
-    + 0.15::DOUBLE * greatest(least((coalesce(heat * 3, 1) - 0.5) * 40, 100), 0) + 0.1::DOUBLE * CASE WHEN ev IS NULL THEN 50 ELSE greatest(least(ev * 1000, 100), 0) END)::DOUBLE, 9) AS priority FROM q""",
-    digits=9,
-)
-def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _made_signals(spark, sf_dir).select("trade_id", F.col("yoy").alias("strength"), F.col("valuation").alias("quality"), F.when(F.col("cases") == 1, "BETA").when(F.col("cases") == 2, "ALPHA").when(F.col("cases") == 3, "GAMMA_READY").otherwise("NONE").alias("phase"), (F.col("heat") * 3).alias("peer_alpha"), (F.col("ev") * 1000).alias("liquidity"))
-    return guard.priority(rows).select("trade_id", "priority")
 
 
 @query(

@@ -80,11 +80,14 @@ hl AS (SELECT hr.*, sector, CASE WHEN run > 15 THEN 'Structural Shift' WHEN run
   FROM hr JOIN sectors USING (code) WHERE sma_20 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code, ts ORDER BY date DESC) = 1)"""
 
 
+_HEAT_STEPS = f"""{_HEATS}, hs AS (SELECT sector, ts, avg(weight) AS heat, coalesce(avg(vol_ratio) FILTER (run > 0 AND vol_ratio > 0), 0) AS volume FROM hl GROUP BY sector, ts), hb AS (SELECT *, lag(heat) OVER (PARTITION BY sector ORDER BY ts) AS b FROM hs)"""
+_MOMENTUM = """CASE WHEN b IS NULL THEN 'new' WHEN round(heat - b, 9) >= 0.1 AND round(heat / greatest(b, 0.05::DOUBLE), 9) >= 2 AND volume >= 1.2 THEN 'surge' WHEN round(heat - b, 9) >= 0.1 THEN 'heating' WHEN round(heat - b, 9) <= -0.1 THEN 'cooling' ELSE 'stable' END"""
+
+
 @query(
     "heat_changes",
-    f"""{_HEATS}, hs AS (SELECT sector, ts, avg(weight) AS heat, coalesce(avg(vol_ratio) FILTER (run > 0 AND vol_ratio > 0), 0) AS volume FROM hl GROUP BY sector, ts), hb AS (SELECT *, lag(heat) OVER (PARTITION BY sector ORDER BY ts) AS b FROM hs)
-SELECT sector, ts::VARCHAR AS month, round(heat, 9) AS heat, round(coalesce(heat - b, 0), 9) AS delta, round(CASE WHEN b IS NULL THEN 0 ELSE heat / greatest(b, 0.05::DOUBLE) END, 9) AS jump,
-       CASE WHEN b IS NULL THEN 'new' WHEN round(heat - b, 9) >= 0.1 AND round(heat / greatest(b, 0.05::DOUBLE), 9) >= 2 AND volume >= 1.2 THEN 'surge' WHEN round(heat - b, 9) >= 0.1 THEN 'heating' WHEN round(heat - b, 9) <= -0.1 THEN 'cooling' ELSE 'stable' END AS momentum FROM hb""",
+    f"""{_HEAT_STEPS}
+SELECT sector, ts::VARCHAR AS month, round(heat, 9) AS heat, round(coalesce(heat - b, 0), 9) AS delta, round(CASE WHEN b IS NULL THEN 0 ELSE heat / greatest(b, 0.05::DOUBLE) END, 9) AS jump, {_MOMENTUM} AS momentum FROM hb""",
     digits=9,
 )
 def heat_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
