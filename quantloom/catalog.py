@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import analytics, features, guard, matrix, patterns, ratings, scores, trading, winners  # noqa: F401  they register their queries
+from quantloom.plans import analytics, breakouts, features, guard, matrix, patterns, ratings, scores, trading, winners  # noqa: F401  they register their queries
 from quantloom.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -19,6 +19,16 @@ def walk_forward(trades: DataFrame, months: int = 3, exit_: str = "close_date")
     return out.withColumn("efficiency", F.try_divide("mean_ret", F.lag("mean_ret").over(Window.partitionBy(F.lit(1)).orderBy("start"))))  # a row a window
 
 
+def efficiency(windows: DataFrame) -> DataFrame:
+    """One row of walk_forward(): windows, trades, the returns of the first half of the windows and of the rest, and the second over the first (0 where that is none)."""
+    w = Window.partitionBy(F.lit(1)).orderBy("start")  # a row a window
+    rows = windows.withColumns({"_i": F.row_number().over(w), "_m": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))), "_net": F.col("mean_ret") * F.col("trades")})
+    early = F.col("_i") <= F.floor(F.col("_m") / 2)
+    half = lambda c: F.coalesce(F.sum(F.when(c, F.col("_net"))), F.lit(0.0))
+    out = rows.agg(F.count(F.lit(1)).alias("windows"), F.sum("trades").alias("trades"), half(early).alias("first_half"), half(~early).alias("second_half"))
+    return out.withColumn("efficiency", F.coalesce(F.try_divide("second_half", "first_half"), F.lit(0.0)))
+
+
 def bounds_check(realised: DataFrame, worst_run: int = 3) -> DataFrame:
     """Per code of (code, date, ret, low, high): share within the bounds, longest run below, and whether that is an alarm; a missing return ends a run."""
     w = Window.partitionBy("code").orderBy("date")

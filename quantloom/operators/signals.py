@@ -44,6 +44,14 @@ def reversion_signals(bars: DataFrame) -> DataFrame:
     return frame.select("code", "date", "close", F.when(sell, "SELL").when(quiet | far, "BUY").otherwise("HOLD").alias("signal"), (F.try_divide("close", "sma_20") - 1 < -0.05).alias("bias"))
 
 
+def four_regimes(rows: DataFrame) -> DataFrame:
+    """`rows` (code, date, close, adx) with regime: a trend from an ADX of 25 on, explosive above 0.3 of yearly deviation of 60 returns; else a range, volatile above 0.25. Without an ADX it is a quiet range."""
+    rows = rows.withColumn("_ret", change("close")).withColumn("_sd", F.stddev_samp("_ret").over(last_rows(60)) * F.sqrt(F.lit(252.0)))
+    trend = F.when(F.col("_sd") > 0.3, "trend_explosive").otherwise("trend_mild")
+    regime = F.when(F.col("adx") >= 25, trend).when(F.col("adx").isNotNull() & (F.col("_sd") > 0.25), "range_volatile").otherwise("range_quiet")
+    return rows.withColumn("regime", regime).drop("_ret", "_sd")
+
+
 #: Regime, weights of the trend and of the reversion signal.
 BLEND = (("trend_explosive", 0.9, 0.1), ("trend_mild", 0.8, 0.2), ("range_volatile", 0.2, 0.8), ("range_quiet", 0.3, 0.7))
 

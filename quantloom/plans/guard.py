@@ -71,27 +71,6 @@ def energy_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.energy_penalty(market.bars(spark, sf_dir))
 
 
-@query(
-    "sector_heat",
-    f"""{_MOVING}, {_TREND},
-l AS (SELECT ts.code, industry, sector, kind IS NOT NULL AND kind <> 'exit' AS buy, CASE WHEN uptrend_days > 15 THEN 2.0 WHEN uptrend_days > 7 THEN 1.5 ELSE 1 END AS weight, vol_ratio, uptrend_days, (ts.code % 11) - 5 AS inst FROM ts JOIN sectors USING (code)
-  WHERE sma_60 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ts.code ORDER BY (kind IS NOT NULL AND kind <> 'exit')::INTEGER DESC, ts.date DESC) = 1),
-s AS (SELECT *, CASE WHEN buy THEN round((weight - 1) * 0.4 + greatest(least((inst + 5) / 10, 1), 0) * 0.4 + coalesce(greatest(least(vol_ratio - 1, 1), 0), 0) * 0.2, 3) END AS score FROM l),
-g AS (SELECT sector, industry, count(*) AS codes, count(CASE WHEN buy THEN 1 END) AS buys, sum(CASE WHEN buy THEN weight ELSE 0 END) AS wh, coalesce(avg(CASE WHEN buy AND vol_ratio > 0 THEN vol_ratio END), 0) AS av,
-  first(code ORDER BY score DESC, uptrend_days DESC, code) FILTER (score > 0.6) AS leader, max(score) FILTER (score > 0.6) AS leader_score FROM s GROUP BY GROUPING SETS ((sector), (sector, industry)))
-SELECT sector, industry, codes, buys, round(buys / codes, 6) AS heat, round((wh / codes)::DOUBLE, 6) AS weighted_heat, round(av, 6) AS avg_buy_volume, leader, leader_score FROM g""",
-)
-def sector_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each code's latest BUY bar, or its latest bar without one; maturity by the length of the uptrend, institutions by the code."""
-    from pyspark.sql import Window
-
-    rows = signals.trend_signals(market.bars(spark, sf_dir), min_days=2, min_adx=5.0, min_volume=10.0, keep=("sma_60", "vol_ratio", "uptrend_days")).filter("sma_60 IS NOT NULL")
-    w = Window.partitionBy("code").orderBy(F.desc(F.col("signal") == "BUY"), F.desc("date"))
-    rows = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").join(market.sectors(spark, sf_dir), "code")
-    maturity = F.when(F.col("uptrend_days") > 15, "Structural Shift").when(F.col("uptrend_days") > 7, "Trend Formation").otherwise("Speculative Spike")
-    return guard.sector_heat(rows.withColumns({"maturity": maturity, "inst_score": F.col("code") % 11 - 5}))
-
-
 #: assessments as judged, with all indicators.
 _JUDGED = f"""{_MOVING}, {_REC},
 a0 AS (SELECT *, sma_20 / nullif(lag(sma_20, 9) {_W}, 0) - 1 AS slope0, close / nullif(lag(close, 4) {_W}, 0) - 1 AS short0, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS back FROM mv JOIN rec USING (code, date)),

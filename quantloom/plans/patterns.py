@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import change
-from quantloom.operators import analytics, contraction, coupling, levels, portfolio, relative, screener, signals, templates
+from quantloom.operators import analytics, contraction, coupling, levels, portfolio, screener, signals, templates
 from quantloom.plans.features import _NETS, _institutions
-from quantloom.plans.queries import _W, query
+from quantloom.plans.queries import _MOVING, _REVERSION, _TREND, _W, query
 from quantloom.sources import market
 
 #: What a case is described by: changes of the close over so many bars, then of the volume; weights of a scan.
@@ -159,42 +159,25 @@ def position_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.track(rows).drop("entry", "current", "stop", "exit")
 
 
-@query(
-    "kill_switch",
-    f"""f AS (SELECT code, date, lead(close, 7) {_W} / nullif(close, 0) - 1 AS d7, lead(close, 21) {_W} / nullif(close, 0) - 1 AS d21, lead(close, 30) {_W} / nullif(close, 0) - 1 AS d30, volume FROM bars),
-s AS (SELECT d7, d21, d30, d21 < -0.2 AS busted, CASE WHEN code % 3 > 0 THEN code % 60 END AS ttb, d21 - 0.005855 AS net FROM f WHERE volume >= 90),
-a AS (SELECT count(*) AS signals, median(ttb) AS ttb_median, avg(CASE WHEN net > 0 THEN 1.0 WHEN net <= 0 THEN 0.0 END) AS win_rate, coalesce(sum(net) FILTER (net > 0), 0) / nullif(abs(sum(net) FILTER (net <= 0)), 0) AS profit_factor, avg(net) AS net_return, median(d7) AS d7_median, median(d30) AS d30_median,
-  avg(CASE WHEN busted THEN 1.0 ELSE 0.0 END) AS busted_rate, avg(CASE WHEN ttb IS NULL THEN 1.0 ELSE 0.0 END) AS timeout_rate FROM s),
-k AS (SELECT signals, round(ttb_median, 6) AS ttb_median, round(win_rate, 6) AS win_rate, round(profit_factor, 6) AS profit_factor, round(net_return, 6) AS net_return, round(d7_median, 6) AS d7_median, round(d30_median, 6) AS d30_median, round(busted_rate, 6) AS busted_rate, round(timeout_rate, 6) AS timeout_rate,
-  coalesce(ttb_median <= 30, false) AS ttb_ok, coalesce(win_rate >= 0.45, false) AS win_ok, coalesce(profit_factor >= 1.5, false) AS factor_ok, coalesce(net_return > 0, false) AS net_ok, coalesce(d7_median > d30_median, false) AS decay_ok FROM a)
-SELECT *, CASE WHEN signals = 0 THEN 'NO_DATA' WHEN NOT (win_ok AND factor_ok AND net_ok) THEN 'KILL' WHEN NOT (ttb_ok AND decay_ok) THEN 'WARNING' ELSE 'PASS' END AS verdict FROM k""",
-)
-def kill_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the bars of much volume; days to breakout follow from the code."""
-    bars = market.bars(spark, sf_dir)
-    ahead = relative.forward_returns(bars, (7, 21, 30)).join(bars.select("code", "date", "volume"), ["code", "date"]).filter("volume >= 90")
-    return analytics.kill_switch(ahead.select("d7", "d21", "d30", (F.col("d21") < -0.2).alias("busted"), F.when(F.col("code") % 3 > 0, F.col("code") % 60).alias("ttb")))
-
-
 @query(
     "blended_signals",
-    """r AS (SELECT trade_id, trade_id % 997 AS m FROM trades),
-s AS (SELECT trade_id, CASE m % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' ELSE 'HOLD' END AS trend, CASE m % 5 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' WHEN 2 THEN 'BUY' ELSE 'HOLD' END AS reversion,
-  CASE m % 7 WHEN 0 THEN 'trend_explosive' WHEN 1 THEN 'trend_mild' WHEN 2 THEN 'range_volatile' WHEN 3 THEN 'range_quiet' ELSE 'other' END AS regime, CASE WHEN m % 11 > 0 THEN (m % 13) / 10 END AS confidence, m % 2 = 0 AS bias FROM r),
-x AS (SELECT *, CASE regime WHEN 'trend_explosive' THEN 0.9 WHEN 'trend_mild' THEN 0.8 WHEN 'range_volatile' THEN 0.2 WHEN 'range_quiet' THEN 0.3 ELSE 0.5 END::DOUBLE AS w FROM s),
-c AS (SELECT *, round(w * CASE trend WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END * coalesce(confidence, 1) + (1 - w) * CASE reversion WHEN 'BUY' THEN CASE WHEN bias THEN 1.2 ELSE 1 END WHEN 'SELL' THEN -1 ELSE 0 END::DOUBLE, 9) AS composite FROM x)
-SELECT trade_id, trend, reversion, regime, confidence, bias, composite, CASE WHEN composite >= 0.5 THEN 'BUY' WHEN composite <= -0.5 THEN 'SELL' ELSE 'HOLD' END AS signal FROM c""",
+    f"""{_MOVING}, {_TREND}, {_REVERSION},
+bl0 AS (SELECT ts.code, ts.date, CASE WHEN kind = 'exit' THEN 'SELL' WHEN kind IS NOT NULL THEN 'BUY' ELSE 'HOLD' END AS trend, reverted.signal AS reversion, reverted.bias AS bias, ts.adx, ts.close / nullif(lag(ts.close) OVER w, 0) - 1 AS ret FROM ts JOIN reverted USING (code, date) WINDOW w AS (PARTITION BY ts.code ORDER BY ts.date)),
+bl1 AS (SELECT *, stddev_samp(ret) OVER (PARTITION BY code ORDER BY date ROWS 59 PRECEDING) * sqrt(252) AS sd FROM bl0),
+bl2 AS (SELECT *, CASE WHEN adx >= 25 THEN CASE WHEN sd > 0.3 THEN 'trend_explosive' ELSE 'trend_mild' END WHEN adx IS NOT NULL AND sd > 0.25 THEN 'range_volatile' ELSE 'range_quiet' END AS regime FROM bl1),
+bl3 AS (SELECT *, CASE regime WHEN 'trend_explosive' THEN 0.9 WHEN 'trend_mild' THEN 0.8 WHEN 'range_volatile' THEN 0.2 ELSE 0.3 END::DOUBLE AS w FROM bl2),
+bl4 AS (SELECT *, round(w * CASE trend WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END + (1 - w) * CASE reversion WHEN 'BUY' THEN CASE WHEN bias THEN 1.2::DOUBLE ELSE 1 END WHEN 'SELL' THEN -1 ELSE 0 END::DOUBLE, 9) AS composite FROM bl3)
+SELECT code, date, trend, reversion, regime, bias, composite, CASE WHEN composite >= 0.5 THEN 'BUY' WHEN composite <= -0.5 THEN 'SELL' ELSE 'HOLD' END AS signal FROM bl4""",
     digits=9,
+    dates=("date",),
 )
 def blended_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals, regimes and confidences that follow from the trade."""
-    m = F.col("trade_id") % 997
-    pick = lambda n, names, other: F.coalesce(F.get(F.array(*(F.lit(x) for x in names)), (m % n).cast("int")), F.lit(other))
-    rows = market.trades(spark, sf_dir).select(
-        "trade_id", pick(3, ("BUY", "SELL"), "HOLD").alias("trend"), pick(5, ("BUY", "SELL", "BUY"), "HOLD").alias("reversion"), pick(7, ("trend_explosive", "trend_mild", "range_volatile", "range_quiet"), "other").alias("regime"),
-        F.when(m % 11 > 0, (m % 13) / 10).alias("confidence"), (m % 2 == 0).alias("bias"),
-    )
-    return signals.blend(rows)
+    """Of every bar, by its trend and reversion signals and the code's regime."""
+    frame = market.bars(spark, sf_dir)
+    trend = signals.trend_signals(frame, min_days=2, min_adx=5.0, min_volume=10.0, keep=("adx",)).select("code", "date", "close", "adx", F.col("signal").alias("trend"))
+    back = signals.reversion_signals(frame).select("code", "date", F.col("signal").alias("reversion"), "bias")
+    rows = signals.four_regimes(trend).join(back, ["code", "date"]).withColumn("confidence", F.lit(1.0))
+    return signals.blend(rows).select("code", "date", "trend", "reversion", "regime", "bias", "composite", "signal")
 
 
 #: Goes on from _NETS.

@@ -567,15 +567,16 @@ def equity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     _RET
     + """, n AS (SELECT max(date) AS newest FROM bars),
 p AS (
-  SELECT code, count(*) AS rows, sum(CASE WHEN high < greatest(open, close, low) OR low > least(open, close, high) THEN 1 ELSE 0 END) AS inconsistent, sum(CASE WHEN abs(ret) > 0.2 THEN 1 ELSE 0 END) AS jumps,
-         min(date) AS first, max(date) AS last FROM ret GROUP BY code),
-c AS (SELECT *, rows / ((date_diff('day', first, last) + 1) * 5 / 7) AS coverage FROM p, n)
-SELECT code, rows, jumps::BIGINT AS jumps, first, last, round(coverage, 6) AS coverage,
-       round(greatest(0, 1 - 0.3::DOUBLE * (inconsistent > 0)::INTEGER - 0.1 * ((jumps > 0)::INTEGER + (coverage < 0.8)::INTEGER + (date_diff('day', last, newest) > 5)::INTEGER)), 6) AS score FROM c""",
+  SELECT code, count(*) AS rows, count(CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL THEN 1 END) AS nulls, count(CASE WHEN least(open, high, low, close) <= 0 THEN 1 END) AS zero_price, count(CASE WHEN volume = 0 THEN 1 END) AS zero_volume,
+         count(CASE WHEN high < greatest(open, close, low) OR low > least(open, close, high) THEN 1 END) AS inconsistent, count(CASE WHEN abs(ret) > 0.2 THEN 1 END) AS jumps, min(date) AS first, max(date) AS last FROM ret GROUP BY code),
+c AS (SELECT *, rows / ((date_diff('day', first, last) + 1) * 5 / 7) AS coverage FROM p, n),
+e AS (SELECT *, ((nulls > 0.1 * rows)::INTEGER + (zero_price > 0)::INTEGER + (inconsistent > 0)::INTEGER) AS errors, ((zero_volume > 0.1 * rows)::INTEGER + (jumps > 0)::INTEGER + (coverage < 0.8)::INTEGER + (date_diff('day', last, newest) > 5)::INTEGER) AS warnings FROM c)
+SELECT code, rows, nulls, zero_price, zero_volume, inconsistent, jumps, first, last, round(coverage, 6) AS coverage, errors::INTEGER AS errors, warnings::INTEGER AS warnings, round(greatest(0, 1 - 0.3::DOUBLE * errors - 0.1::DOUBLE * warnings), 6) AS score FROM e""",
     dates=("first", "last"),
 )
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screener.quality_report(market.bars(spark, sf_dir)).select("code", "rows", "jumps", "first", "last", "coverage", F.col("score").cast("double").alias("score"))
+    shown = "code rows nulls zero_price zero_volume inconsistent jumps first last coverage errors warnings".split()
+    return screener.quality_report(market.bars(spark, sf_dir)).select(*shown, F.col("score").cast("double").alias("score"))
 
 
 _SNAPSHOT = _MOVING + ", snap AS (SELECT mv.*, sector FROM mv JOIN sectors USING (code) QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1)"
@@ -643,19 +644,16 @@ def trend_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.trend_signals(market.bars(spark, sf_dir), min_days=2, min_adx=5.0, min_volume=10.0).select("code", "date", "kind", "signal")
 
 
-@query(
-    "reversion_signals",
-    _MOVING
-    + ", "
-    + _REC
-    + """, rv AS (
+#: Reversion signals as reverted; goes on from _MOVING and _REC.
+_REVERSION = """rv AS (
   SELECT *, CASE WHEN count(rsi) OVER w >= 60 THEN quantile_cont(rsi, 0.15) OVER w END AS rsi_low, (close - sma_20) / nullif((bb_upper - sma_20) / 2, 0) AS z FROM mv JOIN rec USING (code, date)
-  WINDOW w AS (PARTITION BY code ORDER BY date ROWS 59 PRECEDING))
-SELECT code, date, round(close, 6) AS close, CASE WHEN close >= sma_20 OR rsi >= 70 THEN 'SELL'
+  WINDOW w AS (PARTITION BY code ORDER BY date ROWS 59 PRECEDING)),
+reverted AS (SELECT code, date, close, CASE WHEN close >= sma_20 OR rsi >= 70 THEN 'SELL'
     WHEN (adx < 25 AND close <= bb_lower * 1.005 AND rsi <= least(30, coalesce(rsi_low, 30)) AND volume < 0.7 * vol_5) OR (z < -1.5 AND adx < 35 AND rsi < 45) THEN 'BUY' ELSE 'HOLD' END AS signal,
-  close / nullif(sma_20, 0) - 1 < -0.05 AS bias FROM rv""",
-    dates=("date",),
-)
+  close / nullif(sma_20, 0) - 1 < -0.05 AS bias FROM rv)"""
+
+
+@query("reversion_signals", f"{_MOVING}, {_REC}, {_REVERSION} SELECT code, date, round(close, 6) AS close, signal, bias FROM reverted", dates=("date",))
 def reversion_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.reversion_signals(market.bars(spark, sf_dir))
 
@@ -1017,6 +1015,17 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.walk_forward(market.trades(spark, sf_dir).withColumn("ret", F.try_divide(F.col("proceeds") - F.col("cost"), "cost")))
 
 
+@query(
+    "walk_forward_efficiency",
+    _PNL
+    + """, w AS (SELECT date_trunc('quarter', close_date)::DATE AS start, count(*) AS trades, sum(ret) AS net FROM p GROUP BY ALL), n AS (SELECT *, row_number() OVER (ORDER BY start) AS i, count(*) OVER () AS m FROM w),
+h AS (SELECT any_value(m) AS windows, sum(trades) AS trades, coalesce(sum(net) FILTER (i <= m // 2), 0) AS first_half, coalesce(sum(net) FILTER (i > m // 2), 0) AS second_half FROM n)
+SELECT windows::BIGINT AS windows, trades::BIGINT AS trades, round(first_half, 6) AS first_half, round(second_half, 6) AS second_half, round(coalesce(second_half / nullif(first_half, 0), 0), 6) AS efficiency FROM h""",
+)
+def walk_forward_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitoring.efficiency(monitoring.walk_forward(market.trades(spark, sf_dir).withColumn("ret", F.try_divide(F.col("proceeds") - F.col("cost"), "cost"))))
+
+
 @query(
     "bounds_check",
     _RET
