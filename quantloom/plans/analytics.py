@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import change, lag
+from quantloom.functions.windows import lag
 from quantloom.operators import analytics, indicators, relative
 from quantloom.plans.queries import _MOVING, _PNL, _RET, _W, query
 from quantloom.sources import market
@@ -246,40 +246,6 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.circuit_breaker(analytics.running_gains(_days(spark, sf_dir)))
 
 
-_CANDIDATES = _RET + f""", c AS (SELECT code, last(close ORDER BY date) / 10000 AS price, stddev_samp(ret) AS sd, 0.001 * (code % 25) AS current_var, (code % 10) / 10 AS max_corr, 0.8 + (code % 9) / 10 AS beta, 0.2 + (code % 7) / 5 AS confidence FROM ret GROUP BY code)"""
-
-
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each code at a ten-thousandth of its last close; value at risk, correlation, beta and confidence follow from the code."""
-    rows = market.bars(spark, sf_dir).withColumn("ret", change("close")).groupBy("code").agg((F.max_by("close", "date") / 10000).alias("price"), F.stddev_samp("ret").alias("sd"))
-    mod = lambda k: F.col("code") % k
-    return rows.withColumns({"current_var": 0.001 * mod(25), "max_corr": mod(10) / 10, "beta": 0.8 + mod(9) / 10, "confidence": 0.2 + mod(7) / 5})
-
-
-@query(
-    "position_sizes",
-    _CANDIDATES
-    + """, e AS (SELECT *, greatest(1, floor(1e6 * 0.2 / (price * 1000))) AS by_size, 1.65 * coalesce(sd, 0.02) * price * 1000 / 1e6 AS each, 0.02 - current_var AS budget FROM c),
-l AS (SELECT *, CASE WHEN budget > 0 THEN greatest(1, floor(least(by_size, CASE WHEN each > 0 THEN greatest(1, floor(budget / each)) ELSE by_size END) * CASE WHEN max_corr > 0.75 THEN 0.5 WHEN max_corr > 0.5 THEN 0.75 ELSE 1 END
-    * CASE WHEN beta > 1.5 THEN 0.7 WHEN beta > 1.2 THEN 0.85 ELSE 1 END * (0.5 + 0.5 * least(confidence, 1)))) ELSE 0 END::BIGINT AS lots FROM e)
-SELECT code, lots, round(current_var + lots * each, 6) AS projected_var FROM l""",
-)
-def position_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.position_size(_candidates(spark, sf_dir)).select("code", F.col("lots").cast("long").alias("lots"), "projected_var")
-
-
-@query(
-    "equal_risk_sizes",
-    _CANDIDATES
-    + """, s AS (SELECT *, greatest(least(0.03 / 0.07 * CASE WHEN code % 2 = 0 OR coalesce(sd, 0) <= 0 THEN 1 ELSE least(1, 0.018 / sd) END, 0.9), 0.05) AS share FROM c), w AS (SELECT *, floor(50000 * share / price / 1000) * 1000 AS whole FROM s),
-f AS (SELECT *, whole < 1000 AND 50000 >= price * 1000 * 1.01 AS over_risk FROM w), g AS (SELECT *, CASE WHEN over_risk THEN 1000 WHEN whole < 1000 THEN 0 ELSE whole END::BIGINT AS shares FROM f)
-SELECT code, over_risk, shares, round(CASE WHEN over_risk THEN shares * price / 50000 ELSE share END, 6) AS position_pct FROM g""",
-)
-def equal_risk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir).withColumns({"atr_pct": F.coalesce("sd", F.lit(0.0)), "stop_pct": F.lit(0.07), "trending": F.col("code") % 2 == 0})
-    return analytics.equal_risk_size(rows, 50_000.0).select("code", "over_risk", "shares", "position_pct")
-
-
 @query(
     "sector_multipliers",
     """v AS (SELECT sector, sum(cost) AS v FROM trades JOIN sectors USING (code) GROUP BY sector), h AS (SELECT sector, v / sum(v) OVER () AS share FROM v)
@@ -291,17 +257,6 @@ def sector_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.sector_multiplier(sectors.select("code", "sector"), held, 0.2).select("code", "multiplier")
 
 
-@query(
-    "scenarios",
-    _CANDIDATES
-    + """, s(scenario, shock, vol) AS (VALUES ('pullback', -0.03, 1.0), ('decline', -0.05, 1.3), ('crash', -0.10, 2.0), ('black_swan', -0.20, 3.0)), b AS (SELECT price * 1000 AS value, greatest(least(coalesce(sd / 0.01, 1), 2.5), 0.5) AS beta FROM c)
-SELECT scenario, round(sum(value * shock * beta), 4) AS loss, count(CASE WHEN abs(shock * beta) > 0.05 THEN 1 END) AS at_risk, round((any_value(vol) * 0.02)::DOUBLE, 6) AS stressed_var, round(sum(value * shock * beta) / 1e6, 4) AS loss_pct FROM b, s GROUP BY scenario""",
-    digits=4,
-)
-def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.scenarios(_candidates(spark, sf_dir).withColumn("value", F.col("price") * 1000), 1e6, 0.02)
-
-
 @query(
     "live_performance",
     """c AS (SELECT i.date, i.close AS benchmark, avg(b.close) AS equity FROM idx i JOIN bars b ON i.date = b.date AND b.code % 2 = 0 GROUP BY i.date, i.close),

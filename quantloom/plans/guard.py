@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import history
-from quantloom.operators import guard, relative, screener, signals
-from quantloom.plans.queries import _MOVING, _REC, _RET, _SCAN, _TREND, _W, _full, query
+from quantloom.operators import guard, relative, screener
+from quantloom.plans.queries import _MOVING, _REC, _RET, _SCAN, _W, _full, query
 from quantloom.sources import market, tables
 
 _BREADTH = f"""bm AS (SELECT *, {_full("avg(close)", "close", 20)} AS sma FROM ret),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import last_rows
-from quantloom.operators import guard, joins, matching, relative, scores, signals
+from quantloom.functions.windows import change, last_rows
+from quantloom.operators import analytics, guard, indicators, joins, matching, relative, risk, scores, signals
 from quantloom.plans.features import _NETS, _institutions
 from quantloom.plans.guard import _GROWTH_SQL
 from quantloom.plans.patterns import _INSTITUTIONS
-from quantloom.plans.queries import _MOVING, _SCAN, _TREND, _W, query
+from quantloom.plans.queries import _MOVING, _RET, _SCAN, _TREND, _W, query
 from quantloom.plans.trading import _HEAT_STEPS, _MOMENTUM, _TRADED, line_trades, sector_scans
 from quantloom.sources import market
 from quantloom.sources.snapshots import snapshot
@@ -162,3 +162,65 @@ def sector_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     inst = signals.institution_score(_institutions(spark, sf_dir), sectors).select("code", F.col("score").alias("inst_score"))
     maturity = F.when(F.col("uptrend_days") > 15, "Structural Shift").when(F.col("uptrend_days") > 7, "Trend Formation").otherwise("Speculative Spike")
     return guard.sector_heat(rows.join(inst, "code", "left").withColumn("maturity", maturity))
+
+
+#: What sizes of positions read, as c.
+_CANDIDATES = f"""{_MOVING}, {_RET}, {_NETS},
+ca0 AS (SELECT code, last(close ORDER BY date) / 10000 AS price, stddev_samp(ret) AS sd FROM ret GROUP BY code),
+ca1 AS (SELECT code, greatest(0, sum(total_net) OVER (PARTITION BY code ORDER BY date ROWS 19 PRECEDING)) AS held FROM nets QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1),
+ca2 AS (SELECT code, regr_slope(ret, mkt) AS beta, regr_r2(ret, mkt) AS r2 FROM ret JOIN (SELECT date, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS mkt FROM idx) USING (date) WHERE ret IS NOT NULL AND mkt IS NOT NULL GROUP BY code),
+ca3 AS (SELECT code, coalesce(sma_20 > sma_60, false) AS trending FROM mv QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1),
+ca4 AS (WITH {_SCORED} SELECT code, sqs FROM scored QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1),
+c AS (SELECT ca0.*, coalesce(held, 0) * price * 1.65::DOUBLE * coalesce(sd, 0.02) / 1e6 AS current_var, CASE WHEN beta > 0 THEN sqrt(r2) ELSE 0 END AS max_corr, coalesce(beta, 1) AS beta, coalesce(sqs / 100, 0.5) AS confidence, trending
+  FROM ca0 LEFT JOIN ca1 USING (code) LEFT JOIN ca2 USING (code) LEFT JOIN ca3 USING (code) LEFT JOIN ca4 USING (code))"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each code at a ten-thousandth of its last close. What institutions bought in 20 days is the position held; correlation is that
+    with the index of all codes, the portfolio; confidence is the score of the last signal, a half where there was none."""
+    frame = market.bars(spark, sf_dir)
+    back = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))
+    rows = frame.withColumn("ret", change("close")).groupBy("code").agg((F.max_by("close", "date") / 10000).alias("price"), F.stddev_samp("ret").alias("sd"))
+    held = _institutions(spark, sf_dir).withColumns({"held": F.greatest(F.lit(0.0), F.sum("total_net").over(last_rows(20))), "_back": back}).filter("_back = 1").select("code", "held")
+    market_side = risk.alpha_beta(frame, market.index_bars(frame)).select("code", "beta", F.when(F.col("beta") > 0, F.sqrt("r2")).otherwise(0.0).alias("max_corr"))
+    trending = indicators.moving(frame).withColumn("_back", back).filter("_back = 1").select("code", F.coalesce(F.col("sma_20") > F.col("sma_60"), F.lit(False)).alias("trending"))
+    sure = scored(spark, sf_dir).groupBy("code").agg((F.max_by("sqs", "date") / 100).alias("confidence"))
+    for other in (held, market_side, trending, sure):
+        rows = rows.join(other, "code", "left")
+    var = F.coalesce("held", F.lit(0.0)) * F.col("price") * 1.65 * F.coalesce("sd", F.lit(0.02)) / 1e6
+    return rows.withColumns({"current_var": var, "max_corr": F.coalesce("max_corr", F.lit(0.0)), "beta": F.coalesce("beta", F.lit(1.0)), "confidence": F.coalesce("confidence", F.lit(0.5))})
+
+
+@query(
+    "position_sizes",
+    _CANDIDATES
+    + """, e AS (SELECT *, greatest(1, floor(1e6 * 0.2 / (price * 1000))) AS by_size, 1.65 * coalesce(sd, 0.02) * price * 1000 / 1e6 AS each, 0.02 - current_var AS budget FROM c),
+l AS (SELECT *, CASE WHEN budget > 0 THEN greatest(1, floor(least(by_size, CASE WHEN each > 0 THEN greatest(1, floor(budget / each)) ELSE by_size END) * CASE WHEN max_corr > 0.75 THEN 0.5 WHEN max_corr > 0.5 THEN 0.75 ELSE 1 END
+    * CASE WHEN beta > 1.5 THEN 0.7 WHEN beta > 1.2 THEN 0.85 ELSE 1 END * (0.5 + 0.5 * least(confidence, 1)))) ELSE 0 END::BIGINT AS lots FROM e)
+SELECT code, lots, round(current_var + lots * each, 6) AS projected_var FROM l""",
+)
+def position_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.position_size(_candidates(spark, sf_dir)).select("code", F.col("lots").cast("long").alias("lots"), "projected_var")
+
+
+@query(
+    "equal_risk_sizes",
+    _CANDIDATES
+    + """, s AS (SELECT *, greatest(least(0.03 / 0.07 * CASE WHEN trending OR coalesce(sd, 0) <= 0 THEN 1 ELSE least(1, 0.018 / sd) END, 0.9), 0.05) AS share FROM c), w AS (SELECT *, floor(50000 * share / price / 1000) * 1000 AS whole FROM s),
+f AS (SELECT *, whole < 1000 AND 50000 >= price * 1000 * 1.01 AS over_risk FROM w), g AS (SELECT *, CASE WHEN over_risk THEN 1000 WHEN whole < 1000 THEN 0 ELSE whole END::BIGINT AS shares FROM f)
+SELECT code, over_risk, shares, round(CASE WHEN over_risk THEN shares * price / 50000 ELSE share END, 6) AS position_pct FROM g""",
+)
+def equal_risk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(spark, sf_dir).withColumns({"atr_pct": F.coalesce("sd", F.lit(0.0)), "stop_pct": F.lit(0.07)})
+    return analytics.equal_risk_size(rows, 50_000.0).select("code", "over_risk", "shares", "position_pct")
+
+
+@query(
+    "scenarios",
+    _CANDIDATES
+    + """, s(scenario, shock, vol) AS (VALUES ('pullback', -0.03, 1.0), ('decline', -0.05, 1.3), ('crash', -0.10, 2.0), ('black_swan', -0.20, 3.0)), b AS (SELECT price * 1000 AS value, greatest(least(coalesce(sd / 0.01, 1), 2.5), 0.5) AS beta FROM c)
+SELECT scenario, round(sum(value * shock * beta), 4) AS loss, count(CASE WHEN abs(shock * beta) > 0.05 THEN 1 END) AS at_risk, round((any_value(vol) * 0.02)::DOUBLE, 6) AS stressed_var, round(sum(value * shock * beta) / 1e6, 4) AS loss_pct FROM b, s GROUP BY scenario""",
+    digits=4,
+)
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.scenarios(_candidates(spark, sf_dir).withColumn("value", F.col("price") * 1000), 1e6, 0.02)
