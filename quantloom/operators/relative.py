@@ -16,13 +16,16 @@ def strength(bars: DataFrame) -> DataFrame:
 
 
 def strength_scan(bars: DataFrame, short: int = 4, mid: int = 24, long: int = 124) -> DataFrame:
-    """The latest ratio of every code with enough positive closes (its own start 124 bars back) and its rating among all."""
+    """The latest ratio of every code with enough positive closes (its own start 124 bars back) and its rating among all.
+
+    Ratings have one decimal, rounded as DOUBLEs are in SQL: ten times the rating to the nearest whole number, halves up, over ten.
+    """
     w = Window.partitionBy("code").orderBy(F.desc("date"))
     back = {f"p{n}": F.lead("close", n).over(w) for n in (short, mid, long)}
     last = bars.withColumns(back | {"_n": F.row_number().over(w)}).filter("_n = 1")
     ok = last.filter(" and ".join(f"p{n} > 0" for n in (short, mid, long)))
     ratio = F.pow(F.col(f"p{mid}") / F.col(f"p{long}"), F.lit(0.6)) * F.pow(F.col(f"p{short}") / F.col(f"p{mid}"), F.lit(0.4))
-    return ok.select("code", "date", ratio.alias("rs_ratio"), F.lit(1).alias("one")).withColumn("rating", F.round(rank_pct("rs_ratio", "one") * 100, 1)).drop("one")
+    return ok.select("code", "date", ratio.alias("rs_ratio"), F.lit(1).alias("one")).withColumn("rating", F.round(rank_pct("rs_ratio", "one") * 100 * 10) / 10).drop("one")
 
 
 def sector_strength(scan: DataFrame, sectors: DataFrame, diamond: float = 90.0) -> DataFrame:

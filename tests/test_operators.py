@@ -178,3 +178,17 @@ def test_tables_are_extended_filled_and_updated(spark):
     assert rows(tables.extend(old, new, ["id"]))[-1] == (3, 1.0, "c") and tables.extend(old, new, ["id"]).count() == 3
     assert rows(tables.back_fill(old, new, ["id"], ["x"])) == [(1, 5.0, "a"), (2, 7.0, "b")]
     assert rows(tables.update(old, new, ["id"], {"x": "greatest(old, new)", "s": "coalesce(new, old)"})) == [(1, 5.0, "z"), (2, 7.0, "b")]
+
+
+def test_ratings_are_rounded_as_in_sql(spark, oracle):
+    """Of 2,000 codes every second rating lies halfway between two of one decimal."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from quantloom.operators import relative
+
+    day = F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("i").cast("int"))
+    bars = spark.range(8000).select((F.col("id") / 4).cast("long").alias("code"), (F.col("id") % 4).alias("i")).select("code", day.alias("date"), F.when(F.col("i") == 2, F.col("code") + 1.0).otherwise(1.0).alias("close"))
+    got = {r["code"]: r["rating"] for r in relative.strength_scan(bars, 1, 2, 3).collect()}
+    assert got == dict(oracle("SELECT k, round((k + 1) / 2000 * 100, 1) FROM range(2000) t(k)")[1])
