@@ -192,3 +192,15 @@ def test_ratings_are_rounded_as_in_sql(spark, oracle):
     bars = spark.range(8000).select((F.col("id") / 4).cast("long").alias("code"), (F.col("id") % 4).alias("i")).select("code", day.alias("date"), F.when(F.col("i") == 2, F.col("code") + 1.0).otherwise(1.0).alias("close"))
     got = {r["code"]: r["rating"] for r in relative.strength_scan(bars, 1, 2, 3).collect()}
     assert got == dict(oracle("SELECT k, round((k + 1) / 2000 * 100, 1) FROM range(2000) t(k)")[1])
+
+
+def test_results_are_rounded_as_in_sql(spark, oracle):
+    """Prices of eighths lie halfway between two of four digits; what is no number or too large to scale stays."""
+    from pyspark.sql import functions as F
+
+    from quantloom.functions.windows import rounded
+
+    price = spark.range(40_000).select("id", ((F.col("id") * 7 + 1) / 100 / 8).alias("x"))
+    assert {r["id"]: r["x"] for r in rounded(price, 4).collect()} == dict(oracle("SELECT k, round((k * 7 + 1) / 100 / 8, 4) FROM range(40000) t(k)")[1])
+    odd = spark.createDataFrame([(1e300 * 1e8,), (float("inf"),), (None,), (-1.25,)], "x double")
+    assert [r["x"] for r in rounded(odd, 1).collect()] == [1e308, float("inf"), None, -1.3]
