@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quantloom.operators import dna
+from quantloom.operators import dna, registry
 from quantloom.plans import winners
 from tests.conftest import SMALL
 
@@ -79,3 +79,30 @@ def test_dna_match_of_short_and_flat_series(spark):
     assert got[1, 2] == pytest.approx((plain_warping(shape(ours)[-25:], shape(theirs)), plain_warping(shape(ours[-20:]), shape(theirs[-20:]))), abs=1e-12)
     empty = spark.createDataFrame([], "query long, place int, ours array<double>, theirs array<double>")
     assert dna.shape_distances(empty).count() == 0
+
+
+def test_resampled_sums_are_those_of_uniform_numbers(spark):
+    """Draws as matrices against the same numbers row by row, at the steps and beyond a chunk; a task that keeps few brokers loses none."""
+    from pyspark.sql import functions as F
+
+    steps = np.unique(np.concatenate([registry._STEPS + k for k in (-1, 0, 1)]))
+    steps = steps[steps < registry._PRIME]
+    assert registry._weights(steps[:, None])[:, 0].tolist() == [sum(x / float(registry._PRIME) >= p for p in registry.POISSON) for x in steps.tolist()]
+    bought = spark.range(300).select((F.col("id") % 3).alias("broker"), (F.col("id") * 977).alias("code"), F.date_add(F.lit("1999-01-31").cast("date"), (F.col("id") * 13).cast("int")).alias("date"), ((F.col("id") * 37 % 101 - 50) / 40).alias("ret"))
+    u = registry.uniform("broker", "code", F.unix_date("date").cast("long"), F.col("draw").cast("long"))
+    rows = bought.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("w", sum((F.when(u >= p, 1).otherwise(0) for p in registry.POISSON), F.lit(0)))
+    won = F.col("ret") > 0
+    each = rows.groupBy("broker", "draw").agg(F.sum("w"), F.sum(F.when(won, F.col("w")).otherwise(0)), F.sum(F.when(won, F.col("ret") * F.col("w")).otherwise(0.0)), F.sum(F.when(won, 0.0).otherwise(F.col("ret") * F.col("w"))))
+    want = np.zeros((3, 4, 40))
+    for broker, draw, *sums in each.collect():
+        want[broker, :, draw - 1] = sums
+    starts = bought.select("broker", registry._start(F.col("broker"), F.col("code"), F.unix_date("date").cast("long")).alias("start"), "ret").toPandas()
+    for broker, own in starts.groupby("broker"):
+        assert np.allclose(registry.resampled(own["start"].to_numpy(), own["ret"].to_numpy(), 40), want[broker], rtol=1e-12, atol=1e-9)
+    whole = registry.intervals(bought.coalesce(1), 40).collect()
+    kept, registry.KEPT = registry.KEPT, 1
+    try:
+        few = registry.intervals(bought.coalesce(1), 40).collect()
+    finally:
+        registry.KEPT = kept
+    assert sorted((r[0], round(r[1], 9), round(r[2], 9)) for r in whole) == sorted((r[0], round(r[1], 9), round(r[2], 9)) for r in few)
