@@ -204,3 +204,34 @@ def test_results_are_rounded_as_in_sql(spark, oracle):
     assert {r["id"]: r["x"] for r in rounded(price, 4).collect()} == dict(oracle("SELECT k, round((k * 7 + 1) / 100 / 8, 4) FROM range(40000) t(k)")[1])
     odd = spark.createDataFrame([(1e300 * 1e8,), (float("inf"),), (None,), (-1.25,)], "x double")
     assert [r["x"] for r in rounded(odd, 1).collect()] == [1e308, float("inf"), None, -1.3]
+
+
+def test_recursive_indicators_of_many_codes_at_once(spark):
+    """Codes of all lengths, flat ones, ones with gaps and ones longer than what is computed at once, against pandas a code at a time."""
+    import datetime as dt
+
+    import numpy as np
+    import pandas as pd
+
+    from quantloom.operators import indicators
+
+    rng, rows = np.random.default_rng(7), []
+    for code, n in enumerate([1, 2, 8, 9, 13, 14, 15, 27, 40, 300, 61, 90, 35, 5, 64]):
+        close = np.round(100 * np.exp(np.cumsum(rng.normal(0, 0.03, n))), 2) if code != 10 else np.full(n, 100.0)
+        high, low = (close * (1 + rng.uniform(0, 0.02, n)), close * (1 - rng.uniform(0, 0.02, n))) if code != 10 else (close, close)
+        if code == 11:
+            close[[0, 30, 31]] = np.nan
+        if code == 12:
+            close[20] = 0.0
+        rows += [(code, dt.date(2020, 1, 1) + dt.timedelta(i), *(None if np.isnan(x) else float(x) for x in v), f"{code}-{i}") for i, v in enumerate(zip(close, high, low, strict=True))]
+    frame = spark.createDataFrame(rows, "code long, date date, close double, high double, low double, note string").repartition(3)
+    kept, indicators.ROWS = indicators.ROWS, 64
+    try:
+        got = indicators.recursive(frame).toPandas().sort_values(["code", "date"])
+    finally:
+        indicators.ROWS = kept
+    want = pd.DataFrame(rows, columns=["code", "date", "close", "high", "low", "note"])
+    assert got["note"].tolist() == want["note"].tolist()
+    for code, own in want.groupby("code"):
+        for c, x in indicators._added(own.reset_index(drop=True)[["close", "high", "low"]].astype(float)).items():
+            np.testing.assert_allclose(got[got["code"] == code][c].to_numpy(float), x.to_numpy(float), rtol=1e-12, atol=1e-12, err_msg=f"{code} {c}")
