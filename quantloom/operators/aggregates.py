@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.quantiles import quantiles
+
 
 def _with_result(trades: DataFrame) -> DataFrame:
     return trades.withColumn("pnl", F.col("proceeds") - F.col("cost")).withColumn("ret", F.try_divide("pnl", "cost"))
@@ -52,12 +54,11 @@ def horizon_stats(forward: DataFrame, horizons: list[str], cost: float = 0.004)
     long = forward.unpivot(["code", "date"], horizons, "horizon", "gross").filter("gross is not null").withColumn("ret", F.col("gross") - cost)
     win = F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0))
     up, down = F.avg(F.when(F.col("ret") > 0, F.col("ret"))), F.avg(F.when(F.col("ret") <= 0, F.col("ret")))
-    q = F.percentile("ret", F.array(F.lit(0.05), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(0.95)))
     out = long.groupBy("horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.min("ret").alias("min"), F.max("ret").alias("max"), win.alias("win_rate"), F.avg(F.when(F.col("ret") > 0.02, 1.0).otherwise(0.0)).alias("hit_rate"), up.alias("avg_win"), down.alias("avg_loss"), q.alias("q")
+        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.min("ret").alias("min"), F.max("ret").alias("max"), win.alias("win_rate"), F.avg(F.when(F.col("ret") > 0.02, 1.0).otherwise(0.0)).alias("hit_rate"), up.alias("avg_win"), down.alias("avg_loss")
     )
-    quantiles = {f"p{p}": F.get("q", F.lit(i)) for i, p in enumerate((5, 25, 50, 75, 95))}
-    return out.withColumns(quantiles).withColumn("expectancy", F.col("win_rate") * F.coalesce("avg_win", F.lit(0.0)) + (1 - F.col("win_rate")) * F.coalesce("avg_loss", F.lit(0.0))).drop("q")
+    out = out.join(F.broadcast(quantiles(long, "horizon", "ret", {f"p{p}": p / 100 for p in (5, 25, 50, 75, 95)})), "horizon")  # a row a horizon
+    return out.withColumn("expectancy", F.col("win_rate") * F.coalesce("avg_win", F.lit(0.0)) + (1 - F.col("win_rate")) * F.coalesce("avg_loss", F.lit(0.0)))
 
 
 def longest_runs(bars: DataFrame, worst: float = -0.05) -> DataFrame:

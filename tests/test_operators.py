@@ -235,3 +235,18 @@ def test_recursive_indicators_of_many_codes_at_once(spark):
     for code, own in want.groupby("code"):
         for c, x in indicators._added(own.reset_index(drop=True)[["close", "high", "low"]].astype(float)).items():
             np.testing.assert_allclose(got[got["code"] == code][c].to_numpy(float), x.to_numpy(float), rtol=1e-12, atol=1e-12, err_msg=f"{code} {c}")
+
+
+def test_quantiles_of_large_groups(spark):
+    """Many copies of few values, values of their own, a group of one and one of nulls, against percentile()."""
+    from pyspark.sql import functions as F
+
+    from quantloom.functions.quantiles import quantiles
+
+    many = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, "copies").otherwise("own").alias("g"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.sin("id") * 1000).cast("double").alias("x"))
+    rows = many.unionByName(spark.createDataFrame([("one", 2.5), ("none", None), (None, 1.0), (None, 4.0)], "g string, x double"))
+    shares = {"low": 0.0, "p5": 0.05, "mid": 0.5, "p95": 0.95, "top": 1.0}
+    found = quantiles(rows, "g", "x", shares)
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = rows.filter("x IS NOT NULL").groupBy("g").agg(*(F.percentile("x", F.lit(p)).alias(k) for k, p in shares.items()))
+    assert {r["g"]: tuple(round(r[k], 9) for k in shares) for r in found.collect()} == {r["g"]: tuple(round(r[k], 9) for k in shares) for r in want.collect()}
