@@ -35,8 +35,9 @@ def fifo(trades: DataFrame, shares: int = 1) -> DataFrame:
         "code", F.when(F.col("side") > 0, F.col("_in")).otherwise(F.col("_out")).alias("_end"), "side", "date", "seq", F.when(F.col("side") > 0, side).alias("_buy"), F.when(F.col("side") < 0, side).alias("_sell")
     )
     along = Window.partitionBy("code").orderBy("_end", "side", "date", "seq")
-    ahead = along.rowsBetween(0, Window.unboundedFollowing)
-    pieces = ends.withColumns({"quantity": F.col("_end") - F.coalesce(F.lag("_end").over(along), F.lit(0)), "b": F.first("_buy", ignorenulls=True).over(ahead), "s": F.first("_sell", ignorenulls=True).over(ahead)}).filter("quantity > 0")
+    # What comes next is what came last from the other end: a frame that ends at the last row would be read again for each row.
+    ahead = Window.partitionBy("code").orderBy(*(F.desc(c) for c in ("_end", "side", "date", "seq"))).rowsBetween(Window.unboundedPreceding, 0)
+    pieces = ends.withColumns({"quantity": F.col("_end") - F.coalesce(F.lag("_end").over(along), F.lit(0)), "b": F.last("_buy", ignorenulls=True).over(ahead), "s": F.last("_sell", ignorenulls=True).over(ahead)}).filter("quantity > 0")
     out = pieces.select("code", F.col("b.date").alias("entry_date"), F.col("b.price").alias("entry_price"), F.col("s.date").alias("exit_date"), F.col("s.price").alias("exit_price"), "quantity")
     return out.withColumns(_results(F.col("entry_price"), F.col("exit_price"), F.col("quantity"), F.col("entry_date"), F.col("exit_date"), shares))
 
