@@ -106,3 +106,20 @@ def test_resampled_sums_are_those_of_uniform_numbers(spark):
     finally:
         registry.KEPT = kept
     assert sorted((r[0], round(r[1], 9), round(r[2], 9)) for r in whole) == sorted((r[0], round(r[1], 9), round(r[2], 9)) for r in few)
+
+
+def test_ties_of_cases_go_to_the_least_code(spark):
+    """More equal cases than are kept: codes are copies of each other, as in SQL the least ones count."""
+    import datetime as dt
+
+    from quantloom.operators import dual
+
+    day = lambda i: (dt.date(2020, 1, 1) + dt.timedelta(i), (dt.date(2020, 1, 1) - dt.date(1970, 1, 1)).days + i)
+    rows = [(code, *day(i), 0, 0.0, 0.0, [1.0, 2.0], [1.0, 2.0]) for code in range(400, 0, -1) for i in (0, 40)]
+    frame = spark.createDataFrame(rows, "code long, date date, day int, regime int, growth double, polarity double, raw array<double>, augmented array<double>")
+    found = dual.cases(frame, frame.filter("code = 400 AND date = '2020-02-10'"), k=3).collect()
+    assert sorted((r["search"], r["place"], r["code"]) for r in found) == sorted((s, n + 1, n + 1) for s in ("raw", "augmented") for n in range(3))
+    near = spark.createDataFrame([(i, [1.0, 1.0 if i < 300 else -1.0]) for i in range(599, -1, -1)], "id long, v array<double>")
+    from quantloom.operators.similarity import nearest_vectors
+
+    assert sorted((r["place"], r["id"]) for r in nearest_vectors(near, near.filter("id = 1"), 4, "id", "v").collect()) == [(1, 0), (2, 2), (3, 3), (4, 4)]
