@@ -250,3 +250,28 @@ def test_quantiles_of_large_groups(spark):
     assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     want = rows.filter("x IS NOT NULL").groupBy("g").agg(*(F.percentile("x", F.lit(p)).alias(k) for k, p in shares.items()))
     assert {r["g"]: tuple(round(r[k], 9) for k in shares) for r in found.collect()} == {r["g"]: tuple(round(r[k], 9) for k in shares) for r in want.collect()}
+
+
+def test_rolling_scores_of_odd_values_equal_plain_ones_and_take_one_window_for_all_columns(spark):
+    import numpy as np
+
+    random = np.random.default_rng(7)
+    codes = {1: 1, 2: 5, 3: 17, 4: 18, 5: 60}  # rows; windows have 6
+    odd = [None, float("nan"), float("inf"), 3.0, 3.0, 3.0]
+    rows = [(code, day(i), float(random.normal()) if random.random() < 0.6 else odd[int(random.integers(6))], int(random.integers(3)), None if code == 3 else 0.1) for code, n in codes.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "code long, date date, x double, k int, flat double")
+    out = indicators.normalised(frame, ["x", "k", "flat"], window=6, least=3, clip=1.2, prefix="")
+    assert out.dtypes == [("code", "bigint"), ("date", "date"), ("x", "double"), ("k", "double"), ("flat", "double")]
+    got = {(r.code, r.date): r for r in out.collect()}
+    assert len(got) == len(rows)
+    for code in codes:
+        own = pd.DataFrame([r for r in rows if r[0] == code], columns=["code", "date", "x", "k", "flat"])
+        for name in ("x", "k", "flat"):
+            v = own[name].astype(float).replace([np.inf, -np.inf], np.nan)
+            around = v.rolling(6, min_periods=1)
+            sd, mean = around.apply(lambda w: np.std(w[~np.isnan(w)], ddof=1) if (~np.isnan(w)).sum() > 1 else np.nan, raw=True), around.apply(np.nanmean, raw=True)
+            z = ((v - mean) / sd).where((around.count() >= 3) & (sd > 1e-6 * mean.abs())).clip(-1.2, 1.2).fillna(0.0)
+            assert [got[code, d][name] for d in own["date"]] == pytest.approx(z.tolist(), abs=1e-12)
+    wide = frame.select("code", "date", *(F.col("x").alias(f"c{i}") for i in range(54)))
+    plan = indicators.normalised(wide, [f"c{i}" for i in range(54)])._jdf.queryExecution().analyzed().toString()
+    assert plan.count("windowspecdefinition(") <= 2  # Projections of hundreds of windows are not compiled.
