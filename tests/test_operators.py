@@ -275,3 +275,36 @@ def test_rolling_scores_of_odd_values_equal_plain_ones_and_take_one_window_for_a
     wide = frame.select("code", "date", *(F.col("x").alias(f"c{i}") for i in range(54)))
     plan = indicators.normalised(wide, [f"c{i}" for i in range(54)])._jdf.queryExecution().analyzed().toString()
     assert plan.count("windowspecdefinition(") <= 2  # Projections of hundreds of windows are not compiled.
+
+
+def _uneven(spark):
+    import numpy as np
+
+    random = np.random.default_rng(11)
+    frames = [bars(spark, np.round(np.exp(random.normal(0, 0.03, n).cumsum()) * 100, 2).tolist(), code=c, volume=1000.0 + c) for c, n in ((1, 3), (2, 14), (3, 73), (4, 150), (5, 59))]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def test_exact_shares_of_rolling_windows_come_with_the_recursive_indicators(spark):
+    from quantloom.functions.windows import last_rows
+
+    out = indicators.recursive(_uneven(spark), shares={"rsi_low": ("rsi", 60, 0.15), "middle": ("atr", 5, 0.5)})
+    w = lambda c, n, p: F.when(F.count(c).over(last_rows(n)) >= n, F.percentile(c, F.lit(p)).over(last_rows(n)))
+    rows = out.withColumns({"want_low": w("rsi", 60, 0.15), "want_middle": w("atr", 5, 0.5)}).collect()
+    assert sum(r.rsi_low is not None for r in rows) > 50
+    assert all(r.rsi_low == r.want_low and r.middle == r.want_middle for r in rows)
+
+
+def test_only_the_last_bars_come_back_where_no_more_are_read(spark):
+    whole = indicators.recursive(_uneven(spark)).toPandas().sort_values(["code", "date"]).groupby("code").tail(10).reset_index(drop=True)
+    last = indicators.recursive(_uneven(spark), last=10).toPandas().sort_values(["code", "date"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(last, whole)
+
+
+def test_swings_are_folded_without_a_call_a_code(spark):
+    from quantloom.operators import levels
+
+    assert "InPandas" not in levels.swings(_uneven(spark))._jdf.queryExecution().optimizedPlan().toString()
