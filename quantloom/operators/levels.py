@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +24,18 @@ def performance(bars: DataFrame, year: int = 252) -> DataFrame:
     return last.join(ends, "code").withColumns({"from_high": F.try_divide("close", "high") - 1, "from_low": F.try_divide("close", "low") - 1})
 
 
-_SWINGS = "code long, side string, date date, price double, at long"
+_POINTS = "array<struct<at:bigint,date:date,price:double>>"
 
 
-def _merged(near: int):
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for row in frame.sort_values("at").itertuples(index=False):
-            if kept and row.at - kept[-1].at < near:
-                if (row.price > kept[-1].price) if row.side == "high" else (row.price < kept[-1].price):
-                    kept[-1] = row
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=["code", "side", "date", "price", "at"])
+def _merged(near: int, top: bool):
+    """A fold over a side's points in order: of those closer than `near` bars the more extreme. Prices that are no numbers replace none."""
+
+    def merge(kept, x):
+        end = F.get(kept, F.size(kept) - 1)
+        more = (x["price"] > end["price"]) if top else (x["price"] < end["price"])
+        more = more & ~F.isnan(x["price"]) & ~F.isnan(end["price"])
+        close = (F.size(kept) > 0) & (x["at"] - end["at"] < near)
+        return F.when(close & more, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x))).when(close, kept).otherwise(F.array_append(kept, x))
 
     return merge
 
@@ -48,8 +46,11 @@ def swings(bars: DataFrame, window: int = 15, near: int = 10) -> DataFrame:
     around = w.rowsBetween(-window, window)
     rows = bars.withColumns({"at": F.row_number().over(w).cast("long"), "n": F.count(F.lit(1)).over(around), "top": F.max("high").over(around), "bottom": F.min("low").over(around)}).filter(F.col("n") == 2 * window + 1)
     ends = F.array_compact(F.array(F.when(F.col("high") == F.col("top"), F.struct(F.lit("high").alias("side"), F.col("high").alias("price"))), F.when(F.col("low") == F.col("bottom"), F.struct(F.lit("low").alias("side"), F.col("low").alias("price")))))
-    found = rows.select("code", "date", "at", F.explode(ends).alias("x")).select("code", "x.side", "date", "x.price", "at")
-    return found.groupBy("code", "side").applyInPandas(_merged(near), _SWINGS)
+    found = rows.select("code", "date", "at", F.explode(ends).alias("x")).select("code", "x.side", "date", F.col("x.price").cast("double").alias("price"), "at")
+    points = found.groupBy("code", "side").agg(F.sort_array(F.collect_list(F.struct("at", "date", "price"))).cast(_POINTS).alias("points"))
+    fold = lambda top: F.aggregate("points", F.array().cast(_POINTS), _merged(near, top))
+    kept = points.select(F.col("code").cast("long").alias("code"), "side", F.explode(F.when(F.col("side") == "high", fold(True)).otherwise(fold(False))).alias("x"))
+    return kept.select("code", "side", "x.date", "x.price", "x.at")
 
 
 def retracements(bars: DataFrame, points: DataFrame, last: int = 5) -> DataFrame:

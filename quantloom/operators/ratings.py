@@ -41,7 +41,7 @@ def technical_report(bars: DataFrame, near: DataFrame) -> DataFrame:
         "up_bars": count(F.col("close") > F.col("open")), "down_bars": count(F.col("close") < F.col("open")), "close_4": lag("close", 4), "volume_4": lag("volume", 4), "turnover": F.avg(F.col("close") * F.col("volume")).over(last_rows(20)),
     })
     rows = rows.withColumn("max_drawdown", F.min(F.try_divide("_year", "_peak") - 1).over(history()))
-    frame = recursive(rows).withColumn("hist_2", lag("macd_hist", 2))
+    frame = recursive(rows, last=10).withColumn("hist_2", lag("macd_hist", 2))
     kept = "close volume vol_5 vol_20 vol_ratio hv_20 hv_60 peak max_drawdown up_bars down_bars close_4 volume_4 turnover atr bb_upper bb_lower bb_width bb_pct adx rsi macd macd_signal macd_hist hist_2 k d".split()
     rows = assessed(frame, tuple(kept)).join(near, "code", "left")
     close = F.col("close")
