@@ -308,3 +308,40 @@ def test_swings_are_folded_without_a_call_a_code(spark):
     from quantloom.operators import levels
 
     assert "InPandas" not in levels.swings(_uneven(spark))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_come_with_the_recursive_indicators_to_the_last_bit(spark):
+    """Short and flat codes, nulls, zeros, NaN and infinite values; several codes and tables a batch."""
+    import numpy as np
+
+    random, rows = np.random.default_rng(3), []
+    for code, n in enumerate([1, 4, 5, 12, 13, 20, 59, 60, 61, 75, 90, 150, 130, 130, 130]):
+        close = np.round(100 * np.exp(np.cumsum(random.normal(0, 0.03, n))), 2) if code != 10 else np.full(n, 100.0)
+        for i, x in enumerate(close.tolist()):
+            odd = code >= 12 and i % 70 == 8
+            value = [None, 0.0, float("nan")][code - 12] if odd else x
+            rows.append((code, day(i), x * 1.01, None if code == 13 and i == 100 else x * 0.99, value, None if odd else float("inf") if (code, i) == (11, 3) else float(random.integers(0, 4) * 100)))
+    frame = spark.createDataFrame(rows, "code long, date date, high double, low double, close double, volume double").repartition(3)
+    windows = [c for c in indicators.moving(frame).columns if c not in frame.columns]
+    want = signals.uptrend_days(frame).drop("maturity").withColumns({"sma_20_before": F.lag("sma_20").over(indicators.history()), "close_before": F.lag("close").over(indicators.history())})
+    only = (*windows, "uptrend_days", "sma_20_before", "close_before")
+    kept, indicators.ROWS = indicators.ROWS, 64
+    try:
+        got = indicators.recursive(frame, only=(*only, "rsi"))
+        assert got.columns == [*frame.columns, *only, "rsi"] and dict(got.dtypes)["uptrend_days"] == dict(want.dtypes)["uptrend_days"] == "int"
+        assert "AVG" not in got._jdf.queryExecution().optimizedPlan().toString().upper()
+        cells = lambda df: {(r.code, r.date): {c: str(r[c]) for c in only} for r in df.collect()}
+        found, expected = cells(got), cells(want)
+        assert len(found) == len(rows)
+        for at, x in expected.items():
+            assert found[at] == x, at
+        assert indicators.recursive(frame, last=2, only=("vol_5",)).count() == 29
+    finally:
+        indicators.ROWS = kept
+
+
+def test_bars_are_shuffled_once_for_days_and_windows(spark):
+    from quantloom.sources import market
+
+    plan = indicators.recursive(market.bars(spark, "/root/testdata/sf0.001"), only=("rsi",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
