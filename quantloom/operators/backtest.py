@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import history
+from quantloom.operators.indicators import ROWS, _whole_codes
 from quantloom.operators.signals import trend_signals
 
 
@@ -41,48 +45,71 @@ def round_trip(entry: Column, exit_: Column, costs: Costs = Costs()) -> Column:
 _TRADES = "code long, entry_date date, entry double, exit_date date, exit double, held long, reason string"
 
 
-def _one(exits: Exits):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, entry = [], None
-        rows = list(frame.sort_values("date")[["code", "date", "high", "low", "close", "signal"]].itertuples(index=False))
-        for i, bar in enumerate(rows):
-            if entry is None:
-                if bar.signal == "BUY" and i < len(rows) - 1:
-                    entry, price, peak, held = bar.date, bar.close, bar.close, 0
-                continue
-            held += 1
-            peak = max(peak, bar.high)
+def _one(exits: Exits, high: np.ndarray, low: np.ndarray, close: np.ndarray, buys: np.ndarray, sells: np.ndarray) -> Iterator[tuple[int, int, float, str]]:
+    """Row of entry, row of exit, price and reason of each trade of one code's bars; between trades only its BUY rows are read."""
+    i, last = 0, len(close) - 1
+    while (at := int(np.searchsorted(buys, i))) < len(buys) and buys[at] < last:
+        entry = int(buys[at])
+        price = peak = float(close[entry])
+        for i in range(entry + 1, last + 1):
+            held, top, bottom, now = i - entry, float(high[i]), float(low[i]), float(close[i])
+            peak = max(peak, top)
             stop, reason = price * (1 - exits.stop_loss), "stop"
             if peak * (1 - exits.trail) > max(stop, price):
                 stop, reason = peak * (1 - exits.trail), "trail"
-            target, at = price * (1 + exits.take_profit), None
+            target, got = price * (1 + exits.take_profit), None
             if held >= exits.min_hold:
-                hit_stop, hit_target = bar.low <= stop, bar.high >= target
-                if hit_target and (not hit_stop or bar.close >= price):
-                    at, reason = target, "target"
+                hit_stop, hit_target = bottom <= stop, top >= target
+                if hit_target and (not hit_stop or now >= price):
+                    got, reason = target, "target"
                 elif hit_stop:
-                    at = min(stop, bar.high)
-                elif bar.signal == "SELL":
-                    at, reason = bar.close, "signal"
+                    got = min(stop, top)
+                elif sells[i]:
+                    got, reason = now, "signal"
                 elif held >= exits.max_hold:
-                    at, reason = bar.close, "time"
-            if at is None and i == len(rows) - 1:
-                at, reason = bar.close, "end"
-            if at is not None:
-                out.append((bar.code, entry, price, bar.date, at, held, reason))
-                entry = None
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _TRADES.split(", ")])
-
-    return run
+                    got, reason = now, "time"
+            if got is None and i == last:
+                got, reason = now, "end"
+            if got is not None:
+                yield entry, i, got, reason
+                break
+        i += 1
+
+
+def _trades(exits: Exits, table: pa.Table) -> pa.RecordBatch:
+    """Trades of whole codes, one after another (_i counts a code's bars)."""
+    first = np.flatnonzero(table["_i"].to_numpy() == 1)
+    codes, dates = table["code"], table["date"]
+    high, low, close = (table[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("high", "low", "close"))
+    side = table["_side"].to_numpy()
+    entries, exits_at, prices, reasons = [], [], [], []
+    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(side)], strict=True):
+        buys = np.flatnonzero(side[start:end] == 1)
+        if len(buys):
+            for entry, at, price, reason in _one(exits, high[start:end], low[start:end], close[start:end], buys, side[start:end] == -1):
+                entries.append(start + entry)
+                exits_at.append(start + at)
+                prices.append(price)
+                reasons.append(reason)
+    a, b = np.array(entries, np.int64), np.array(exits_at, np.int64)
+    columns = [codes.take(a), dates.take(a), pa.array(close[a]), dates.take(b), pa.array(prices, pa.float64()), pa.array(b - a), pa.array(reasons, pa.string())]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=[x.split()[0] for x in _TRADES.split(", ")])
 
 
 def run(signals: DataFrame, exits: Exits = Exits()) -> DataFrame:
     """Trades of one position at a time per code from (code, date, high, low, close, signal).
 
     Entry at the close of a BUY. Each bar raises the peak before its low is tested; of a target and a stop on one bar the
-    target counts if the close is not below the entry; what is open at the end is closed there.
+    target counts if the close is not below the entry; what is open at the end is closed there. A code's bars stay together, some thousands at most.
     """
-    return signals.select("code", "date", "high", "low", "close", "signal").groupBy("code").applyInPandas(_one(exits), _TRADES)
+    side = F.when(F.col("signal") == "BUY", 1).when(F.col("signal") == "SELL", -1).otherwise(0).cast("byte").alias("_side")
+
+    def traded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_codes(batches, ROWS):
+            yield _trades(exits, table)
+
+    rows = signals.select(F.col("code").cast("long").alias("code"), "date", "high", "low", "close", side)
+    return rows.withColumn("_i", F.row_number().over(history())).mapInArrow(traded, _TRADES)
 
 
 def results(trades: DataFrame, costs: Costs = Costs()) -> DataFrame:

@@ -345,3 +345,17 @@ def test_bars_are_shuffled_once_for_days_and_windows(spark):
 
     plan = indicators.recursive(market.bars(spark, "/root/testdata/sf0.001"), only=("rsi",))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trades_of_many_codes_come_without_a_call_a_code(spark):
+    found = backtest.run(signals.trend_signals(_uneven(spark), min_days=2, min_adx=5.0))
+    assert "InPandas" not in _plan(found)
+    assert backtest.run(signals.trend_signals(_uneven(spark)).withColumn("signal", F.lit("HOLD"))).count() == 0
+    every = backtest.run(signals.trend_signals(_uneven(spark)).withColumn("signal", F.lit("BUY")), backtest.Exits(take_profit=9.0, stop_loss=0.99, trail=9.0, min_hold=1, max_hold=10)).collect()
+    # Codes of 3, 14, 73, 150 and 59 bars: a trade of ten days, then the next bar's; what is open at the end is closed there.
+    assert sorted((r.code, r.held, r.reason) for r in every if r.code < 3) == [(1, 2, "end"), (2, 2, "end"), (2, 10, "time")]
+    assert {c: sum(r.code == c for r in every) for c in (3, 4, 5)} == {3: 7, 4: 14, 5: 6}
