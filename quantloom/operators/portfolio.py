@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import change, lag
-from quantloom.operators.indicators import moving, recursive
+from quantloom.operators.indicators import recursive
 
 #: Scenario, shock to the market, shock to the largest holding.
 SCENARIOS = (
@@ -27,7 +27,8 @@ def composite_signals(bars: DataFrame, buy: float = 0.3, sell: float = -0.3, con
     A buy needs the 20-bar average at or above the 60-bar one, volume at or above its 5-bar average, and `confirm` bars in a row that
     would buy. A score whose inputs are missing is 0.
     """
-    frame = recursive(moving(bars))
+    read = ("sma_5", "sma_20", "sma_60", "vol_5", "vol_ratio", "bb_upper", "bb_lower", "rsi", "macd", "macd_signal", "macd_hist", "k", "d")
+    frame = recursive(bars.select("code", "date", "high", "low", "close", "volume"), only=read)
     side = lambda yes: F.when(yes, 0.5).otherwise(-0.5)
     known = lambda value, *of: F.when(F.greatest(*(F.col(c).isNull() for c in of)) if len(of) > 1 else F.col(of[0]).isNull(), 0.0).otherwise(value)
     up, busy = F.col("close") > F.col("sma_5"), F.col("vol_ratio") > 1

@@ -359,3 +359,9 @@ def test_trades_of_many_codes_come_without_a_call_a_code(spark):
     # Codes of 3, 14, 73, 150 and 59 bars: a trade of ten days, then the next bar's; what is open at the end is closed there.
     assert sorted((r.code, r.held, r.reason) for r in every if r.code < 3) == [(1, 2, "end"), (2, 2, "end"), (2, 10, "time")]
     assert {c: sum(r.code == c for r in every) for c in (3, 4, 5)} == {3: 7, 4: 14, 5: 6}
+
+
+def test_composite_signals_add_up_no_window_again_for_each_row(spark):
+    from quantloom.operators import portfolio
+
+    assert "avg(" not in _plan(portfolio.composite_signals(_uneven(spark))).lower()
