@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import change, history, lag, mean
-from quantloom.operators.indicators import moving, recursive
+from quantloom.operators.indicators import MOVING, RECURSIVE, moving, recursive
 
 
 def _clip(x: Column, low: float, high: float) -> Column:
@@ -39,7 +41,7 @@ REGIMES = (("bull_trending", 1.0), ("bull_volatile", 0.7), ("bear_trending", 0.3
 
 def six_regimes(bars: DataFrame) -> DataFrame:
     """Per code on its last day, with 60 bars at least: the best-scoring of six regimes, its share of all points, its position share, all points."""
-    rows = recursive(moving(bars).withColumns({"n": F.row_number().over(history()), "ret_20d": F.try_divide("close", lag("close", 19)) - 1}), last=60)
+    rows = recursive(bars.withColumns({"n": F.row_number().over(history()), "ret_20d": F.try_divide("close", lag("close", 19)) - 1}), last=60, only=("sma_20", "sma_60", "rsi", "macd_hist", "adx", "atr"))
     rows = rows.withColumn("range", F.try_divide("atr", "close"))
     rows = rows.withColumns({"median_range": F.percentile("range", F.lit(0.5)).over(Window.partitionBy("code")), "slope": (F.col("macd_hist") - F.lag("macd_hist", 4).over(history())) / 4, "_back": F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))})
     rows = rows.filter("_back = 1 AND n >= 60").withColumns({"adx": F.coalesce(F.round("adx", 2), F.lit(20.0)), "rsi": F.coalesce(F.round("rsi", 2), F.lit(50.0)), "vol": F.coalesce(F.round(F.try_divide("range", "median_range"), 2), F.lit(1.0))})
@@ -168,7 +170,7 @@ def hot_sectors(mutations: DataFrame, top: int = 10) -> DataFrame:
 
 def assessment(bars: DataFrame) -> DataFrame:
     """Per code on its last day: order of the averages, direction and strength of the trend, and momentum by four votes."""
-    return assessed(recursive(moving(bars), last=10))
+    return assessed(recursive(bars, last=10, only=(*MOVING, *RECURSIVE)))
 
 
 def assessed(frame: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -194,16 +196,18 @@ def round_levels(price: Column) -> Column:
 
 def full_snapshot(bars: DataFrame, sectors: DataFrame, scan: DataFrame, growth: DataFrame) -> DataFrame:
     """The latest bar of each code with all indicators, trend, its sector, strength rating and its industry's growth: what a screener reads."""
-    rows = recursive(moving(bars).withColumn("change_pct", change("close")), last=1)
+    rows = recursive(bars.withColumn("change_pct", change("close")), last=1, only=(*MOVING, *RECURSIVE))
     rows = rows.join(sectors, "code", "left").join(scan.select("code", "rs_ratio", "rating"), "code", "left").join(F.broadcast(growth), "industry", "left")
     trend = F.when(F.col("sma_20") > F.col("sma_60"), "up").when(F.col("sma_20") < F.col("sma_60"), "down").otherwise("flat")
     return rows.withColumn("trend", trend)
 
 
-def alert_frame(bars: DataFrame) -> DataFrame:
-    """All indicators of each bar and, as x_before, those of the bar before: what alert conditions read."""
-    rows = recursive(moving(bars).withColumn("change_pct", change("close")))
-    return rows.withColumns({f"{c}_before": F.lag(c).over(history()) for c in ("close", "sma_5", "sma_20", "sma_60", "bb_upper", "bb_lower", "macd", "macd_signal", "k", "d", "rsi", "adx")})
+def alert_frame(bars: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """All indicators of each bar and, as x_before, those of the bar before: what alert conditions read. With `rules`, only what they name."""
+    before = ("close", "sma_5", "sma_20", "sma_60", "bb_upper", "bb_lower", "macd", "macd_signal", "k", "d", "rsi", "adx")
+    named = None if rules is None else set(re.findall(r"\w+", " ".join(rules.values()).lower()))
+    only = tuple(c for c in (*MOVING, *RECURSIVE, *(f"{c}_before" for c in before)) if named is None or c in named)
+    return recursive(bars.withColumn("change_pct", change("close")), only=only)
 
 
 def alerts(frame: DataFrame, rules: dict[str, str]) -> DataFrame:

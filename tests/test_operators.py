@@ -365,3 +365,19 @@ def test_composite_signals_add_up_no_window_again_for_each_row(spark):
     from quantloom.operators import portfolio
 
     assert "avg(" not in _plan(portfolio.composite_signals(_uneven(spark))).lower()
+
+
+def test_alerts_read_only_what_their_rules_name(spark):
+    from quantloom.operators import guard
+
+    rules = {"up": guard.cross("sma_5", "sma_20"), "hot": "RSI > 60 AND adx > 15"}
+    frame = guard.alert_frame(_uneven(spark), rules)
+    assert set(frame.columns) - set(_uneven(spark).columns) == {"change_pct", "sma_5", "sma_20", "sma_5_before", "sma_20_before", "rsi", "adx"}
+    cells = lambda f: sorted((r.code, r.date, r.rule) for r in guard.alerts(f, rules).collect())
+    assert cells(frame) == cells(guard.alert_frame(_uneven(spark)))
+
+
+def test_last_snapshot_adds_up_no_window_again_for_each_row(spark):
+    from quantloom.operators import guard
+
+    assert "avg(" not in _plan(guard.assessment(_uneven(spark))).lower()
