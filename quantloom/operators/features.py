@@ -21,10 +21,10 @@ def _position(x: Column, low: Column, high: Column) -> Column:
 def feature_technicals(bars: DataFrame) -> DataFrame:
     """The technical columns of a feature matrix, per bar: returns, ratios to averages, band position, RSI as a share,
     MACD histogram over the close, stochastic of 14 bars and its 3-bar mean, ranges, gap, slope and volatility."""
-    rows = numbered(moving(bars))
+    rows = numbered(bars)
     low, high = full(14, F.min("low").over(last_rows(14)), "low"), full(14, F.max("high").over(last_rows(14)), "high")
     rows = rows.withColumns({"ret_1d": change("close"), "ret_5d": change("close", 5), "ret_20d": change("close", 20), "kd_k": _position(F.col("close"), low, high), "trend_slope_20": F.try_divide(_slope("close", 20), "close")})
-    rows = recursive(rows.withColumns({"kd_d": mean("kd_k", 3), "volatility_20": deviation("ret_1d", 20), "gap_pct": F.try_divide("open", lag("close")) - 1}))
+    rows = recursive(rows.withColumns({"kd_d": mean("kd_k", 3), "volatility_20": deviation("ret_1d", 20), "gap_pct": F.try_divide("open", lag("close")) - 1}), only=("sma_5", "sma_20", "sma_60", "bb_pct", "rsi_span", "macd_hist", "atr_pct", "vol_ratio", "vol_20"))
     ratio = lambda x, y: F.try_divide(F.col(x), F.col(y))
     return rows.select(
         "code", "date", "ret_1d", "ret_5d", "ret_20d", ratio("close", "sma_5").alias("ma5_ratio"), ratio("close", "sma_20").alias("ma20_ratio"), ratio("close", "sma_60").alias("ma60_ratio"), F.col("bb_pct").alias("bb_position"),
@@ -36,19 +36,19 @@ def feature_technicals(bars: DataFrame) -> DataFrame:
 def close_technicals(bars: DataFrame, least: int = 60) -> DataFrame:
     """The same from closes alone, for codes of at least `least` bars; the range is the absolute return, the average range its exponential mean."""
     enough = F.count(F.lit(1)).over(Window.partitionBy("code")) >= least
-    rows = numbered(moving(bars.withColumn("_enough", enough).filter("_enough").drop("_enough")))
+    rows = numbered(bars.select("code", "date", "high", "low", "close").withColumn("_enough", enough).filter("_enough").drop("_enough"))
     low, high = full(14, F.min("close").over(last_rows(14)), "close"), full(14, F.max("close").over(last_rows(14)), "close")
     top = full(20, F.max("close").over(last_rows(20)), "close")
     rows = rows.withColumns({"ret_1d": change("close"), "kd_k": _position(F.col("close"), low, high), "trend_slope_20": F.try_divide(_slope("close", 20), "close"), "close_vs_high": F.try_divide(F.col("close"), top), "ret_60": change("close", 60)})
-    rows = recursive(rows.withColumns({"kd_d": mean("kd_k", 3), "volatility_20": deviation("ret_1d", 20)}))
+    rows = recursive(rows.withColumns({"kd_d": mean("kd_k", 3), "volatility_20": deviation("ret_1d", 20)}), only=("rsi_alpha", "macd_hist", "atr_ewm"))
     rows = rows.withColumn("rs_raw", (1 + F.col("ret_60")) / (1 + F.median("ret_60").over(Window.partitionBy("date"))) - 1)
     return rows.select("code", "date", "ret_1d", F.col("rsi_alpha").alias("rsi_14"), F.try_divide("macd_hist", "close").alias("macd_hist"), "kd_k", "kd_d", F.col("atr_ewm").alias("atr_pct"), F.abs("ret_1d").alias("high_low_range"), "close_vs_high", "trend_slope_20", "volatility_20", rank_pct("rs_raw").alias("rs_rating"))
 
 
 def latest_technicals(bars: DataFrame) -> DataFrame:
     """Per code of at least 20 bars its last close, change, ratios to averages, RSI and mean absolute return of 14 bars."""
-    rows = moving(bars).withColumn("move", F.abs(change("close"))).withColumns({"mean_move": mean("move", 14), "change_pct": change("close"), "n": F.count(F.lit(1)).over(Window.partitionBy("code"))})
-    rows = recursive(rows, last=1).filter("n >= 20")
+    rows = bars.withColumn("move", F.abs(change("close"))).withColumns({"mean_move": mean("move", 14), "change_pct": change("close"), "n": F.count(F.lit(1)).over(Window.partitionBy("code"))})
+    rows = recursive(rows, last=1, only=("sma_5", "sma_20", "sma_60", "rsi_span")).filter("n >= 20")
     return rows.select("code", "date", "close", "change_pct", *(F.try_divide("close", f"sma_{k}").alias(f"ma{k}_ratio") for k in (5, 20, 60)), (F.col("rsi_span") * 100).alias("rsi_14"), F.col("mean_move").alias("atr_pct"))
 
 

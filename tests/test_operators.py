@@ -381,3 +381,9 @@ def test_last_snapshot_adds_up_no_window_again_for_each_row(spark):
     from quantloom.operators import guard
 
     assert "avg(" not in _plan(guard.assessment(_uneven(spark))).lower()
+
+
+def test_technicals_carry_only_what_they_read(spark):
+    from quantloom.operators import features
+
+    assert "sma_60" not in _plan(features.close_technicals(_uneven(spark))) and "avg(volume" not in _plan(features.feature_technicals(_uneven(spark))).lower()
