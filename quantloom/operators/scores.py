@@ -11,10 +11,13 @@ from quantloom.functions.windows import history
 COST = 0.005855
 
 
-def past_value(rows: DataFrame, horizon: int = 20) -> DataFrame:
-    """`rows` (code, date, signal, d<horizon>: every bar) with ev and cases: mean outcome and number of the code's BUY bars whose outcome is known by then."""
+def past_value(rows: DataFrame, horizon: int = 20, number: str | None = None) -> DataFrame:
+    """`rows` (code, date, signal, d<horizon>: every bar) with ev and cases: mean outcome and number of the code's BUY bars whose outcome is known by then.
+
+    With `number`, a column that counts the bars of a code, bars may be missing; those without a BUY change nothing.
+    """
     known = F.when(F.col("signal") == "BUY", F.col(f"d{horizon}"))
-    w = history().rowsBetween(Window.unboundedPreceding, -horizon)
+    w = history().rowsBetween(Window.unboundedPreceding, -horizon) if number is None else history(order=number).rangeBetween(Window.unboundedPreceding, -horizon)
     return rows.withColumns({"ev": F.avg(known).over(w), "cases": F.count(known).over(w)})
 
 

@@ -100,3 +100,20 @@ def test_groups_and_curve(spark):
     curve = {(r["code"], r["date"]): r["cumulative"] for r in scores.cumulative_curve(frame).collect()}
     assert curve == {k: pytest.approx(v) for k, v in want.items()}
     assert scores.score_groups(frame.limit(0)).count() == 0 and scores.cumulative_curve(frame.limit(0)).count() == 0
+
+
+def test_past_value_of_numbered_buy_bars_alone(spark):
+    signal = lambda i: "BUY" if i % 3 == 0 or i in (7, 8) else "HOLD"
+    bars = [(code, dt.date(2024, 1, 1) + dt.timedelta(days=i), signal(i), None if i > 36 else float(i * code), i + 1) for code in (1, 2) for i in range(40)]
+    rows = spark.createDataFrame(bars, "code long, date date, signal string, d3 double, n int")
+    cells = lambda df: {(r.code, r.date): (r.ev, r.cases) for r in df.filter("signal = 'BUY'").collect()}
+    assert cells(scores.past_value(rows.filter("signal = 'BUY'"), 3, number="n")) == cells(scores.past_value(rows, 3))
+
+
+def test_scenarios_and_heat_read_no_more_than_they_need(spark):
+    from quantloom.plans import scores as plans
+
+    small = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sqs" not in plan(plans.scenarios(spark, small)) and "Join" not in plan(plans.scenarios(spark, small))
+    assert "_n#" not in plan(plans.sector_heat(spark, small))
