@@ -117,3 +117,10 @@ def test_scenarios_and_heat_read_no_more_than_they_need(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "sqs" not in plan(plans.scenarios(spark, small)) and "Join" not in plan(plans.scenarios(spark, small))
     assert "_n#" not in plan(plans.sector_heat(spark, small))
+
+
+def test_heat_scans_sort_bars_once(spark):
+    from quantloom.plans import trading
+
+    plan = trading.heat_scans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan
