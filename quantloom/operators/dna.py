@@ -19,13 +19,13 @@ LIKENESS, SHAPE = 0.7, 0.3
 BOOST, LOSERS = 1.5, 0.6
 
 
-def closes(bars: DataFrame, wanted: DataFrame, first: int, last: int) -> DataFrame:
-    """`wanted` (key, code, date, a bar's date) with closes: those of the bars `first` to `last` rows before, oldest first.
+def closes(bars: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """`wanted` (key, code, date, a bar's date, and back) with closes: those of the last n bars but for the `back` newest, up to that date, oldest first.
 
     Each wanted row meets just these bars, by equality of code and row number. Rows without any are left out.
     """
     rows = bars.select("code", "date", "close", F.row_number().over(Window.partitionBy("code").orderBy("date")).alias("_row"))
-    at = wanted.join(rows.drop("close"), ["code", "date"]).select("key", "code", F.explode(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: F.col("_row") - k)).alias("_row"))
+    at = wanted.join(rows.drop("close"), ["code", "date"]).select("key", "code", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.col("_row") - F.col("back") - k)).alias("_row"))
     found = at.join(rows.select("code", "_row", "close"), ["code", "_row"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_row", "close"))).alias("x"))
     return found.select("key", F.transform("x", lambda x: x["close"]).alias("closes"))
 
@@ -106,10 +106,16 @@ def match(samples: DataFrame, today: DataFrame, bars: DataFrame, k: int = NEIGHB
     best = votes.groupBy("query").agg(F.max(F.struct("n", (-F.col("first")).alias("first"), "cluster"))["cluster"].alias("cluster"))
     per = near.groupBy("query").agg(F.avg("similarity").alias("similarity"), F.avg(F.when(F.col("label") == "loser", 1.0).otherwise(0.0)).alias("failed_ratio"), F.count(F.lit(1)).alias("neighbours")).join(best, "query")
     per = per.withColumns({"is_match": F.round("similarity", 9) >= threshold, "warning": F.round("failed_ratio", 9) >= LOSERS})
-    ours = closes(bars, today.select(F.col("code").cast("long").alias("key"), "code", "date"), 0, STRUCTURE - 1).select(F.col("key").alias("query"), F.col("closes").alias("ours"))
-    matched = near.join(per.filter("is_match").select("query"), "query").withColumn("key", F.col("query") * 100 + F.col("place"))
-    theirs = closes(bars, matched.select("key", "code", "date"), 1, STRUCTURE).withColumnRenamed("closes", "theirs")
-    shapes = shape_distances(matched.select("key", "query", "place").join(theirs, "key").join(ours, "query")).groupBy("query").agg(F.avg("dtw_60").alias("dtw_60"), F.avg("dtw_20").alias("dtw_20"))
+    matched = near.join(per.filter("is_match").select("query"), "query")
+    # Place 0 is the code's own shape: both kinds meet the bars in one pass.
+    asked = today.select(F.col("code").cast("long").alias("query"), "code", "date").join(per.filter("is_match").select("query"), "query")
+    key = F.struct("query", "place").alias("key")
+    wanted = matched.select(key, "code", "date", F.lit(1).alias("back")).unionByName(asked.withColumn("place", F.lit(0)).select(key, "code", "date", F.lit(0).alias("back")))
+    found = closes(bars, wanted, STRUCTURE).select("key.query", F.struct("key.place", "closes").alias("shape"))
+    each = found.groupBy("query").agg(F.collect_list("shape").alias("x"))
+    each = each.select("query", F.get(F.filter("x", lambda x: x["place"] == 0), F.lit(0))["closes"].alias("ours"), F.explode(F.filter("x", lambda x: x["place"] > 0)).alias("shape"))
+    pairs = each.select("query", "shape.place", "ours", F.col("shape.closes").alias("theirs")).filter("ours IS NOT NULL")
+    shapes = shape_distances(pairs).groupBy("query").agg(F.avg("dtw_60").alias("dtw_60"), F.avg("dtw_20").alias("dtw_20"))
     out = per.join(shapes, "query", "left")
     shape: Column = F.when(F.coalesce("dtw_60", F.lit(0.0)) > 0, 1 / (1 + F.col("dtw_60"))).otherwise(1.0)
     agree = F.coalesce((F.col("dtw_60") < 1) & (F.col("dtw_20") < 1), F.lit(False))

@@ -123,3 +123,34 @@ def test_ties_of_cases_go_to_the_least_code(spark):
     from quantloom.operators.similarity import nearest_vectors
 
     assert sorted((r["place"], r["id"]) for r in nearest_vectors(near, near.filter("id = 1"), 4, "id", "v").collect()) == [(1, 0), (2, 2), (3, 3), (4, 4)]
+
+
+@pytest.mark.parametrize(("queries", "rows", "width", "copies", "k"), [(300, 9000, 45, 0, 5), (300, 5000, 8, 3000, 7), (600, 4200, 64, 2000, 10), (50, 3, 4, 0, 5)])
+def test_best_pairs_equal_all_products(monkeypatch, queries, rows, width, copies, k):
+    """Against all products in double; few of the pairs are worked out in double, however many rows are copies."""
+    from quantloom.operators import similarity
+
+    rng = np.random.default_rng(rows)
+    x, keys = rng.normal(size=(rows, width)), rng.permutation(rows)
+    x[:copies], x[-1] = x[0], 0
+    y, ids = (x[:queries], keys[:queries]) if queries < rows else (rng.normal(size=(queries, width)), -1 - np.arange(queries))
+    unit = lambda v: v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
+    x, y = unit(x), unit(y)
+    exact, plain = [], np.einsum
+    monkeypatch.setattr(similarity.np, "einsum", lambda f, a, b: exact.append(len(a)) or plain(f, a, b))
+    got = sorted(zip(*(v.tolist() for v in similarity.best_pairs(ids, keys, y, x, k)), strict=True))
+    all_pairs = np.round(y @ x.T, 6)
+    want = []
+    for q in range(queries):
+        order = sorted((-s, key, j) for j, (s, key) in enumerate(zip(all_pairs[q].tolist(), keys.tolist(), strict=True)) if s > 0 and key != ids[q])
+        want += [(q, j, -s) for s, _, j in order[:k]]
+    assert got == sorted(want)
+    assert rows < 100 or sum(exact) < queries * rows / 20
+
+
+def test_dna_match_reads_its_situations_from_one_table(spark):
+    """The matrix and the days that count are not worked out again by each reader of samples and today's codes."""
+    samples, today, _ = winners.dna_inputs(spark, SMALL)
+    files = samples.inputFiles()
+    assert files and files == today.inputFiles() and all("dna_situations" in f for f in files)
+    assert today.count() == today.select("code").distinct().count() == 10
