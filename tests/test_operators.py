@@ -387,3 +387,43 @@ def test_technicals_carry_only_what_they_read(spark):
     from quantloom.operators import features
 
     assert "sma_60" not in _plan(features.close_technicals(_uneven(spark))) and "avg(volume" not in _plan(features.feature_technicals(_uneven(spark))).lower()
+
+
+def test_matrix_joins_arrays_and_scores_as_columns_do(spark):
+    """Families in any order, of any number types and with days that they lack, as one array each: joined rows stay narrow."""
+    import numpy as np
+
+    from quantloom.operators import matrix
+
+    rng = np.random.default_rng(5)
+    days = [(code, dt.date(2020, 1, 1) + dt.timedelta(i)) for code in (1, 2) for i in range(80)]
+    number = lambda c, v: int(v * 10) if c in ("streak", "articles_7") else None if abs(v) < 0.1 else float("inf") if abs(v) > 2.9 else float(v)
+    kind = lambda c: "long" if c in ("streak", "articles_7") else "double"
+    families, values = [], {day: {} for day in days}
+    for names in ([*matrix.DIMENSIONS["attention"], "co_mention"], matrix.DIMENSIONS["technical"], [c for d in ("institutional", "brokerage", "industry", "fundamental") for c in matrix.DIMENSIONS[d]]):
+        rows = []
+        for day in days:
+            if day[0] == 1 or len(names) > 6 and day[1].day % 3:
+                rows.append((*day, *(number(c, v) for c, v in zip(names, rng.normal(size=len(names)), strict=True))))
+                values[day] |= dict(zip(names, rows[-1][2:], strict=True))
+        families.append(spark.createDataFrame(rows, "code long, date date, " + ", ".join(f"{c} {kind(c)}" for c in names)))
+    got = matrix.feature_matrix(spark.createDataFrame(days, "code long, date date"), *families)
+    assert got.columns == ["code", "date", *matrix.COLUMNS]
+    plan = got._jdf.queryExecution().optimizedPlan()
+    joined = [p for p in _nodes(plan) if p.nodeName() == "Join"]
+    assert len(joined) == 3 and all(p.output().size() <= 10 for p in joined)
+    wide = spark.createDataFrame([(*day, *(None if values[day].get(c) is None else float(values[day][c]) for c in matrix.COLUMNS)) for day in days], "code long, date date, " + ", ".join(f"{c} double" for c in matrix.COLUMNS))
+    want = {(r["code"], r["date"]): r for r in indicators.normalised(wide, matrix.COLUMNS, prefix="").collect()}
+    rows = got.collect()
+    assert len(rows) == len(days)
+    for r in rows:
+        silent = all(values[r["code"], r["date"]].get(c) is None for c in matrix.DIMENSIONS["attention"])
+        assert all(r[c] == (None if silent and c in matrix.DIMENSIONS["attention"] else want[r["code"], r["date"]][c]) for c in matrix.COLUMNS)
+    assert any(r["polarity"] is None for r in rows) and any(r["ret_1d"] for r in rows)
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
