@@ -61,26 +61,34 @@ def winner_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winners(spark, sf_dir)
 
 
+def dna_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, date, label, newest: days that gained or lost a fifth in 30 bars, none of a code within 30 days of one that counts, and each code's last day. Built once a session."""
+    from quantloom.operators.similarity import spaced
+
+    def build() -> DataFrame:
+        ahead = relative.forward_returns(market.bars(spark, sf_dir), (30,)).select("code", "date", "d30", F.lead("date").over(history()).isNull().alias("newest"))
+        moved = spaced(ahead.filter("abs(d30) >= 0.2"), 30).select("code", "date", F.when(F.col("d30") > 0, "winner").otherwise("loser").alias("label"), F.lit(False).alias("newest"))
+        return moved.unionByName(ahead.filter("newest").select("code", "date", F.lit(None).cast("string").alias("label"), "newest"))
+
+    return snapshot(spark, "dna_days", sf_dir, build)
+
+
 def dna_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Samples, today's codes and bars: days that gained or lost a fifth in 30 bars, none of a code within 30 days of one that counts; clusters are the dimensions that stand out most.
+    """Samples, today's codes and bars: dna_days() as the matrix has them; clusters are the dimensions that stand out most.
 
-    Bars alone tell the days that count. The matrix meets those once, and what is left of it is built once a session.
+    The matrix meets these days once, its columns as one array; while they are few, Spark need not shuffle it for that.
     """
     from quantloom.operators import dual, matrix
-    from quantloom.operators.similarity import spaced
     from quantloom.plans.matrix import whole_matrix
 
-    frame = market.bars(spark, sf_dir)
-
     def build() -> DataFrame:
-        ahead = relative.forward_returns(frame, (30,)).select("code", "date", "d30", F.lead("date").over(history()).isNull().alias("newest"))
-        moved = spaced(ahead.filter("abs(d30) >= 0.2"), 30).select("code", "date", F.when(F.col("d30") > 0, "winner").otherwise("loser").alias("label"), F.lit(False).alias("newest"))
-        days = moved.unionByName(ahead.filter("newest").select("code", "date", F.lit(None).cast("string").alias("label"), "newest")).hint("shuffle_hash")
+        packed = whole_matrix(spark, sf_dir).select("code", "date", F.array(*matrix.COLUMNS).alias("_m"))
+        rows = packed.join(dna_days(spark, sf_dir), ["code", "date"]).select("code", "date", "label", "newest", *(F.col("_m")[i].alias(c) for i, c in enumerate(matrix.COLUMNS)))
         score = F.array(*(F.struct(F.abs(matrix.dimension_score(d)).alias("size"), F.lit(d).alias("dimension")) for d in matrix.DIMENSIONS))
-        return whole_matrix(spark, sf_dir).join(days, ["code", "date"]).select("code", "date", dual._vector(None).alias("vector"), F.array_max(score)["dimension"].alias("cluster"), "label", "newest")
+        return rows.select("code", "date", dual._vector(None).alias("vector"), F.array_max(score)["dimension"].alias("cluster"), "label", "newest")
 
     rows = snapshot(spark, "dna_situations", sf_dir, build)
-    return rows.filter("NOT newest").drop("newest"), rows.filter("newest").select("code", "date", "vector", "cluster"), frame
+    return rows.filter("NOT newest").drop("newest"), rows.filter("newest").select("code", "date", "vector", "cluster"), market.bars(spark, sf_dir)
 
 
 @query("dna_match", digits=9)
