@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import rank_pct
-from quantloom.operators import joins, matrix, registry, relative
+from quantloom.operators import dual, joins, matrix, registry, relative
 from quantloom.plans import matrix as plans
 from quantloom.sources import market, snapshots
 from tests.conftest import SMALL
@@ -68,3 +68,28 @@ def test_sector_days_rank_as_rows_do(spark):
     median = named.groupBy("date", "sector").agg(F.percentile("ret_20", F.lit(0.5)).alias("m"))
     want = named.join(median, ["date", "sector"]).withColumn("rs", rank_pct("m"))
     assert sorted(map(str, got.select("code", "date", "sector_momentum", "sector_rs").collect())) == sorted(map(lambda r: str(r).replace("m=", "sector_momentum=").replace("rs=", "sector_rs="), want.select("code", "date", "m", "rs").collect()))
+
+
+def test_cases_by_bounds_are_those_of_all_rows(spark, monkeypatch):
+    """Many queries: what is sent on is bounded by the best among some codes' rows, and the cases are the same, with what they carry."""
+    rng = random.Random(5)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(code, dt.date(1970, 1, 1) + dt.timedelta(7 * day), 7 * day, rng.randrange(-1, 2), rng.random(), None if day % 3 else rng.random(), vector(), vector()) for code in range(60) for day in range(20)]
+    frame = spark.createDataFrame(rows, "code long, date date, day int, regime int, growth double, polarity double, raw array<double>, augmented array<double>")
+    queries = matrix.latest(frame)
+    plain = sorted(map(tuple, dual.cases(frame, queries, 3, carry=("growth", "polarity")).collect()))
+    sent = []
+    monkeypatch.setattr(dual, "MANY", 1)
+    monkeypatch.setattr(dual, "SHARES", (8, 2))
+    monkeypatch.setattr(dual, "_met", lambda *a, met=dual._met: sent.append(met(*a)) or sent[-1])
+    some = lambda share: frame.filter(F.pmod(F.xxhash64("code"), F.lit(share)) == 0)
+    assert sorted(map(tuple, dual.cases(frame, queries, 3, carry=("growth", "polarity"), some=some).collect())) == plain
+    assert len(sent) == 3 and sent[-1].count() < dual._met(frame, queries, 9, dual.LEAST, dual.HALF_LIFE, (), None).count()
+    by_day = {(r[0], r[1]): r[4:6] for r in rows}
+    assert plain and all(r[-2:] == by_day[r[3], r[4]] for r in plain)
+
+
+def test_dual_search_shuffles_no_rows_of_vectors(spark):
+    queries = matrix.latest(plans._situations(spark, SMALL))
+    found = dual.cases(plans._situations(spark, SMALL), queries, 5)
+    assert not [c for names in _exchanges(found) for c in names if c in ("raw", "augmented", "volume", *matrix.COLUMNS[:-6])]
