@@ -13,8 +13,8 @@ from quantloom.operators.scores import COST
 WAITS = (("0-5d", 5), ("5-10d", 10), ("10-20d", 20), ("20-30d", 30))
 
 
-def breakouts(bars: DataFrame, most: int = 60) -> DataFrame:
-    """(code, date, breakout, ttb) of every bar: whether it breaks out, and after how many bars, fewer than `most`, the next one does.
+def breakouts(bars: DataFrame, most: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(code, date, breakout, ttb) of every bar: whether it breaks out, and after how many bars, fewer than `most`, the next one does. `keep` names columns of the bars to return, too.
 
     A breakout closes above the upper Bollinger band while the bands widen, against the bar before and their mean of 20 bars, on
     a true range above 1.2 mean ranges and a volume above 1.5 means, both of 20 bars. Bands without a value have no width.
@@ -25,7 +25,7 @@ def breakouts(bars: DataFrame, most: int = 60) -> DataFrame:
     hit = (F.col("close") > F.col("bb_upper")) & wider & (F.col("_range") > 0) & (F.col("tr") > 1.2 * F.col("_range")) & (F.col("volume") > 1.5 * F.avg("volume").over(last_rows(20)))
     rows = rows.withColumn("breakout", F.coalesce(hit, F.lit(False)))
     following = F.min(F.when(F.col("breakout"), F.col("_row"))).over(history().rowsBetween(1, most - 1))
-    return rows.select("code", "date", "breakout", (following - F.col("_row")).cast("int").alias("ttb"))
+    return rows.select("code", "date", "breakout", (following - F.col("_row")).cast("int").alias("ttb"), *keep)
 
 
 def _net() -> list[Column]:

@@ -169,12 +169,14 @@ def divergence() -> Column:
     return F.when(F.col("atr_14") > 0, (F.col("close") - typical) / F.col("atr_14")).when(F.col("atr_14").isNotNull(), 0.0)
 
 
-def accumulation_score(brokers: DataFrame, days: int = 20) -> DataFrame:
+def accumulation_score(brokers: DataFrame, days: int = 20, every: bool = False) -> DataFrame:
     """Per day with `days` rows: 0.4 winner momentum + 0.25 streak + 0.2 concentration + 0.15 net buying, means of the last rows
     of broker_day()'s purity, streak, top3_pct and net_buy_ratio, which should be normalised to have one scale; confirmed
-    winners (a positive mean of winner_momentum) add a fifth to the first. Missing values are left out of their mean."""
+    winners (a positive mean of winner_momentum) add a fifth to the first. Missing values are left out of their mean. With `every`, days with fewer rows have no score and stay."""
     w = last_rows(days)
     part = lambda x: F.coalesce(F.avg(x).over(w), F.lit(0.0))
-    rows = brokers.withColumns({"n": F.count(F.lit(1)).over(w), "_purity": part("purity"), "_bonus": part("winner_momentum"), "_streak": part("streak"), "_top3": part("top3_pct"), "_net": part("net_buy_ratio")}).filter(F.col("n") >= days)
+    rows = brokers.withColumns({"n": F.count(F.lit(1)).over(w), "_purity": part("purity"), "_bonus": part("winner_momentum"), "_streak": part("streak"), "_top3": part("top3_pct"), "_net": part("net_buy_ratio")})
+    rows = rows if every else rows.filter(F.col("n") >= days)
     winner = F.col("_purity") * F.when(F.col("_bonus") > 0, 1.2).otherwise(1.0)
-    return rows.select("code", "date", (0.4 * winner + 0.25 * F.col("_streak") + 0.2 * F.col("_top3") + 0.15 * F.col("_net")).alias("score"))
+    score = 0.4 * winner + 0.25 * F.col("_streak") + 0.2 * F.col("_top3") + 0.15 * F.col("_net")
+    return rows.select("code", "date", F.when(F.col("n") >= days, score).alias("score"))
