@@ -93,3 +93,10 @@ def test_dual_search_shuffles_no_rows_of_vectors(spark):
     queries = matrix.latest(plans._situations(spark, SMALL))
     found = dual.cases(plans._situations(spark, SMALL), queries, 5)
     assert not [c for names in _exchanges(found) for c in names if c in ("raw", "augmented", "volume", *matrix.COLUMNS[:-6])]
+
+
+def test_waiting_signals_shuffle_no_bars(spark):
+    from quantloom.plans import breakouts
+
+    dealt = _exchanges(breakouts.waiting_rows(spark, SMALL))
+    assert not [names for names in dealt if {"close", "d21", "d30"} & {*names}]
